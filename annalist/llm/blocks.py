@@ -72,7 +72,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     n = len(column)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32

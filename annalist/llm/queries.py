@@ -1,6 +1,15 @@
 """The queries opN_<name> of this subpackage, each over its whole table, and DuckDB SQL where SQL can say the same."""
 
+from .media import media_report
 from .mixing import mix_sources
+from .secrets import secret_report
+from .tokens import token_counts
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark, sf_dir, table):
@@ -11,5 +20,17 @@ def op1_mix(spark, sf_dir):
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mix": op1_mix}
+def op5_tokens(spark, sf_dir):
+    return token_counts(_read(spark, sf_dir, "documents"), _vocabulary()).drop("cut_bytes")
+
+
+def op7_secrets(spark, sf_dir):
+    return secret_report(_read(spark, sf_dir, "documents")).drop("n_entropy")
+
+
+def op9_media(spark, sf_dir):
+    return media_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op5_tokens": op5_tokens, "op7_secrets": op7_secrets, "op9_media": op9_media}
 ORACLE_SQL: dict[str, str] = {}
