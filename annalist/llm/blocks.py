@@ -17,7 +17,7 @@ PIECE_BYTES = 2 << 20
 
 # Separators of the contracts, as byte values.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-NOT_ALNUM = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
+NOT_ALNUM = (*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))  # before lower-casing A-Z
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93 | 1)

@@ -1,5 +1,6 @@
 """The queries opN_<name> of this subpackage, each over its whole table, and DuckDB SQL where SQL can say the same."""
 
+from .decontaminate import contamination_report
 from .media import media_report
 from .mixing import mix_sources
 from .secrets import secret_report
@@ -24,6 +25,10 @@ def op5_tokens(spark, sf_dir):
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary()).drop("cut_bytes")
 
 
+def op6_decontaminate(spark, sf_dir):
+    return contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("longest")
+
+
 def op7_secrets(spark, sf_dir):
     return secret_report(_read(spark, sf_dir, "documents")).drop("n_entropy")
 
@@ -32,5 +37,5 @@ def op9_media(spark, sf_dir):
     return media_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op5_tokens": op5_tokens, "op7_secrets": op7_secrets, "op9_media": op9_media}
+QUERIES = {"op1_mix": op1_mix, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
 ORACLE_SQL: dict[str, str] = {}
