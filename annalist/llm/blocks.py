@@ -28,7 +28,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93 | 1)
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for a file scan the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def n_buckets(df: DataFrame, per_bucket: int = 6 << 20, least: int = 64, most: int = 1 << 16) -> int:
@@ -227,3 +227,60 @@ def int_array(values, kind=pa.int64()) -> pa.Array:
 def as_key(column):
     """A string that is never null and tells null from any text."""
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(column).cast("string")))
+
+
+# --- packed columns: many entries travel in one row ------------------------------------------------------------
+
+
+def pack(values: np.ndarray, compress: bool = True) -> bytes:
+    """An integer array as bytes: the narrowest width, byte planes apart, zstd."""
+    import zstandard
+
+    if compress and len(values) and values.dtype != np.uint64:
+        for kind in (np.uint8, np.uint16, np.uint32):
+            if values.min() >= 0 and values.max() <= np.iinfo(kind).max:
+                values = values.astype(kind)
+                break
+    name = values.dtype.str.encode()
+    if not compress:
+        return b"r" + name + values.tobytes()
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return b"z" + name + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    kind, body = np.dtype(raw[1:4].decode()), raw[4:]
+    if raw[:1] == b"r":
+        return np.frombuffer(body, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 31), np.uint8)
+    size = kind.itemsize
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).reshape(-1)
+
+
+class Entries:
+    """Word positions grouped by document, packed: the ids and tags of the documents, how many entries each has, and their starts."""
+
+    NAMES = ("ids", "tags", "per_doc", "starts")
+
+    @staticmethod
+    def packed(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """doc: for each entry, ascending, the document's index in ids and tags; starts ascend within a document."""
+        cut = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
+        some = doc[cut]
+        first = ids[some]
+        step = np.diff(starts, prepend=0)
+        step[cut] = starts[cut]
+        return [pack(np.diff(first, prepend=0)), pack(tags[some].astype(np.uint32)), pack(np.diff(np.append(cut, len(doc)))), pack(step)]
+
+    @staticmethod
+    def unpacked(ids: bytes, tags: bytes, per_doc: bytes, starts: bytes):
+        """(ids, tags, per_doc, starts) as arrays, starts within their documents."""
+        n = unpack(per_doc).astype(np.int64)
+        sums = np.cumsum(unpack(starts).astype(np.int64))
+        at = np.cumsum(n) - n
+        if len(sums):
+            base = np.where(at > 0, sums[at - 1], 0)
+            sums = sums - np.repeat(base, n)
+        return np.cumsum(unpack(ids).astype(np.int64)), unpack(tags), n, sums

@@ -4,6 +4,7 @@ from .decontaminate import contamination_report
 from .media import media_report
 from .mixing import mix_sources
 from .secrets import secret_report
+from .substrings import substring_report
 from .tokens import token_counts
 
 
@@ -21,6 +22,10 @@ def op1_mix(spark, sf_dir):
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substrings(spark, sf_dir):
+    return substring_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark, sf_dir):
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary()).drop("cut_bytes")
 
@@ -37,5 +42,5 @@ def op9_media(spark, sf_dir):
     return media_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
+QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
 ORACLE_SQL: dict[str, str] = {}
