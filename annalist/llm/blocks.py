@@ -142,6 +142,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def byte_sums(data: np.ndarray, lower: bool, base: int = 0x2545F4914F6CDD1D) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, up): (sums[e] - sums[s]) * up[s] is the polynomial hash, modulo 2**64, of bytes s to e-1."""
+    up, down = _power_tables(len(data) + 1, base)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.take(_byte_values(lower), data, out=sums[1:])
+    sums[1:] *= down[: len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums, up
+
+
 class Words:
     """The words of a piece: byte starts and ends, and of[d]:of[d+1] the words of document d."""
 
@@ -168,15 +178,11 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.of) - 1), self.counts())
 
-    def hashes(self, lower: bool = False, base: int = 0x2545F4914F6CDD1D) -> np.ndarray:
+    def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit polynomial hash of each word's bytes, mixed with its length."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = _power_tables(len(self.data) + 1, base)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.take(_byte_values(lower), self.data, out=sums[1:])
-        sums[1:] *= down[: len(self.data)]
-        np.cumsum(sums[1:], out=sums[1:])
+        sums, up = byte_sums(self.data, lower)
         h = (sums[self.end] - sums[self.start]) * up[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * _STEP)
 

@@ -6,6 +6,7 @@ from .mixing import mix_sources
 from .secrets import secret_report
 from .substrings import substring_report
 from .tokens import token_counts
+from .toxicity import toxicity_report
 
 
 def _vocabulary() -> str:
@@ -26,6 +27,10 @@ def op2_substrings(spark, sf_dir):
     return substring_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_tokens(spark, sf_dir):
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary()).drop("cut_bytes")
 
@@ -42,5 +47,5 @@ def op9_media(spark, sf_dir):
     return media_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
+QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
 ORACLE_SQL: dict[str, str] = {}
