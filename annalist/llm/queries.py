@@ -1,6 +1,7 @@
 """The queries opN_<name> of this subpackage, each over its whole table, and DuckDB SQL where SQL can say the same."""
 
 from .decontaminate import contamination_report
+from .jaccard import jaccard_report
 from .media import media_report
 from .mixing import mix_sources
 from .secrets import secret_report
@@ -47,5 +48,9 @@ def op9_media(spark, sf_dir):
     return media_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media}
+def op10_jaccard(spark, sf_dir):
+    return jaccard_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
 ORACLE_SQL: dict[str, str] = {}
