@@ -2,6 +2,7 @@
 
 from .decontaminate import contamination_report
 from .jaccard import jaccard_report
+from .language_model import lm_report
 from .media import media_report
 from .mixing import mix_sources
 from .secrets import secret_report
@@ -44,6 +45,10 @@ def op7_secrets(spark, sf_dir):
     return secret_report(_read(spark, sf_dir, "documents")).drop("n_entropy")
 
 
+def op8_lm(spark, sf_dir):
+    return lm_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_media(spark, sf_dir):
     return media_report(_read(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_jaccard(spark, sf_dir):
     return jaccard_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_lm": op8_lm, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
 ORACLE_SQL: dict[str, str] = {}
