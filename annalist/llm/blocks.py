@@ -230,6 +230,11 @@ def int_array(values, kind=pa.int64()) -> pa.Array:
     return pa.array(np.ascontiguousarray(values), kind)
 
 
+def row_key(id_col: str, text_col: str):
+    """Names a row by its id and text; equal rows share it."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
 def as_key(column):
     """A string that is never null and tells null from any text."""
     return F.when(F.col(column).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(column).cast("string")))

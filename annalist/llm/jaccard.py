@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, int_array, materialize, mix, n_buckets, pack, pieces, rolling, text_buffers, unpack, whole
+from .blocks import Words, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of the contract
@@ -118,7 +118,7 @@ def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
 def _sets_and_signatures(width: int, buckets: int):
     """Rows of two kinds: one of each document (bucket null), and packed signatures of the sets of a block by bucket."""
     bits = np.uint64(64 - (buckets - 1).bit_length())
-    names = ["doc_id", "n", "s", "bucket", "sigs", "sets"]
+    names = ["doc_id", "key", "n", "s", "bucket", "sigs", "sets"]
 
     def flush(parts, kind):
         sig, s = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
@@ -131,18 +131,18 @@ def _sets_and_signatures(width: int, buckets: int):
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         some = [b for b in range(buckets) if edges[b + 1] > edges[b]]
         none = [None] * len(some)
-        cols = [pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(some, pa.int32())]
+        cols = [pa.array(none, kind), *(pa.array(none, pa.int64()) for _ in range(3)), pa.array(some, pa.int32())]
         cols += [pa.array([pack(x[edges[b] : edges[b + 1]].view(np.uint64), compress=False) for b in some], pa.binary()) for x in (sig, s)]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches):
         parts, held, kind = [], 0, None
-        for p in pieces(batches, 1):
+        for p in pieces(batches, 2):
             kind = p.schema.field(0).type
-            tokens, of = shingle_sets(Words(*text_buffers(p.column(1))), width)
+            tokens, of = shingle_sets(Words(*text_buffers(p.column(2))), width)
             ids, n = set_ids(tokens, of), np.diff(of)
             none = pa.nulls(p.num_rows, pa.int32()), pa.nulls(p.num_rows, pa.binary()), pa.nulls(p.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([p.column(0), int_array(n), int_array(ids), *none], names=names)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), int_array(n), int_array(ids), *none], names=names)
             _, first = np.unique(ids, return_index=True)
             first = np.sort(first[n[first] > 0])
             if not len(first):
@@ -251,13 +251,13 @@ def _verified(table: pa.Table) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, s (its set's name), component_id."""
+    """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), component_id."""
     kind = dict(docs.dtypes)[id_col]
     buckets = 1 << (n_buckets(docs) - 1).bit_length()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    mapped = own.mapInArrow(_sets_and_signatures(width, buckets), f"doc_id {kind}, n long, s long, bucket int, sigs binary, sets binary")
+    own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    mapped = own.mapInArrow(_sets_and_signatures(width, buckets), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
     mapped = materialize(mapped, "sets")
-    rows = mapped.where("bucket is null").select("doc_id", "n", "s")
+    rows = mapped.where("bucket is null").select("doc_id", "key", "n", "s")
     shared = mapped.where("bucket is not null").select("bucket", "sigs", "sets").groupBy("bucket").applyInArrow(_shared_signatures, "a long, b long")
     families = components(shared)
     # Blocks of a family: its sets dealt by hash; their number from the family's sets and tokens.
@@ -268,7 +268,7 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     members = materialize(size.join(total, "family").withColumn("block", block), "families")
     few = members.count() <= BROADCAST_ROWS
     members = F.broadcast(members) if few else members.hint("shuffle_hash")
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def tokens(batches):
         for p in pieces(batches, 0):
@@ -277,7 +277,7 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
             yield pa.RecordBatch.from_arrays([int_array(set_ids(tokens, of)), *p.columns[1:], pa.array(raw, pa.binary())], names=["got", "s", "family", "block", "blocks", "tokens"])
 
     # One document of each set brings its text: that of the smallest id. Rows of one id and other texts drop out by name.
-    picked = own.join(members.select(key("doc_id").alias("k"), "s", "family", "block", "blocks"), key("doc_id") == F.col("k"))
+    picked = own.join(members.select(text_of("doc_id").alias("k"), "s", "family", "block", "blocks"), text_of("doc_id") == F.col("k"))
     sets = picked.select("text", "s", "family", "block", "blocks").mapInArrow(tokens, "got long, s long, family long, block int, blocks int, tokens binary").where("got = s").drop("got")
     # A pair of blocks i <= j meets in one task: block b goes to all pairs it is in.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -289,11 +289,25 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(names, "root").select("s", "component_id")
-    linked_rows = rows.where("n > 0").join(named, "s").select("doc_id", "n", "s", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "n", "s", F.col("doc_id").alias("component_id"))
+    linked_rows = rows.where("n > 0").join(named, "s").select("doc_id", "key", "n", "s", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "key", "n", "s", F.col("doc_id").alias("component_id"))
     return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
+def keep_one(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
+    """One document of each component, that of the smallest id, with all its columns; rows without words all stay."""
+    rows = materialize(jaccard_components(docs, width, id_col, text_col), "components")
+    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
+    gone = materialize(rows.where("n_shingles > 0").select("key").distinct().join(first, "key", "left_anti"), "gone")
+    twice = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(gone, "key", "left_anti").select("key"), "twice")
+    some = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    kept = docs.withColumn("__key", row_key(id_col, text_col)).join(some(gone.withColumnRenamed("key", "__key")), "__key", "left_anti")
+    if twice.limit(1).count():  # equal rows of a surviving document
+        own = some(twice.withColumnRenamed("key", "__key"))
+        kept = kept.join(own, "__key", "left_anti").unionByName(kept.join(own, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def jaccard_report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     return jaccard_components(docs, id_col=id_col, text_col=text_col).select("doc_id", "n_shingles", "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Words, as_key, materialize, pieces, text_buffers
+from .blocks import Words, as_key, materialize, pieces, row_key, text_buffers
 
 WEIGHTS = (5, 2, 1)  # fixed values of the contract
 SHARE, MOST = Fraction(3, 2), 2
@@ -29,15 +29,15 @@ BROADCAST_ROWS = 100_000
 
 
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(doc_id, source, size): the words of each text."""
+    """(doc_id, source, key, size): the words of each text."""
 
     def count(batches):
-        for p in pieces(batches, 2):
-            size = Words(*text_buffers(p.column(2))).counts()
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(size, pa.int64())], names=["doc_id", "source", "size"])
+        for p in pieces(batches, 3):
+            size = Words(*text_buffers(p.column(3))).counts()
+            yield pa.RecordBatch.from_arrays([*p.columns[:3], pa.array(size, pa.int64())], names=["doc_id", "source", "key", "size"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col(id_col), F.col(source_col), F.col(text_col)).mapInArrow(count, f"doc_id {kinds[id_col]}, source {kinds[source_col]}, size long")
+    return docs.select(F.col(id_col), F.col(source_col), row_key(id_col, text_col), F.col(text_col)).mapInArrow(count, f"doc_id {kinds[id_col]}, source {kinds[source_col]}, key long, size long")
 
 
 def targets(sizes: dict, weights=WEIGHTS, share=SHARE, most=MOST) -> dict:
@@ -109,7 +109,7 @@ def fitted(budget: int, sizes: np.ndarray, counts: np.ndarray, dp_budget: int =
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", weights=WEIGHTS, share=SHARE, most=MOST, seed=17, dp_budget=DP_BUDGET) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (size times the repeats the mix takes)."""
+    """One row per document: doc_id, source, key (of id and text), size, source_size, target, taken (size times the repeats the mix takes)."""
     sizes = materialize(sized(docs, id_col, source_col, text_col).withColumn("skey", as_key("source")), "sizes")
     hist = sizes.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = {r.skey: int(r.words) for r in hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
@@ -144,4 +144,19 @@ def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col=
     ranked = ranked.withColumn("rank", rank).join(offsets, ["skey", "size", "salt"]).withColumn("more", (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")).drop("before", "rank")
     rest = both.where(~cut).withColumn("more", (F.col("extra") > 0).cast("long"))
     out = ranked.unionByName(rest)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.col("more"))).alias("taken"))
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("size") * (F.col("base") + F.col("more"))).alias("taken"))
+
+
+def take_mix(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", **options) -> DataFrame:
+    """The documents that the mix takes, with their columns and size, source_size, target, taken and repeats.
+
+    Equal rows are one document here: their repeats add up. Columns of docs with these five names are replaced.
+    """
+    mix = materialize(mix_sources(docs, id_col, source_col, text_col, **options), "mix")
+    added = ["size", "source_size", "target", "taken", "repeats"]
+    taken = mix.where("taken > 0").groupBy("key").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    taken = taken.withColumn("repeats", (F.col("taken") / F.col("size")).cast("int")).withColumnRenamed("key", "__key")
+    own = docs.drop(*added).withColumn("__key", row_key(id_col, text_col))
+    if mix.groupBy("key").count().where("count > 1").limit(1).count():
+        own = own.dropDuplicates(["__key"])
+    return own.join(taken.hint("shuffle_hash"), "__key").drop("__key")

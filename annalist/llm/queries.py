@@ -5,6 +5,7 @@ from .jaccard import jaccard_report
 from .language_model import lm_report
 from .media import media_report
 from .mixing import mix_sources
+from .pii import pii_report
 from .secrets import secret_report
 from .substrings import substring_report
 from .tokens import token_counts
@@ -29,6 +30,10 @@ def op2_substrings(spark, sf_dir):
     return substring_report(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -57,5 +62,5 @@ def op10_jaccard(spark, sf_dir):
     return jaccard_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_lm": op8_lm, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_lm": op8_lm, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
 ORACLE_SQL: dict[str, str] = {}
