@@ -106,12 +106,14 @@ def _gif(b, i):
 
 def _jpeg(b, i):
     at = i + 2
-    while at + 4 <= len(b):
+    while at + 2 <= len(b):
         if b[at] != 0xFF:
             return None
         tag = b[at + 1]
         if tag == 0xD9:
             return "jpeg", at + 2 - i
+        if at + 4 > len(b):
+            return None
         n = struct.unpack_from(">H", b, at + 2)[0]
         if n < 2 or at + 2 + n > len(b):
             return None

@@ -5,6 +5,7 @@ from .jaccard import jaccard_report
 from .language_model import lm_report
 from .media import media_report
 from .mixing import mix_sources
+from .oracles import ORACLE_SQL  # noqa: F401
 from .pii import pii_report
 from .secrets import secret_report
 from .substrings import substring_report
@@ -63,4 +64,3 @@ def op10_jaccard(spark, sf_dir):
 
 
 QUERIES = {"op1_mix": op1_mix, "op2_substrings": op2_substrings, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_tokens": op5_tokens, "op6_decontaminate": op6_decontaminate, "op7_secrets": op7_secrets, "op8_lm": op8_lm, "op9_media": op9_media, "op10_jaccard": op10_jaccard}
-ORACLE_SQL: dict[str, str] = {}

@@ -30,7 +30,7 @@ REPORTED = "said says say claimed wrote called quoted quote reported according s
 #: Words after a negation that it reaches.
 REACH = 3
 #: Labelled rows of each class that the model is fitted on, and the least evidence for an insult arc.
-SAMPLE, LEAST_DOCS, LEAST_ODDS, LEAST_Z, MOST_ARCS = 4000, 6, 2.0, 4.5, 20_000
+SAMPLE, LEAST_DOCS, LEAST_ODDS, LEAST_Z, MOST_ARCS = 4000, 6, 2.0, 5.0, 20_000
 #: Word beginnings that can be arcs, in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 CHANNELS = ("plain", "targeted", "negated", "reported", "threat")
@@ -243,7 +243,9 @@ def learn_arcs(rows: list) -> tuple[np.ndarray, np.ndarray]:
     b = np.bincount(back, np.concatenate([unpack(r.b) for r in rows]).astype(float), len(keys))
     toxic, clean = sum(r.toxic for r in rows), sum(r.clean for r in rows)
     odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    share = (a + b) / max(toxic + clean, 1)
+    spread = np.sqrt(share * (1 - share) * (1 / max(toxic, 1) + 1 / max(clean, 1)))
+    z = (a / max(toxic, 1) - b / max(clean, 1)) / np.maximum(spread, 1e-9)  # of two proportions
     keep = np.flatnonzero((keys != 0) & (a >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (z >= LEAST_Z))
     keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MOST_ARCS]])
     return keys[keep], odds[keep]
