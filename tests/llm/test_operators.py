@@ -447,3 +447,28 @@ def test_group_links():
             root = [f(x) for x in range(len(sets))]
             parts.append([root.index(r) for r in root])
         assert parts[0] == parts[1]
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_components(spark, limit, monkeypatch):
+    """Chains, hubs, loops and parallel edges, with minima joined by shuffle and by broadcast."""
+    from annalist.llm import components as cc
+
+    monkeypatch.setattr(cc, "BROADCAST_ROWS", limit)
+    rnd = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(500, 500 + i) for i in range(1, 90)] + [(7, 7), (1000, 1001), (1001, 1000)]
+    edges += [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(70)]
+    rnd.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
