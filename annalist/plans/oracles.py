@@ -68,7 +68,7 @@ _of_ledger(
     history_snapshots="SELECT address, revision, status, is_fresh, is_stale, can_serve FROM snap_all QUALIFY row_number() OVER (PARTITION BY address ORDER BY revision DESC) <= 5",
     endpoint_history="SELECT address, revision, operation, CAST(NULL AS DOUBLE) AS value FROM ledger WHERE address = 'app::users/activity::7' ORDER BY revision DESC LIMIT 100",
     partition_catalog="SELECT address, global_position AS last_position, revision AS last_revision FROM head",
-    capture_process_local=""", refs AS (SELECT DISTINCT 'app::users/activity::' || user_id AS address FROM events WHERE user_id % 3 = 0 UNION SELECT 'app::absent::' || s_suppkey FROM supplier)
+    capture_process_local=""", refs AS (SELECT DISTINCT 'app::users/activity::' || user_id AS address FROM events UNION SELECT 'app::absent::' || s_suppkey FROM supplier)
       SELECT coalesce(max(global_position), 0) AS capture_position, count(*) AS states, count(*) FILTER (head.address IS NULL) AS absent FROM refs LEFT JOIN head USING (address)""",
     capture_at_position=""", past AS (SELECT * FROM ledger WHERE global_position <= 600 QUALIFY row_number() OVER (PARTITION BY address ORDER BY revision DESC) = 1)
       SELECT a.address, coalesce(status, 'Absent') AS status, coalesce(revision, 0) AS revision, coalesce(global_position, 0) AS global_position, coalesce(has_value, false) AS has_value
@@ -190,13 +190,13 @@ ORACLES |= {
         CASE WHEN twice THEN NULL WHEN labelled OR seeded THEN 'partial-load' ELSE 'loader-failed' END AS error_code, CASE WHEN twice THEN '' WHEN labelled THEN 'toxic' ELSE 'labels, toxic' END AS faulted FROM i""",
     "load_completeness": _LOADS + "SELECT CASE WHEN labelled THEN 'complete' ELSE 'partial' END AS completeness, CASE WHEN labelled THEN 'ready' ELSE 'faulted' END AS labels_status, count(*) AS n, count(*) FILTER (NOT labelled) AS faulted FROM b GROUP BY 1, 2",
     "refresh_coalesce": f"SELECT {_ADDRESS} AS address, CAST(floor(event_id / 200) AS BIGINT) AS batch, arg_min(event_type, event_id) AS source, count(*) AS coalesced FROM events GROUP BY 1, 2",
-    "signal_targets": """WITH s AS (SELECT event_id AS signal_id, CASE WHEN event_type = 'error' THEN 'reset' WHEN event_id % 2 = 0 THEN 'user.changed' ELSE 'nothing' END AS name,
-        CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'default' ELSE CAST(user_id AS VARCHAR) END AS part, CASE WHEN event_id % 4 = 0 THEN 'users' ELSE '' END AS scope FROM events WHERE event_id % 25 = 0 OR event_type = 'error'),
+    "signal_targets": """WITH s AS (SELECT s_suppkey AS signal_id, CASE WHEN s_suppkey % 2 = 0 THEN 'user.changed' WHEN s_suppkey % 5 = 0 THEN 'nothing' ELSE 'reset' END AS name,
+        CASE s_suppkey % 3 WHEN 1 THEN 'default' WHEN 2 THEN CAST(s_suppkey AS VARCHAR) END AS part, CASE WHEN s_suppkey % 4 = 0 THEN 'users' ELSE '' END AS scope FROM supplier),
       st(path, partitioned, name) AS (VALUES ('users/activity', true, 'user.changed'), ('users/activity', true, 'reset'), ('users/profile', false, 'user.changed'), ('flags', false, 'reset'), ('reports/daily', true, 'nightly')),
       j AS (SELECT * FROM s JOIN st USING (name) WHERE scope = '' OR starts_with(path, scope || '/'))
       SELECT DISTINCT signal_id, path, part AS partition FROM j WHERE part IS NOT NULL AND (partitioned OR part = 'default')
       UNION SELECT signal_id, path, 'default' FROM j WHERE part IS NULL AND NOT partitioned
-      UNION SELECT signal_id, path, CAST(user_id AS VARCHAR) FROM j, (SELECT DISTINCT user_id FROM events WHERE user_id < 20) WHERE part IS NULL AND partitioned AND path = 'users/activity'""",
+      UNION SELECT signal_id, path, CAST(user_id AS VARCHAR) FROM j, (SELECT DISTINCT user_id FROM events) WHERE part IS NULL AND partitioned AND path = 'users/activity'""",
     "warm_targets": "SELECT * FROM (VALUES ('users/activity', '1'), ('users/activity', '3'), ('users/profile', 'default'), ('reports/daily', 'default')) t(path, partition)",
     "duplicate_declarations": "SELECT 'source' AS kind, lower(p_brand || ' ' || CASE WHEN true THEN p_type END) AS name, count(*) AS declared FROM part GROUP BY 1, 2 HAVING count(*) > 1",
     "load_report_retention": """SELECT address, source, elapsed, completed FROM (SELECT 'app::conversations::' || conv_id AS address, role AS source, length(text) AS elapsed, turn AS completed FROM conversations
@@ -207,7 +207,7 @@ ORACLES |= {
       f AS (SELECT store, event_id, n, s AS start, CAST(1 AS BIGINT) AS k, true AS reported FROM c WHERE n = 1
         UNION ALL SELECT c.store, c.event_id, c.n, CASE WHEN s - start >= 60 THEN s ELSE start END, CASE WHEN s - start >= 60 THEN 1 WHEN k < 16 THEN k + 1 ELSE k END, s - start >= 60 OR k < 16 FROM f JOIN c ON c.store = f.store AND c.n = f.n + 1)
       SELECT store, event_id, reported FROM f""",
-    "outbox_cursor": "SELECT 'c' || user_id % 4 AS consumer, max(event_id + 1) AS position FROM events WHERE event_id < 300 OR event_id % 7 = 0 GROUP BY 1",
+    "outbox_cursor": "SELECT 'c' || user_id % 4 AS consumer, max(event_id + 1) AS position FROM events GROUP BY 1",
     "outbox_batches": "SELECT page, count(*) AS messages, min(p) AS first_position, max(p) AS cursor_after, count(*) >= 128 AS full FROM (SELECT event_id + 1 AS p, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 128) AS BIGINT) AS page FROM events) GROUP BY page",
     "backoff_schedule": "SELECT range AS attempt, CAST(least(60000, 1000 * pow(2.0, least(range, 40))) AS BIGINT) AS delay_ms FROM range(64)",
     "outbox_poison_skip": "SELECT CAST(floor(event_id / 100) AS BIGINT) AS batch, count(*) AS attempts, count(*) >= 12 AS skipped FROM events WHERE event_type = 'error' GROUP BY 1",

@@ -156,7 +156,7 @@ def partition_catalog(spark, d):
 
 @query
 def capture_process_local(spark, d):
-    refs = views.table(spark, d, "events").where("user_id % 3 = 0").select(F.concat(F.lit("app::users/activity::"), F.col("user_id").cast("string")).alias("address"))
+    refs = views.table(spark, d, "events").select(F.concat(F.lit("app::users/activity::"), F.col("user_id").cast("string")).alias("address"))
     refs = refs.unionByName(views.table(spark, d, "supplier").select(F.concat(F.lit("app::absent::"), F.col("s_suppkey").cast("string")).alias("address")))
     return reads.capture_position(reads.capture(refs, _ledger(spark, d, *HEAD)))
 
@@ -363,9 +363,11 @@ STATE_KIND = "path string, partitioned boolean, signals array<string>, warm_on_s
 
 @query
 def signal_targets(spark, d):
-    e = views.table(spark, d, "events")
-    signals = e.where("event_id % 25 = 0 or event_type = 'error'").select(F.col("event_id").alias("signal_id"), F.when(F.col("event_type") == "error", "RESET").when(F.col("event_id") % 2 == 0, "user.Changed").otherwise("nothing").alias("name"), F.when(F.col("event_id") % 3 == 0, F.lit(None)).when(F.col("event_id") % 3 == 1, F.lit("default")).otherwise(F.col("user_id").cast("string")).alias("partition"), F.when(F.col("event_id") % 4 == 0, "users").otherwise("").alias("scope"))
-    handles = e.where("user_id < 20").select(F.lit("users/activity").alias("path"), F.col("user_id").cast("string").alias("partition")).distinct()
+    key = F.col("s_suppkey")
+    name = F.when(key % 2 == 0, "user.Changed").when(key % 5 == 0, "nothing").otherwise("RESET")
+    partition = F.when(key % 3 == 1, F.lit("default")).when(key % 3 == 2, key.cast("string"))
+    signals = views.table(spark, d, "supplier").select(key.alias("signal_id"), name.alias("name"), partition.alias("partition"), F.when(key % 4 == 0, "users").otherwise("").alias("scope"))
+    handles = views.table(spark, d, "events").select(F.lit("users/activity").alias("path"), F.col("user_id").cast("string").alias("partition")).distinct()
     return routing.signal_targets(signals, spark.createDataFrame(STATES, STATE_KIND), handles)
 
 
@@ -491,8 +493,8 @@ def outbox_dedupe(spark, d):
 def outbox_cursor(spark, d):
     e = views.raw_records(spark, d)
     consumer = F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("consumer")
-    stored = e.where("event_id < 300").select(consumer, F.col("global_position").alias("position"))
-    return outbox.advance_cursor(stored, e.where("event_id % 7 = 0").select(consumer, F.col("global_position").alias("position")))
+    stored = e.where("event_type = 'view'").select(consumer, F.col("global_position").alias("position"))
+    return outbox.advance_cursor(stored, e.where("event_type <> 'view'").select(consumer, F.col("global_position").alias("position")))
 
 
 @query
