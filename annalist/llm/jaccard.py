@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
-from .components import components
+from .components import components, stars
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of the contract
 #: A block of a family has at most so many sets and tokens (or one set).
@@ -161,7 +161,7 @@ def _sets_and_signatures(width: int, buckets: int):
 
 
 def _shared_signatures(table: pa.Table) -> pa.Table:
-    """One bucket: for each signature of several sets, edges from the smallest name to the others."""
+    """One bucket: sets that share signatures, as stars from the smallest name of each of the bucket's components."""
     sig, s = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("sigs", "sets"))
     s = s.view(np.int64)
     order = np.lexsort((s, sig))
@@ -171,7 +171,8 @@ def _shared_signatures(table: pa.Table) -> pa.Table:
     head = s[np.flatnonzero(new)][np.cumsum(new) - 1]
     other = head != s
     pairs = np.unique(np.stack([head[other], s[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return pa.Table.from_arrays([int_array(pairs[0]), int_array(pairs[1])], names=["a", "b"])
+    a, b = stars(pairs[0].tolist(), pairs[1].tolist())
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 # --- step 3: the token-group matrix of one task ----------------------------------------------------------------
@@ -243,8 +244,8 @@ def _verified(table: pa.Table) -> pa.Table:
     s = table.column("s").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
     links = group_links(sets)
-    a, b = (np.array([s[x[k]] for x in links], np.int64) for k in (0, 1))
-    return pa.Table.from_arrays([int_array(a), int_array(b)], names=["a", "b"])
+    a, b = stars([int(s[x]) for x, _ in links], [int(s[y]) for _, y in links])
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 # --- the join --------------------------------------------------------------------------------------------------
