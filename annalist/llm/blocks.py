@@ -6,6 +6,7 @@ All separators used here are ASCII, so byte positions split words exactly as cod
 """
 
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -31,9 +32,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def n_buckets(df: DataFrame, per_bucket: int = 6 << 20, least: int = 64, most: int = 1 << 16) -> int:
-    """Hash buckets so that one holds about per_bucket bytes of the input files."""
-    return int(min(most, max(least, -(-plan_bytes(df) // per_bucket))))
+def n_buckets(df: DataFrame, per_bucket: int = 6 << 20, least: int = 64, most: int = 1 << 20) -> int:
+    """Hash buckets, a power of two, so that one holds about per_bucket bytes of the input files; above 6 TB it holds more."""
+    n = int(min(most, max(least, -(-plan_bytes(df) // per_bucket))))
+    return 1 << (n - 1).bit_length()
+
+
+def block_size(base: int, buckets: int) -> int:
+    """Entries that a task gathers before it deals them to buckets: a packed row should hold several."""
+    return max(base, 8 * buckets)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +71,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Spark sends to a worker; the default of 64 MB would fill an executor with long texts.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with the session's batches bounded in bytes."""
+    conf = df.sparkSession.conf
+    if not 0 < int(re.sub(r"\D", "", conf.get(_BATCH_CONF)) or 0) <= BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 # --- pieces of Arrow batches -----------------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_ALNUM, Words, int_array, pieces, runs_of, text_buffers
+from .blocks import NOT_ALNUM, Words, arrow_map, int_array, pieces, runs_of, text_buffers
 
 WINDOW = 10  # fixed value of the contract
 #: Benchmark text, in bytes, that one pass sends to the tasks.
@@ -190,7 +190,7 @@ def _matches(docs, items, window, id_col, text_col, keys, detail):
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     schema = f"{head}, word long, item_id string, item_word long, length long" if detail else f"{head}, n_words long, n_hit long, items array<string>, longest long, spans array<long>"
-    return docs.select(*keys, F.col(text_col)).mapInArrow(run, schema)
+    return arrow_map(docs.select(*keys, F.col(text_col)), run, schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
+from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
 from .components import components, stars
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of the contract
 #: A block of a family has at most so many sets and tokens (or one set).
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
-#: Tokens that a map task gathers before it sends their signatures.
+#: Tokens that a map task gathers at least before it sends their signatures.
 GATHERED = 1 << 20
 #: A table of families of at most so many rows (under 50 bytes each) is broadcast, a larger one shuffled.
 BROADCAST_ROWS = 200_000
@@ -151,7 +151,7 @@ def _sets_and_signatures(width: int, buckets: int):
             sig, owner = signatures(pick, np.concatenate([[0], np.cumsum(n[first])]))
             parts.append((sig, ids[first][owner]))
             held += len(pick)
-            if held >= GATHERED:
+            if held >= block_size(GATHERED, buckets):
                 yield flush(parts, kind)
                 parts, held = [], 0
         if parts:
@@ -254,9 +254,9 @@ def _verified(table: pa.Table) -> pa.Table:
 def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), component_id."""
     kind = dict(docs.dtypes)[id_col]
-    buckets = 1 << (n_buckets(docs) - 1).bit_length()
+    buckets = n_buckets(docs)
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    mapped = own.mapInArrow(_sets_and_signatures(width, buckets), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
+    mapped = arrow_map(own, _sets_and_signatures(width, buckets), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
     mapped = materialize(mapped, "sets")
     rows = mapped.where("bucket is null").select("doc_id", "key", "n", "s")
     shared = mapped.where("bucket is not null").select("bucket", "sigs", "sets").groupBy("bucket").applyInArrow(_shared_signatures, "a long, b long")
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
 
     # One document of each set brings its text: that of the smallest id. Rows of one id and other texts drop out by name.
     picked = own.join(members.select(text_of("doc_id").alias("k"), "s", "family", "block", "blocks"), text_of("doc_id") == F.col("k"))
-    sets = picked.select("text", "s", "family", "block", "blocks").mapInArrow(tokens, "got long, s long, family long, block int, blocks int, tokens binary").where("got = s").drop("got")
+    sets = arrow_map(picked.select("text", "s", "family", "block", "blocks"), tokens, "got long, s long, family long, block int, blocks int, tokens binary").where("got = s").drop("got")
     # A pair of blocks i <= j meets in one task: block b goes to all pairs it is in.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sets.select("s", "family", "block", "tokens", "blocks", other).where("blocks = 1 or other <> block")

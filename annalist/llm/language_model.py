@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .blocks import Words, int_array, materialize, mix, n_buckets, pack, pieces, shared_path, text_buffers, unpack
+from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, shared_path, text_buffers, unpack
 
-#: Tokens that a map task gathers before it sends their counts.
+#: Tokens that a map task gathers at least before it sends their counts.
 BLOCK = 1 << 20
 END = mix(np.array([0x656E64], np.uint64))[0]  # the hash of the end token
 
@@ -86,7 +86,7 @@ def _word_blocks(shards: int):
         for p in pieces(batches, 0):
             parts.append(_summed(token_hashes(p.column(0))[0]))
             held += len(parts[-1][0])
-            if held >= BLOCK:
+            if held >= block_size(BLOCK, shards):
                 yield flush(parts)
                 parts, held = [], 0
         if parts:
@@ -187,7 +187,7 @@ def _pair_blocks(lookup: Lookup, deal: Deal, start: int):
             ids, _, context = _pairs(*token_hashes(p.column(0)), lookup, start)
             parts.append(_summed((context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)))
             held += len(parts[-1][0])
-            if held >= BLOCK:
+            if held >= block_size(BLOCK, deal.buckets):
                 yield flush(parts)
                 parts, held = [], 0
         if parts:
@@ -321,11 +321,11 @@ def train(docs: DataFrame, text_col="text") -> Model:
     """Counts the model over all rows of docs; its arrays stay in the shared folder until the application ends."""
     spark = docs.sparkSession
     folder = shared_path(spark, "lm")
-    buckets = 1 << (n_buckets(docs) - 1).bit_length()
+    buckets = n_buckets(docs)
     shards = max(16, buckets // 8)
     text = docs.select(F.col(text_col))
     run, schema = _word_blocks(shards)
-    words = text.mapInArrow(run, schema).groupBy("shard").applyInArrow(*_word_shard(folder, 4 * buckets // shards)).collect()
+    words = arrow_map(text, run, schema).groupBy("shard").applyInArrow(*_word_shard(folder, 4 * buckets // shards)).collect()
     sizes = {r.shard: r for r in words}
     offsets = np.concatenate([[0], np.cumsum([sizes[s].types if s in sizes else 0 for s in range(shards)])]).tolist()
     types, tokens = offsets[-1], sum(r.tokens for r in words)
@@ -340,7 +340,7 @@ def train(docs: DataFrame, text_col="text") -> Model:
     deal = Deal(types + 1, buckets, hot)
     lookup, at = Lookup(folder, shards, offsets), np.asarray(offsets, np.int64)
     run, schema = _pair_blocks(lookup, deal, start)
-    pairs = text.mapInArrow(run, schema).groupBy("bucket").applyInArrow(*_pair_bucket(folder, at))
+    pairs = arrow_map(text, run, schema).groupBy("bucket").applyInArrow(*_pair_bucket(folder, at))
     pairs = materialize(pairs, "contexts")
     of = pairs.where("of is not null").select(*(F.sum(F.col("of")[j]).alias(f"n{j}") for j in range(4))).first()
     d = discounts([int(x or 0) for x in of])
@@ -381,7 +381,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
             sums = [np.add.reduceat(v, of[:-1]) for v in ((counts > 0).astype(np.int64), base, logs)]
             yield pa.RecordBatch.from_arrays([p.column(0), int_array(n), int_array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.array(10.0 ** np.minimum(-sums[2] / n, 300.0))], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def lm_report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

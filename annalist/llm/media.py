@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import pieces, text_buffers
+from .blocks import arrow_map, pieces, text_buffers
 
 UNIT, PAD = 576, 255  # fixed values of the contract
 
@@ -257,7 +257,7 @@ def store_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             media = [store_wav(padded(raw[a:b])) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.diff(off), pa.int64()), pa.array([UNKNOWN] * len(media), pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(store, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, declared string, media binary")
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), store, f"doc_id {dict(docs.dtypes)[id_col]}, n_bytes long, declared string, media binary")
 
 
 def sniff_media(rows: DataFrame, media_col="media", declared_col="declared") -> DataFrame:
@@ -287,7 +287,7 @@ def sniff_media(rows: DataFrame, media_col="media", declared_col="declared") ->
                 yield pa.RecordBatch.from_arrays([*p.columns, *made], names=[*names, *added])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "mime string", "corrected boolean", "parts array<struct<format:string,start:long,end:long>>", "payload binary"])
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def carve(rows: DataFrame, media_col="media") -> DataFrame:

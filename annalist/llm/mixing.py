@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Words, as_key, materialize, pieces, row_key, text_buffers
+from .blocks import Words, arrow_map, as_key, materialize, pieces, row_key, text_buffers
 
 WEIGHTS = (5, 2, 1)  # fixed values of the contract
 SHARE, MOST = Fraction(3, 2), 2
@@ -37,7 +37,7 @@ def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([*p.columns[:3], pa.array(size, pa.int64())], names=["doc_id", "source", "key", "size"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col(id_col), F.col(source_col), row_key(id_col, text_col), F.col(text_col)).mapInArrow(count, f"doc_id {kinds[id_col]}, source {kinds[source_col]}, key long, size long")
+    return arrow_map(docs.select(F.col(id_col), F.col(source_col), row_key(id_col, text_col), F.col(text_col)), count, f"doc_id {kinds[id_col]}, source {kinds[source_col]}, key long, size long")
 
 
 def targets(sizes: dict, weights=WEIGHTS, share=SHARE, most=MOST) -> dict:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, materialize, pieces, row_key, text_buffers
+from .blocks import Words, arrow_map, materialize, pieces, row_key, text_buffers
 from .secrets import code_points, digest
 
 # Fixed values of the contract: kinds and shapes of the seeds.
@@ -123,7 +123,7 @@ def occurrences(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(base, span), pa.array(all_seen, seen)], names=["doc_id", "key", "base", "seen"])
 
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, key long, base array<struct<kind:string,start:long,end:long>>, seen array<struct<pattern:string,instance:string,kind:string,start:long,end:long>>"
-    return docs.select(F.col(id_col), row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col), row_key(id_col, text_col), F.col(text_col)), run, schema)
 
 
 def bootstrap(seen: DataFrame, rounds=ROUNDS, least_known=LEAST_KNOWN, pattern_confidence=PATTERN_CONFIDENCE, instance_confidence=INSTANCE_CONFIDENCE) -> DataFrame:
@@ -198,5 +198,5 @@ def redact(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 out.append("".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(out, pa.string())], names=["__doc", "__new"])
 
-    made = both.mapInArrow(run, f"__doc {whole.schema['__doc'].dataType.simpleString()}, __new string")
+    made = arrow_map(both, run, f"__doc {whole.schema['__doc'].dataType.simpleString()}, __new string")
     return made.select(*(F.col("__new").alias(c) if c == text_col else F.col(f"__doc.`{c}`") for c in docs.columns))

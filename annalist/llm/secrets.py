@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, pieces, text_buffers
+from .blocks import Words, arrow_map, pieces, text_buffers
 
 # Fixed values of the contract: the three base kinds.
 KINDS = ("assign", "access", "hex")
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame, id_col="doc_id", text_col="text", thresholds=N
             yield pa.RecordBatch.from_arrays([p.column(0), pa.array(base, kind), pa.array(found, kind)], names=["doc_id", "base", "found"])
 
     spans = "array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, f"doc_id {dict(docs.dtypes)[id_col]}, base {spans}, found {spans}")
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), scan, f"doc_id {dict(docs.dtypes)[id_col]}, base {spans}, found {spans}")
 
 
 def digest(spans: str):

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Entries, Words, mix, n_buckets, materialize, pack, pieces, plan_bytes, rolling, text_buffers, unpack, whole
+from .blocks import Entries, Words, arrow_map, block_size, materialize, mix, n_buckets, pack, pieces, plan_bytes, rolling, text_buffers, unpack, whole
 
 WINDOW = 20  # fixed value of the contract
-#: Windows that a task gathers before it settles and sends them (about 60 MB).
+#: Windows that a task gathers at least before it settles and sends them (about 60 MB).
 BLOCK = 1 << 20
 WIDE_BYTES = 1 << 40
 LAST = (1 << 63) - 1  # stands for a null id
@@ -68,7 +68,7 @@ def _sent(buckets: int, wide: bool, width: int):
         gone = later(h, g if wide else None, ids[doc], start)
         bucket = (g >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(g), np.int64)
         rows = {n: [] for n in names}
-        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
             mine = order[edges[b] : edges[b + 1]]
@@ -98,7 +98,7 @@ def _sent(buckets: int, wide: bool, width: int):
             h, g = rolling(values, width)[ok], mix(rolling(values, width, base=0x27BB2EE687B0B0FD)[ok])
             parts.append((ids, tags, doc, ok - words.of[doc], h, g))
             held += len(ok)
-            if held >= BLOCK:
+            if held >= block_size(BLOCK, buckets):
                 yield flush(parts)
                 parts, held = [], 0
         if parts:
@@ -171,10 +171,10 @@ def _tag(text_col: str):
 
 def removal_intervals(docs: DataFrame, window=WINDOW, id_col="doc_id", text_col="text") -> DataFrame:
     """id (a null one as 2**63-1), tag, and the begins and ends of the maximal intervals of words to remove; documents without any have no row."""
-    buckets = 1 << (n_buckets(docs) - 1).bit_length()
+    buckets = n_buckets(docs)
     wide = plan_bytes(docs) > WIDE_BYTES
     run, schema = _sent(buckets, wide, window)
-    sent = docs.select(_key(id_col), _tag(text_col), F.col(text_col)).mapInArrow(run, schema)
+    sent = arrow_map(docs.select(_key(id_col), _tag(text_col), F.col(text_col)), run, schema)
     gone = sent.groupBy("bucket").applyInArrow(*_compared(wide, buckets))
     return gone.groupBy("shard").applyInArrow(*_merged(window))
 
@@ -203,7 +203,7 @@ def dedup_substrings(docs: DataFrame, window=WINDOW, id_col="doc_id", text_col="
 
     left = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _key(id_col).alias("id"), _tag(text_col).alias("tag"))
     both = left.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "text", "begins", "ends")
-    return both.mapInArrow(cut, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_text string")
+    return arrow_map(both, cut, f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_text string")
 
 
 def substring_report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_ALNUM, Words, byte_sums, mix, pack, pieces, text_buffers, unpack
+from .blocks import NOT_ALNUM, Words, arrow_map, byte_sums, mix, pack, pieces, text_buffers, unpack
 
 # Closed word classes of the grammar, in four languages.
 THREAT = "kill hurt destroy crush smash burn beat murder shoot stab töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
@@ -264,14 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE, id_col="doc_id", text
     """The model, from a bounded sample: at most 2*sample rows are ever read into it."""
     rows = sample_of(docs, labels, sample, id_col, text_col, label_id, label_col).persist()
     try:
-        arcs, weights = learn_arcs(rows.mapInArrow(_counts, "h binary, a binary, b binary, toxic long, clean long").collect())
+        arcs, weights = learn_arcs(arrow_map(rows, _counts, "h binary, a binary, b binary, toxic long, clean long").collect())
 
         def features(batches):
             for p in pieces(batches, 0):
                 f = piece_features(*text_buffers(p.column(0)), arcs, weights)
                 yield pa.RecordBatch.from_arrays([p.column(1), p.column(2), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["y", "half", "f"])
 
-        got = [r for r in rows.mapInArrow(features, "y int, half int, f array<double>").collect() if r.half == 1]
+        got = [r for r in arrow_map(rows, features, "y int, half int, f array<double>").collect() if r.half == 1]
     finally:
         rows.unpersist()
     y = np.array([r.y for r in got], float)
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Model, columns, text_col="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*p.columns[: len(columns)], pa.array(s, pa.float64())], names=[*columns, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col(text_col)).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double"]))
+    return arrow_map(docs.select(*(F.col(f"`{c}`") for c in columns), F.col(text_col)), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double"]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample=SAMPLE) -> DataFrame:
