@@ -12,7 +12,6 @@ input are ignored. Very long values are read whole, one at a time.
 """
 
 import functools
-import hashlib
 import struct
 import zlib
 

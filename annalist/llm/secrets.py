@@ -12,7 +12,6 @@ Rows: a null or empty text has no spans. Very long texts are scanned whole. Repe
 empty table none. Other columns of the input are ignored.
 """
 
-import hashlib
 import math
 import re
 
