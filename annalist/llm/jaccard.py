@@ -7,6 +7,9 @@ hashes), and goes in three steps:
    class, so if tokens are dealt by hash into k+2 segments, two segments at least are equal in both. Every set sends
    one signature per segment, for its own size class and the next; sets that share a signature are in one family.
    (A set with two or more empty segments sends those as well: two equal segments may both be empty.)
+   Below a similarity of 0.9 segments would have so few tokens that a shared line makes them equal. There the signatures
+   are a set's first tokens in one order of all tokens, n - ceil(t*n) + 1 of n: two sets that link share one of these.
+   Tokens that repeat within a task come last in the order, so lines of many sets are rarely among the first.
 2. A family is cut into blocks of bounded size; every pair of its blocks is one task, so no task grows with a family,
    and families of one block are one task.
 3. In a task, sets join groups one by one. A group keeps the union of its tokens as a row of a matrix; a set's overlap
@@ -18,6 +21,8 @@ Texts of fewer words than a shingle are one token. Ids may be null (never the na
 repeated: rows are linked by their texts. An empty table gives no rows. Other columns are ignored.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +31,14 @@ from pyspark.sql import functions as F
 from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
 from .components import components, stars
 
-WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of the contract
+WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of op10's contract
+SIMILARITY = (NUMERATOR, DENOMINATOR)  # of a similarity (n, d), sets link at n/d
 #: A block of a family has at most so many sets and tokens (or one set).
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
 #: Tokens that a map task gathers at least before it sends their signatures.
 GATHERED = 1 << 20
+#: Repeated tokens that are told to all tasks; which they are only changes how many sets are compared.
+COMMON_TOKENS = 1 << 20
 #: A table of families of at most so many rows (under 50 bytes each) is broadcast, a larger one shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -58,30 +66,29 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
+def size_class(n: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
     """Classes whose upper ends grow by 1/t: sets that link are in one class or in neighbouring ones."""
-    return np.searchsorted(_ENDS, n, side="left")
+    return np.searchsorted(class_ends(similarity), n, side="left")
 
 
-def _class_ends(most: int = 1 << 40) -> np.ndarray:
+@lru_cache
+def class_ends(similarity=SIMILARITY, most: int = 1 << 40) -> np.ndarray:
     ends = [1]
     while ends[-1] < most:
-        ends.append(max(ends[-1] + 1, ends[-1] * DENOMINATOR // NUMERATOR))
+        ends.append(max(ends[-1] + 1, ends[-1] * similarity[1] // similarity[0]))
     return np.array(ends, np.int64)
 
 
-_ENDS = _class_ends()
-
-
-def segments(level: np.ndarray) -> np.ndarray:
+def segments(level: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
     """Segments at a level: two more than the tokens in which linked sets of its sizes can differ.
 
     Sets of sizes a and b that link differ in at most (1-t)/(1+t)*(a+b) tokens; both are at most the class's end.
     """
-    return 2 * _ENDS[level] * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR) + 2
+    numerator, denominator = similarity
+    return 2 * class_ends(similarity)[level] * (denominator - numerator) // (denominator + numerator) + 2
 
 
-def signatures(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, of: np.ndarray, similarity=SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set): those of every set at the level of its own class and of the next."""
     n = np.diff(of)
     some = np.flatnonzero(n > 0)
@@ -89,8 +96,8 @@ def signatures(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     doc = np.repeat(np.arange(len(n)), n)
     spread = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     for up in (0, 1):
-        level = size_class(n) + up
-        m = np.where(n > 0, segments(np.minimum(level, len(_ENDS) - 1)), 0)
+        level = size_class(n, similarity) + up
+        m = np.where(n > 0, segments(np.minimum(level, len(class_ends(similarity)) - 1), similarity), 0)
         base = np.concatenate([[0], np.cumsum(m)])
         slot = base[doc] + (spread % m[doc].astype(np.uint64)).astype(np.int64)
         total = np.zeros(base[-1], np.uint64)
@@ -106,6 +113,50 @@ def signatures(tokens: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out_sig)[: None if len(some) else 0], np.concatenate(out_set)[: None if len(some) else 0]
 
 
+def prefix_signatures(tokens: np.ndarray, of: np.ndarray, similarity, common) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set): the first tokens of every set, at its own size class and the next; common is (tokens, counts)."""
+    n = np.diff(of)
+    doc = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+        rank = np.where(common[0][at] == tokens, common[1][at], 0)
+    spread = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    order = np.lexsort((spread, rank, doc))
+    first = n - -(-similarity[0] * n // similarity[1]) + 1
+    keep = order[np.arange(len(tokens)) - of[:-1][doc] < first[doc]]  # order keeps the documents' places
+    level = size_class(n, similarity)[doc[keep]].astype(np.uint64)
+    sig = [mix(spread[keep] + mix(level + np.uint64(up + 1))) for up in (0, 1)]
+    return np.concatenate(sig), np.concatenate([doc[keep]] * 2)
+
+
+def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that most sets hold, and counts, of those that repeat among the sets of a task's block."""
+
+    def flush(parts):
+        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        value, count = value[count > 1], count[count > 1]
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), int_array(count)], names=["token", "n"])
+
+    def run(batches):
+        parts, held = [], 0
+        for p in pieces(batches, 0):
+            tokens, of = shingle_sets(Words(*text_buffers(p.column(0))), width)
+            _, first = np.unique(set_ids(tokens, of), return_index=True)
+            parts += [tokens[of[d] : of[d + 1]] for d in first]
+            held += len(tokens)
+            if held >= 4 * GATHERED:
+                yield flush(parts)
+                parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    top = arrow_map(texts, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).toArrow()
+    token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
 def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64)])
@@ -115,8 +166,11 @@ def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
 # --- step 1: documents, and families of similar sets -----------------------------------------------------------
 
 
-def _sets_and_signatures(width: int, buckets: int):
-    """Rows of two kinds: one of each document (bucket null), and packed signatures of the sets of a block by bucket."""
+def _sets_and_signatures(width: int, buckets: int, similarity=SIMILARITY, common=None):
+    """Rows of two kinds: one of each document (bucket null), and packed signatures of the sets of a block by bucket.
+
+    common is None for signatures of segments, else a broadcast of the tokens that come last in the order of prefixes.
+    """
     bits = np.uint64(64 - (buckets - 1).bit_length())
     names = ["doc_id", "key", "n", "s", "bucket", "sigs", "sets"]
 
@@ -148,7 +202,8 @@ def _sets_and_signatures(width: int, buckets: int):
             if not len(first):
                 continue
             pick = np.concatenate([tokens[of[d] : of[d + 1]] for d in first])
-            sig, owner = signatures(pick, np.concatenate([[0], np.cumsum(n[first])]))
+            cut = np.concatenate([[0], np.cumsum(n[first])])
+            sig, owner = signatures(pick, cut, similarity) if common is None else prefix_signatures(pick, cut, similarity, common.value)
             parts.append((sig, ids[first][owner]))
             held += len(pick)
             if held >= block_size(GATHERED, buckets):
@@ -178,13 +233,14 @@ def _shared_signatures(table: pa.Table) -> pa.Table:
 # --- step 3: the token-group matrix of one task ----------------------------------------------------------------
 
 
-def linked(overlap, a, b):
-    """100 * intersection >= 90 * union."""
-    return DENOMINATOR * overlap >= NUMERATOR * (a + b - overlap)
+def linked(overlap, a, b, similarity=SIMILARITY):
+    """denominator * intersection >= numerator * union."""
+    return similarity[1] * overlap >= similarity[0] * (a + b - overlap)
 
 
-def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], similarity=SIMILARITY) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets, by a matrix of groups and tokens."""
+    numerator, denominator = similarity
     size = np.array([len(x) for x in sets], np.int64)
     if not len(sets):
         return []
@@ -204,13 +260,13 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         own, n, joined = cols[q], int(size[q]), None
         if live and len(own):
             rows = np.array(live)
-            rows = rows[high[rows] * DENOMINATOR >= NUMERATOR * n]  # sets come in order of size
+            rows = rows[high[rows] * denominator >= numerator * n]  # sets come in order of size
             bound = union[np.ix_(rows, own)].sum(1)  # no member shares more; the smallest that can link needs least
             mark[own] = True
-            for g in rows[linked(bound, np.maximum(low[rows], -(-NUMERATOR * n // DENOMINATOR)), n)].tolist():
+            for g in rows[linked(bound, np.maximum(low[rows], -(-numerator * n // denominator)), n, similarity)].tolist():
                 for at in range(0, len(members[g]), 64):  # opened: members until one links
-                    some = [m for m in reversed(members[g][max(0, len(members[g]) - at - 64) : len(members[g]) - at]) if DENOMINATOR * size[m] >= NUMERATOR * n]
-                    hit = next((m for m in some if linked(int(mark[cols[m]].sum()), int(size[m]), n)), None)
+                    some = [m for m in reversed(members[g][max(0, len(members[g]) - at - 64) : len(members[g]) - at]) if denominator * size[m] >= numerator * n]
+                    hit = next((m for m in some if linked(int(mark[cols[m]].sum()), int(size[m]), n, similarity)), None)
                     if hit is not None:
                         out.append((hit, q))
                         if joined is None:
@@ -239,24 +295,30 @@ def group_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(table: pa.Table) -> pa.Table:
+def _verified(similarity=SIMILARITY):
     """A pair of blocks of one family."""
-    s = table.column("s").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-    links = group_links(sets)
-    a, b = stars([int(s[x]) for x, _ in links], [int(s[y]) for _, y in links])
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table.column("s").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        links = group_links(sets, similarity)
+        a, b = stars([int(s[x]) for x, _ in links], [int(s[y]) for _, y in links])
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 # --- the join --------------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), component_id."""
     kind = dict(docs.dtypes)[id_col]
     buckets = n_buckets(docs)
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    mapped = arrow_map(own, _sets_and_signatures(width, buckets), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
+    short = 10 * similarity[0] < 9 * similarity[1]
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(own.select("text"), width)) if short else None
+    mapped = arrow_map(own, _sets_and_signatures(width, buckets, similarity, common), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
     mapped = materialize(mapped, "sets")
     rows = mapped.where("bucket is null").select("doc_id", "key", "n", "s")
     shared = mapped.where("bucket is not null").select("bucket", "sigs", "sets").groupBy("bucket").applyInArrow(_shared_signatures, "a long, b long")
@@ -284,7 +346,7 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = sets.select("s", "family", "block", "tokens", "blocks", other).where("blocks = 1 or other <> block")
     paired = paired.select("s", "tokens", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = paired.groupBy("family", "i", "j").applyInArrow(_verified, "a long, b long")
+    links = paired.groupBy("family", "i", "j").applyInArrow(_verified(similarity), "a long, b long")
     roots = components(links).select(F.col("node").alias("s"), F.col("root"))
     # The smallest id of every component, over the sets that are in one; other sets are their own.
     least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -295,9 +357,9 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def keep_one(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text") -> DataFrame:
+def keep_one(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns; rows without words all stay."""
-    rows = materialize(jaccard_components(docs, width, id_col, text_col), "components")
+    rows = materialize(jaccard_components(docs, width, id_col, text_col, similarity), "components")
     first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
     gone = materialize(rows.where("n_shingles > 0").select("key").distinct().join(first, "key", "left_anti"), "gone")
     twice = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(gone, "key", "left_anti").select("key"), "twice")

@@ -18,8 +18,8 @@ def toxicity(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of linked documents stays."""
-    return keep_one(docs)
+    """One document of each group of linked documents stays; sets of five-word shingles link at similarity 0.8."""
+    return keep_one(docs, width=5, similarity=(80, 100))
 
 
 def decontamination(spark, docs, sf_dir):

@@ -420,6 +420,33 @@ def test_jaccard_families(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.jaccard_report(df).collect()) == brute_components(rows)
 
 
+def test_jaccard_similarity(spark, monkeypatch):
+    """Five-word shingles at 0.8: copies with one-word edits every n words, n around 45, and chains of all sizes."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows = []
+    for n in (4, 5, 9, 14, 30, 44, 46, 50, 56, 60, 120, 300):
+        base = [word() for _ in range(n * 4)]
+        near = [word() if i % n == n // 2 else w for i, w in enumerate(base)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+        for _ in range(9):
+            base = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, max(1, n // 12)])):
+                base[rnd.randrange(len(base))] = word()
+            rows.append((len(rows), " ".join(base)))
+    sets = [shingles(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 5, similarity=(80, 100)).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i, _ in rows}
+    assert sorted(r.doc_id for r in jaccard.keep_one(df, 5, similarity=(80, 100)).collect()) == sorted(set(root))
+
+
 def test_group_links():
     rnd = random.Random(4)
     for _ in range(40):

@@ -39,6 +39,15 @@ def test_near_duplicates(stages):
     assert Counter(i for i, _ in rows(stages[2])) == want
 
 
+def test_near_duplicates_at_the_stage_default(spark, sf_dir):
+    """A copy with one-word edits every 50 words goes: under 0.9 of three-word shingles, over 0.8 of five-word ones."""
+    words = [f"w{i}" for i in range(300)]
+    near = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    far = [f"y{i}" if i % 30 == 15 else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(i for i, _ in rows(dict(cp.STAGES)["near_duplicates"](spark, df, sf_dir))) == [1, 3]
+
+
 def test_decontamination(spark, sf_dir, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {k[0] for k in brute_contamination(rows(stages[2]), items, 10) if k[5]}
