@@ -312,7 +312,7 @@ def _verified(similarity=SIMILARITY):
 
 
 def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), component_id."""
+    """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), root (its component's smallest s), component_id."""
     kind = dict(docs.dtypes)[id_col]
     buckets = n_buckets(docs)
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
@@ -351,16 +351,17 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     # The smallest id of every component, over the sets that are in one; other sets are their own.
     least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "root").select("s", "component_id")
-    linked_rows = rows.where("n > 0").join(named, "s").select("doc_id", "key", "n", "s", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "key", "n", "s", F.col("doc_id").alias("component_id"))
+    named = least.join(names, "root").select("s", "root", "component_id")
+    linked_rows = rows.where("n > 0").join(named, "s").select("doc_id", "key", "n", "s", "root", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "key", "n", "s", F.col("s").alias("root"), F.col("doc_id").alias("component_id"))
     return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def keep_one(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns; rows without words all stay."""
     rows = materialize(jaccard_components(docs, width, id_col, text_col, similarity), "components")
-    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
+    # By root: unlinked components share a component_id where ids are null or repeated.
+    first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"))
     gone = materialize(rows.where("n_shingles > 0").select("key").distinct().join(first, "key", "left_anti"), "gone")
     twice = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(gone, "key", "left_anti").select("key"), "twice")
     some = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x

@@ -402,6 +402,15 @@ def test_jaccard(docs, empty, texts, spark, monkeypatch):
     assert sorted(i for i in kept if i is not None) == sorted(names | {d for d, n, _ in got if not n}) and jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """Unlinked texts stay though their ids are null or the same; copies among them go."""
+    rows = [(None, "one two three four"), (None, "five six seven eight"), (None, "nine ten eleven twelve"), (None, "Nine ten eleven twelve"), (None, "five six seven eight")]
+    rows += [(7, "red green blue grey"), (7, "north east south west"), (8, "North east south west"), (9, "alone in this table"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.text or "").lower() for r in jaccard.keep_one(df).collect())
+    assert kept == Counter({t: 1 for t in {(t or "").lower() for _, t in rows}}) + Counter([""])
+
+
 def test_jaccard_families(spark, monkeypatch):
     """Chains of near copies around the threshold, of all sizes, in families larger than a block."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
