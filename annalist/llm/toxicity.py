@@ -7,6 +7,7 @@ run. A document's channels, with its length, enter a logistic model.
 
 What is learned from labels: the insult arcs (words and word beginnings whose rate in toxic documents stands out) and
 the logistic weights, each on its own half of a bounded sample of labelled rows (SAMPLE rows of each class, by hash).
+Sampled rows are weighted so that the classes count at the rates of all usable labels, whatever the sample holds.
 Labels, language, source and id are never inputs of a score.
 
 Rows: a null or empty text has no words and the score of a text without matches. Labels that are null, repeated or
@@ -175,9 +176,11 @@ def _inputs(f: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(f), 1)), np.log1p(c), per, np.log1p(f[:, -3:-2]), np.log1p(f[:, -1:]), np.minimum(100.0 * f[:, -1:] / n, 20.0), (f[:, -1:] == 0), (f[:, -1:] == 1), np.log1p(n)])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge-penalised logistic regression by Newton steps: (mean, scale, weights)."""
-    mean, scale = x.mean(0), x.std(0)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40, worth=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge-penalised logistic regression of rows of given worth (1 each) by Newton steps: (mean, scale, weights)."""
+    worth = np.ones(len(y)) if worth is None else worth
+    mean = np.average(x, 0, worth)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, worth))
     mean[0], scale[0] = 0.0, 1.0
     scale[scale < 1e-9] = 1.0
     z = (x - mean) / scale
@@ -186,7 +189,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z * (worth * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.diag(penalty), z.T @ (worth * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -201,9 +204,14 @@ def held_out(id_col: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
+def usable(labels: DataFrame, label_id: str, label_col: str) -> DataFrame:
+    """(id, y): the labels that may be learned from, one for each id."""
+    return labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_id: str, label_col: str) -> DataFrame:
     """(text, y, half): at most sample labelled rows of each class that are not held out, chosen by a hash of the id."""
-    ids = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+    ids = usable(labels, label_id, label_col)
     order = F.xxhash64(F.col("id"), F.lit(5))
     picked = ids.where("y = 1").orderBy(order, "id").limit(sample).unionByName(ids.where("y = 0").orderBy(order, "id").limit(sample))
     half = F.pmod(F.xxhash64(F.col("id"), F.lit(6)), F.lit(2)).cast("int")
@@ -211,6 +219,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text
     return own.join(F.broadcast(picked), "id").select("text", "y", half.alias("half"))
 
 
+def class_worth(labels: DataFrame, sample: int, label_id: str, label_col: str) -> np.ndarray:
+    """What a sampled row of class 0 and 1 counts: the class's share of all usable labels over its share of the sample."""
+    n = {r["y"]: r["count"] for r in usable(labels, label_id, label_col).groupBy("y").count().collect()}
+    whole = np.array([n.get(0, 0), n.get(1, 0)], float)
+    taken = np.minimum(whole, sample)
+    return np.divide(whole * max(taken.sum(), 1.0), taken * max(whole.sum(), 1.0), out=np.ones(2), where=taken > 0)
+
+
 def _counts(batches):
     """Per piece: arcs and how many documents of each class (and half 0) hold them."""
     for p in pieces(batches, 0):
@@ -275,12 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE, id_col="doc_id", text
     finally:
         rows.unpersist()
     y = np.array([r.y for r in got], float)
+    worth = class_worth(labels, sample, label_id, label_col)[y.astype(int)]
     width = _inputs(np.zeros((1, len(CHANNELS) + 3))).shape[1]
     if len(y) < 10 or y.min() == y.max():
         coef = np.zeros(width)
-        coef[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
+        coef[0] = np.log(((worth * y).sum() + 0.5) / ((worth * (1 - y)).sum() + 0.5)) if len(y) else 0.0
         return Model(arcs, weights, np.zeros(width), np.ones(width), coef)
-    return Model(arcs, weights, *fit_logistic(_inputs(np.array([r.f for r in got])), y))
+    return Model(arcs, weights, *fit_logistic(_inputs(np.array([r.f for r in got])), y, worth=worth))
 
 
 def score(docs: DataFrame, model: Model, columns, text_col="text") -> DataFrame:

@@ -191,6 +191,24 @@ def test_toxicity(spark):
     assert len({r.score for r in none}) == 1 and toxicity.toxicity_report(docs.where("false"), lab).count() == 0
 
 
+def test_toxicity_keeps_the_class_rates(spark):
+    """The prior does not depend on the caps of the sample: one document in eight is toxic, and scores say so."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("bcdfgh") + rnd.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows = []
+    for i in range(1600):
+        w = [rnd.choice(words) for _ in range(rnd.randint(20, 40))]
+        if i % 8 == 0 and rnd.random() < 0.7:
+            w[5] = "idiotish"
+        rows.append((i, " ".join(w), int(i % 8 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(2)
+    texts = blocks.text_buffers(pa.array([t for _, t, _ in rows]))
+    mean = {n: toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), n).scores(*texts).mean() for n in (80, 4000)}
+    assert all(abs(m - 0.125) < 0.03 for m in mean.values()), mean
+
+
 def test_grammar():
     t = toxicity
     run = lambda *s: dict(zip(t.CHANNELS, t.run_clause(list(s), [1.0] * len(s))))
