@@ -3,7 +3,8 @@
 Five small transducers read the words of a clause as symbols: insult (weighted), threat, target, negation and reported
 speech. Their composition is one machine whose state says what has been seen; each insult or threat leaves it with a
 weight in one of the channels plain, targeted, negated, reported and threat. A clause without insult or threat is not
-run. A document's channels, with its length, enter a logistic model.
+run. A document's channels and matched clauses, with its length, enter a logistic model. An apostrophe separates words,
+so a contraction of a class is met at its second word (isn t), read with the word before it.
 
 What is learned from labels: the insult arcs (words and word beginnings whose rate in toxic documents stands out) and
 the logistic weights, each on its own half of a bounded sample of labelled rows (SAMPLE rows of each class, by hash).
@@ -139,19 +140,18 @@ def _class_hashes():
 
 
 def piece_features(data: np.ndarray, offsets: np.ndarray, arcs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each document of a piece: the channels, matched clauses, words, and matches."""
+    """For each document of a piece: the channels, matched clauses, and words."""
     words = Words(data, offsets, NOT_ALNUM)
     weight = word_weights(words, arcs, weights)
     threats = np.isin(words.hashes(lower=True), _class_hashes())
-    out = np.zeros((len(offsets) - 1, len(CHANNELS) + 3))
-    out[:, -2] = words.counts()
+    out = np.zeros((len(offsets) - 1, len(CHANNELS) + 2))
+    out[:, -1] = words.counts()
     hits = np.flatnonzero((weight > 0) | threats)
     raw, done = data.tobytes(), -1
     low = raw.lower() if len(hits) else b""
     start, end, of = words.start, words.end, words.of
     docs = np.searchsorted(of, hits, side="right") - 1
     for i, d in zip(hits.tolist(), docs.tolist()):
-        out[d, -1] += weight[i] > 0
         if i <= done:
             continue  # in the clause that was just read
         a, first, last = i, int(of[d]), int(of[d + 1])
@@ -161,7 +161,7 @@ def piece_features(data: np.ndarray, offsets: np.ndarray, arcs: np.ndarray, weig
         while b < last and not _ENDS.intersection(raw[end[b - 1] : start[b]]):
             b += 1
         done = b - 1
-        symbols = [INSULT if weight[k] > 0 else _CLASSES.get(low[start[k] : end[k]], OTHER) for k in range(a, b)]
+        symbols = [INSULT if weight[k] > 0 else _CLASSES.get(low[start[k] : end[k]]) or k > a and _CLASSES.get(low[start[k - 1] : end[k]]) or OTHER for k in range(a, b)]
         channels = run_clause(symbols, weight[a:b].tolist())
         out[d, : len(CHANNELS)] += channels
         out[d, len(CHANNELS)] += any(channels)
@@ -169,11 +169,11 @@ def piece_features(data: np.ndarray, offsets: np.ndarray, arcs: np.ndarray, weig
 
 
 def _inputs(f: np.ndarray) -> np.ndarray:
-    """Inputs of the logistic model from features: 1, channels as they are and by length, matches by length."""
-    n = np.maximum(f[:, -2:-1], 1.0)
+    """Inputs of the logistic model from features: 1, channels as they are and by length, matched clauses, length."""
+    n = np.maximum(f[:, -1:], 1.0)
     c = f[:, : len(CHANNELS)]
     per = np.minimum(100.0 * c / n, 20.0)
-    return np.hstack([np.ones((len(f), 1)), np.log1p(c), per, np.log1p(f[:, -3:-2]), np.log1p(f[:, -1:]), np.minimum(100.0 * f[:, -1:] / n, 20.0), (f[:, -1:] == 0), (f[:, -1:] == 1), np.log1p(n)])
+    return np.hstack([np.ones((len(f), 1)), np.log1p(c), per, np.log1p(f[:, -2:-1]), np.log1p(n)])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40, worth=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE, id_col="doc_id", text
         rows.unpersist()
     y = np.array([r.y for r in got], float)
     worth = class_worth(labels, sample, label_id, label_col)[y.astype(int)]
-    width = _inputs(np.zeros((1, len(CHANNELS) + 3))).shape[1]
+    width = _inputs(np.zeros((1, len(CHANNELS) + 2))).shape[1]
     if len(y) < 10 or y.min() == y.max():
         coef = np.zeros(width)
         coef[0] = np.log(((worth * y).sum() + 0.5) / ((worth * (1 - y)).sum() + 0.5)) if len(y) else 0.0

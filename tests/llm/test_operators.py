@@ -219,6 +219,19 @@ def test_grammar():
     assert run(t.THREATS, t.TARGETS)["threat"] == 1 and run(t.THREATS)["threat"] == 0 and run(t.NEGATIONS, t.THREATS, t.TARGETS)["threat"] == 0
 
 
+def test_contractions_and_inputs():
+    """A contraction is read though its apostrophe separates words; nothing but clauses and length enters the model."""
+    import pyarrow as pa
+
+    t = toxicity
+    arc = t._prefix_hashes(blocks.Words(*blocks.text_buffers(pa.array(["idiotish"])), blocks.NOT_ALNUM), np.array([0]))[0]
+    texts = ["He ISN'T an idiotish man.", "They don't hurt you.", "isn t idiotish", "It's idiotish", "one isn't. Idiotish", "idiotish man wasn't"]
+    f = t.piece_features(*blocks.text_buffers(pa.array(texts)), arc, np.array([1.0]))
+    got = [[c for c, v in zip(t.CHANNELS, row) if v] for row in f]
+    assert got == [["negated"], [], ["plain"], ["plain"], ["plain"], ["plain"]]
+    assert f.shape[1] == len(t.CHANNELS) + 2 and f[:, -2].tolist() == [1, 0, 1, 1, 1, 1] and f[:, -1].tolist() == [6, 5, 3, 3, 4, 4]
+
+
 def test_tokens(docs, empty, texts):
     from tokenizers import Tokenizer
 
