@@ -4,7 +4,8 @@ A candidate is a maximal run of [A-Za-z0-9+/_=-]. A window of WINDOW characters
 characters change by one in and one out, and with them the sum of n*log2(n), from which the window's Shannon entropy
 follows. The threshold depends on the character class of the window: digits and hexadecimal letters, letters and
 digits of one case, or mixed case. Windows above it merge into one span. Windows without both a letter and a digit,
-and runs that the allow-list knows (placeholders, sequences, UUIDs, paths of words), are suppressed.
+and what the allow-list knows, are suppressed: whole runs (UUIDs, paths of words), windows that touch a part between
+separators which holds a placeholder's name, and windows that touch a sequence or a run of one character.
 
 Positions are found in UTF-8 bytes and reported in code points, end exclusive.
 
@@ -31,12 +32,14 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 WINDOW = 20
 #: Least entropy, in bits a character, of a window of 20 by its class.
 THRESHOLDS = {"hex": 3.0, "single": 3.5, "mixed": 3.75}
+#: Of a whole run; names that no window may touch the part of; and what no window may touch.
 ALLOWED = (
-    re.compile(rb"(?i)example|sample|dummy|placeholder|x{6,}|0{8,}"),
     re.compile(rb"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-    re.compile(rb"(?i)0123456789|abcdefghij"),
     re.compile(rb"^[A-Za-z]*([-_/=+][A-Za-z]*|[-_/=+][0-9]{1,4})*$"),
 )
+NAMES = re.compile(rb"(?i)example|sample|dummy|placeholder")
+SEQUENCES = re.compile(rb"(?i)x{6,}|0{8,}|0123456789|abcdefghij")
+_PART = re.compile(rb"[A-Za-z0-9]+")
 
 _HEX = tuple(b for b in range(256) if b not in b"0123456789abcdef")
 _CANDIDATE = tuple(b for b in range(256) if b not in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -73,8 +76,13 @@ def entropy_spans(s: bytes, width: int = WINDOW, thresholds=None, allowed=ALLOWE
     thresholds = thresholds or THRESHOLDS
     if len(s) < width or any(a.search(s) for a in allowed):
         return []
+    touched = np.zeros(len(s) + 1, bool)
+    for m in (*(p for p in _PART.finditer(s) if NAMES.search(p[0])), *SEQUENCES.finditer(s)):
+        touched[max(0, m.start() - width + 1) : m.end()] = True
     spans: list[tuple[int, int]] = []
     for i, h in enumerate(window_entropies(s, width)):
+        if touched[i]:
+            continue
         kind = _class(s[i : i + width])
         if kind and h >= thresholds[kind]:
             if spans and i <= spans[-1][1]:

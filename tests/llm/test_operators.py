@@ -315,6 +315,15 @@ def test_secrets(docs, empty, spark):
     assert secrets.secret_report(docs).count() == docs.count() and secrets.secret_report(empty).count() == 0
 
 
+def test_placeholders_hide_only_what_they_touch():
+    key = b"Zq3xT9vLk2Wm8RpYc5Nb7Hd4"
+    found = lambda x: [x[a:b] for a, b in secrets.entropy_spans(x)]
+    for s in (b"sample_db_pw=" + key, b"/srv/example/" + key, key + b"/dummy", b"00000000" + key, key + b"_0123456789"):
+        assert len(found(s)) == 1 and key in found(s)[0] and not re.search(b"sample|example|dummy|00000000|0123456789", found(s)[0]), s
+    for s in (key + b"example", b"example" + key, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"123e4567-e89b-12d3-a456-426614174000", b"/usr/local/share/some/long/path/to/files"):
+        assert found(s) == [], s
+
+
 def test_language_model(docs, empty, texts, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK", 300)
     rows = [(r.doc_id, [*((r.text or "").translate(AZ).encode().split()), None]) for r in docs.collect()]
