@@ -3,15 +3,14 @@
 A document is the set of hashes of its `width`-word shingles; equal sets are one node. The join is exact (up to 64-bit
 hashes), and goes in three steps:
 
-1. Similar documents are partitioned into families. Two sets that link differ in at most k tokens, k from their size
-   class, so if tokens are dealt by hash into k+2 segments, two segments at least are equal in both. Every set sends
-   one signature per segment, for its own size class and the next; sets that share a signature are in one family.
-   (A set with two or more empty segments sends those as well: two equal segments may both be empty.)
-   Below a similarity of 0.9 segments would have so few tokens that a shared line makes them equal. There the signatures
-   are a set's first tokens in one order of all tokens, n - ceil(t*n) + 1 of n: two sets that link share one of these.
-   Tokens that repeat within a task come last in the order, so lines of many sets are rarely among the first.
-2. A family is cut into blocks of bounded size; every pair of its blocks is one task, so no task grows with a family,
-   and families of one block are one task.
+1. Similar documents are partitioned into families. All tokens have one order, in which those that repeat within a
+   task come last. Two sets of a and b tokens that link share at least t/(1+t)*(a+b), so they share one of each other's
+   first tokens, with that many tokens from there on in both. Every set sends its first tokens, their places and its
+   size to hash buckets; sets that agree in a token so are in one family. A set so small that linking means equality
+   sends none. Tokens of very many sets are not gathered in a bucket: their sets are tied to a node of token and size.
+2. A family is cut into blocks of bounded size, each a task of its own. Some sets of a large family, its leaders, go to
+   all of its blocks, so that what is alike is tied together at once. Whatever a large family's greatest component then
+   lacks is compared, in chunks, with all blocks: no link is lost, and no pairs within the component are compared twice.
 3. In a task, sets join groups one by one. A group keeps the union of its tokens as a row of a matrix; a set's overlap
    with each row bounds its overlap with every member. Only groups whose bound reaches the threshold are opened, and
    members compared exactly until one links. A task returns a spanning forest, never all pairs.
@@ -33,12 +32,15 @@ from .components import components, stars
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of op10's contract
 SIMILARITY = (NUMERATOR, DENOMINATOR)  # of a similarity (n, d), sets link at n/d
-#: A block of a family has at most so many sets and tokens (or one set).
-BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
-#: Tokens that a map task gathers at least before it sends their signatures.
+#: A block of a family has about so many sets and tokens at most (or one set); a family of several has so many leaders.
+BLOCK_SETS, BLOCK_TOKENS, LEADERS = 128, 1 << 19, 8
+#: Tokens that a map task gathers at least before it sends their first ones.
 GATHERED = 1 << 20
-#: Repeated tokens that are told to all tasks; which they are only changes how many sets are compared.
-COMMON_TOKENS = 1 << 20
+#: Repeated tokens that are told to all tasks, and those that a block of texts reports at most; which they are only
+#: changes how many sets are compared.
+COMMON_TOKENS, REPORTED_TOKENS = 1 << 20, 1 << 18
+#: A common token of more sets than this is a node of its own; a bucket's list of more sets than that is read as a chain.
+HOT_SETS, LONG_LIST = 1 << 16, 2048
 #: A table of families of at most so many rows (under 50 bytes each) is broadcast, a larger one shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -79,42 +81,14 @@ def class_ends(similarity=SIMILARITY, most: int = 1 << 40) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def segments(level: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
-    """Segments at a level: two more than the tokens in which linked sets of its sizes can differ.
-
-    Sets of sizes a and b that link differ in at most (1-t)/(1+t)*(a+b) tokens; both are at most the class's end.
-    """
-    numerator, denominator = similarity
-    return 2 * class_ends(similarity)[level] * (denominator - numerator) // (denominator + numerator) + 2
+def needed(total, similarity=SIMILARITY):
+    """The least overlap of two sets of together total tokens that link."""
+    return -(-similarity[0] * total // (similarity[0] + similarity[1]))
 
 
-def signatures(tokens: np.ndarray, of: np.ndarray, similarity=SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set): those of every set at the level of its own class and of the next."""
-    n = np.diff(of)
-    some = np.flatnonzero(n > 0)
-    out_sig, out_set = [], []
-    doc = np.repeat(np.arange(len(n)), n)
-    spread = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for up in (0, 1):
-        level = size_class(n, similarity) + up
-        m = np.where(n > 0, segments(np.minimum(level, len(class_ends(similarity)) - 1), similarity), 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        slot = base[doc] + (spread % m[doc].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, slot, spread)
-        size = np.bincount(slot, minlength=base[-1])
-        owner = np.repeat(np.arange(len(n)), m)
-        empties = np.bincount(owner[size == 0], minlength=len(n))
-        keep = np.flatnonzero((size > 0) | (empties[owner] >= 2))
-        owner = owner[keep]
-        place = (keep - base[owner]).astype(np.uint64) * np.uint64(1 << 20) + level[owner].astype(np.uint64)
-        out_sig.append(mix(mix(total[keep] + size[keep].astype(np.uint64)) + mix(place + np.uint64(1))))
-        out_set.append(owner)
-    return np.concatenate(out_sig)[: None if len(some) else 0], np.concatenate(out_set)[: None if len(some) else 0]
-
-
-def prefix_signatures(tokens: np.ndarray, of: np.ndarray, similarity, common) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set): the first tokens of every set, at its own size class and the next; common is (tokens, counts)."""
+def prefixes(tokens: np.ndarray, of: np.ndarray, similarity, common) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, set, place, rank): the first tokens of every set that can link with another; common is (tokens, counts)."""
+    numerator, denominator = similarity
     n = np.diff(of)
     doc = np.repeat(np.arange(len(n)), n)
     rank = np.zeros(len(tokens), np.int64)
@@ -123,11 +97,11 @@ def prefix_signatures(tokens: np.ndarray, of: np.ndarray, similarity, common) ->
         rank = np.where(common[0][at] == tokens, common[1][at], 0)
     spread = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     order = np.lexsort((spread, rank, doc))
-    first = n - -(-similarity[0] * n // similarity[1]) + 1
-    keep = order[np.arange(len(tokens)) - of[:-1][doc] < first[doc]]  # order keeps the documents' places
-    level = size_class(n, similarity)[doc[keep]].astype(np.uint64)
-    sig = [mix(spread[keep] + mix(level + np.uint64(up + 1))) for up in (0, 1)]
-    return np.concatenate(sig), np.concatenate([doc[keep]] * 2)
+    first = n - -(-numerator * n // denominator) + 1
+    first[n * (denominator - numerator) < numerator] = 0  # linking means equality
+    place = np.arange(len(tokens)) - of[:-1][doc]  # order keeps the documents' places
+    keep = place < first[doc]
+    return spread[order[keep]], doc[keep], place[keep], rank[order[keep]]
 
 
 def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +110,9 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     def flush(parts):
         value, count = np.unique(np.concatenate(parts), return_counts=True)
         value, count = value[count > 1], count[count > 1]
+        if len(value) > REPORTED_TOKENS:
+            top = np.argpartition(-count, REPORTED_TOKENS)[:REPORTED_TOKENS]
+            value, count = value[top], count[top]
         return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), int_array(count)], names=["token", "n"])
 
     def run(batches):
@@ -165,29 +142,41 @@ def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 # --- step 1: documents, and families of similar sets -----------------------------------------------------------
 
+_FIRST = ("sets", "sizes", "counts", "tokens", "places")  # of a bucket's row: its sets, and their first tokens there
+
 
-def _sets_and_signatures(width: int, buckets: int, similarity=SIMILARITY, common=None):
-    """Rows of two kinds: one of each document (bucket null), and packed signatures of the sets of a block by bucket.
+def _sets_and_prefixes(width: int, buckets: int, similarity, common):
+    """Rows of two kinds: one of each document (bucket null), and the first tokens of the sets of a block by bucket.
 
-    common is None for signatures of segments, else a broadcast of the tokens that come last in the order of prefixes.
+    common is a broadcast of the tokens that come last. Bucket -1 has ties (sets, tokens) of sets to nodes of hot tokens.
     """
     bits = np.uint64(64 - (buckets - 1).bit_length())
-    names = ["doc_id", "key", "n", "s", "bucket", "sigs", "sets"]
+    names = ["doc_id", "key", "n", "s", "bucket", *_FIRST]
 
     def flush(parts, kind):
-        sig, s = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        bucket = (mix(sig) >> bits).astype(np.int64)
-        order = np.lexsort((sig, s, bucket))
-        sig, s, bucket = sig[order], s[order], bucket[order]
-        keep = np.ones(len(sig), bool)  # equal sets of a block send once
-        keep[1:] = (sig[1:] != sig[:-1]) | (s[1:] != s[:-1]) | (bucket[1:] != bucket[:-1])
-        sig, s, bucket = sig[keep], s[keep], bucket[keep]
+        s, size, token, place, rank = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        hot = rank > HOT_SETS
+        rows = []
+        if hot.any():
+            level = size_class(size[hot], similarity).astype(np.uint64)
+            nodes = np.concatenate([mix(token[hot] + mix(level + np.uint64(up + 1))) for up in (0, 1)])
+            ties = np.unique(np.stack([np.concatenate([s[hot]] * 2).view(np.uint64), nodes]), axis=1)
+            rows.append((-1, pack(ties[0], compress=False), None, None, pack(ties[1], compress=False), None))
+            s, size, token, place = s[~hot], size[~hot], token[~hot], place[~hot]
+        bucket = (token >> bits).astype(np.int64)
+        order = np.lexsort((token, s, bucket))
+        s, size, token, place, bucket = s[order], size[order], token[order], place[order], bucket[order]
+        keep = np.ones(len(s), bool)  # equal sets of a block send once
+        keep[1:] = (token[1:] != token[:-1]) | (s[1:] != s[:-1])
+        s, size, token, place, bucket = s[keep], size[keep], token[keep], place[keep], bucket[keep]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-        none = [None] * len(some)
-        cols = [pa.array(none, kind), *(pa.array(none, pa.int64()) for _ in range(3)), pa.array(some, pa.int32())]
-        cols += [pa.array([pack(x[edges[b] : edges[b + 1]].view(np.uint64), compress=False) for b in some], pa.binary()) for x in (sig, s)]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            x, y = edges[b], edges[b + 1]
+            at = np.flatnonzero(np.append(True, s[x + 1 : y] != s[x : y - 1]))
+            rows.append((b, pack(s[x:y][at].view(np.uint64), compress=False), pack(size[x:y][at]), pack(np.diff(np.append(at, y - x))), pack(token[x:y].astype(np.uint32), compress=False), pack(place[x:y])))
+        none = [None] * len(rows)
+        cols = [pa.array(none, kind), *(pa.array(none, pa.int64()) for _ in range(3)), pa.array([r[0] for r in rows], pa.int32())]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=names)
 
     def run(batches):
         parts, held, kind = [], 0, None
@@ -195,19 +184,20 @@ def _sets_and_signatures(width: int, buckets: int, similarity=SIMILARITY, common
             kind = p.schema.field(0).type
             tokens, of = shingle_sets(Words(*text_buffers(p.column(2))), width)
             ids, n = set_ids(tokens, of), np.diff(of)
-            none = pa.nulls(p.num_rows, pa.int32()), pa.nulls(p.num_rows, pa.binary()), pa.nulls(p.num_rows, pa.binary())
+            none = [pa.nulls(p.num_rows, pa.int32()), *(pa.nulls(p.num_rows, pa.binary()) for _ in _FIRST)]
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), int_array(n), int_array(ids), *none], names=names)
             _, first = np.unique(ids, return_index=True)
             first = np.sort(first[n[first] > 0])
             if not len(first):
                 continue
             pick = np.concatenate([tokens[of[d] : of[d + 1]] for d in first])
-            cut = np.concatenate([[0], np.cumsum(n[first])])
-            sig, owner = signatures(pick, cut, similarity) if common is None else prefix_signatures(pick, cut, similarity, common.value)
-            parts.append((sig, ids[first][owner]))
+            token, owner, place, rank = prefixes(pick, np.concatenate([[0], np.cumsum(n[first])]), similarity, common.value)
+            if len(token):
+                parts.append((ids[first][owner], n[first][owner], token, place, rank))
             held += len(pick)
-            if held >= block_size(GATHERED, buckets):
-                yield flush(parts, kind)
+            if held >= 2 * block_size(GATHERED, buckets):
+                if parts:
+                    yield flush(parts, kind)
                 parts, held = [], 0
         if parts:
             yield flush(parts, kind)
@@ -215,21 +205,61 @@ def _sets_and_signatures(width: int, buckets: int, similarity=SIMILARITY, common
     return run
 
 
-def _shared_signatures(table: pa.Table) -> pa.Table:
-    """One bucket: sets that share signatures, as stars from the smallest name of each of the bucket's components."""
-    sig, s = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("sigs", "sets"))
-    s = s.view(np.int64)
-    order = np.lexsort((s, sig))
-    sig, s = sig[order], s[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    head = s[np.flatnonzero(new)][np.cumsum(new) - 1]
-    other = head != s
-    pairs = np.unique(np.stack([head[other], s[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
+def agreeing(token: np.ndarray, s: np.ndarray, n: np.ndarray, place: np.ndarray, similarity=SIMILARITY) -> np.ndarray:
+    """Pairs of sets that may link by a token of both: enough tokens are left from there on. Two rows, (a, b).
+
+    In a list of more than LONG_LIST sets only neighbours by size are tied where some pair across them may link.
+    """
+    order = np.lexsort((s, n, token))
+    token, s, n, place = token[order], s[order], n[order], place[order]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (token[1:] != token[:-1]) | (s[1:] != s[:-1])
+    token, s, n, left = token[keep], s[keep], n[keep], (n - place)[keep]
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(s) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(s))
+    last = np.repeat(end, end - start)
+    short = np.repeat(end - start <= LONG_LIST, end - start)
+    out, i, d = [np.zeros((2, 0), np.int64)], np.flatnonzero(short), 1
+    while len(i := i[i + d < last[i]]):
+        j = i + d
+        near = similarity[0] * n[j] <= similarity[1] * n[i]  # sizes ascend: later ones are no nearer
+        i, j = i[near], j[near]
+        least = needed(n[i] + n[j], similarity)
+        ok = (np.minimum(left[i], left[j]) >= least) & ((n[i] < n[j]) | (least < n[i]))
+        out.append(np.unique(np.stack([np.minimum(s[i], s[j])[ok], np.maximum(s[i], s[j])[ok]]), axis=1))
+        d += 1
+    for x, y in zip(start.tolist(), end.tolist()):
+        if y - x > LONG_LIST:
+            reach = np.maximum.accumulate(left[x:y] * (similarity[0] + similarity[1]) // similarity[0] - n[x:y])
+            tied = x + np.flatnonzero(reach[:-1] >= n[x + 1 : y])
+            out.append(np.stack([s[tied], s[tied + 1]]))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
+def _edges(pairs: np.ndarray) -> pa.Table:
     a, b = stars(pairs[0].tolist(), pairs[1].tolist())
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _shared_tokens(similarity):
+    """One bucket: sets that may link, as stars from the smallest name of each of the bucket's components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s, n, count, token, place = ([unpack(x) for x in table.column(c).to_pylist()] for c in _FIRST)
+        count = np.concatenate(count).astype(np.int64)
+        s, n = np.repeat(np.concatenate(s).view(np.int64), count), np.repeat(np.concatenate(n).astype(np.int64), count)
+        return _edges(agreeing(np.concatenate(token), s, n, np.concatenate(place).astype(np.int64), similarity))
+
+    return run
+
+
+def _hot_ties(batches):
+    """Ties of sets to the nodes of hot tokens."""
+    for batch in batches:
+        for sets, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(x).view(np.int64)) for x in (sets, nodes)], names=["a", "b"])
+
+
 # --- step 3: the token-group matrix of one task ----------------------------------------------------------------
 
 
@@ -296,14 +326,15 @@ def group_links(sets: list[np.ndarray], similarity=SIMILARITY) -> list[tuple[int
 
 
 def _verified(similarity=SIMILARITY):
-    """A pair of blocks of one family."""
+    """The links of a block of a family, with the sets that were sent to it."""
 
     def run(table: pa.Table) -> pa.Table:
-        s = table.column("s").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        links = group_links(sets, similarity)
+        s, first = np.unique(table.column("s").to_numpy(), return_index=True)
+        tokens = table.column("tokens")
+        links = group_links([np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in first], similarity)
         a, b = stars([int(s[x]) for x, _ in links], [int(s[y]) for _, y in links])
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        large = pa.array([table.column("blocks")[0].as_py() > 1] * len(a), pa.bool_())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), large], names=["a", "b", "large"])
 
     return run
 
@@ -311,42 +342,69 @@ def _verified(similarity=SIMILARITY):
 # --- the join --------------------------------------------------------------------------------------------------
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table as a join's side: broadcast if it is small, else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def _links(sets: DataFrame, similarity) -> DataFrame:
+    """Links (a, b) of sets (s, family, block, blocks, members, tokens), with the same components as all links."""
+    columns, verify = ["family", "block", "blocks", "s", "tokens"], _verified(similarity)
+    others = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    share = F.pmod(F.xxhash64("s", F.lit(11)), F.lit(1 << 30)) / (1 << 30) * F.col("members")
+    leaders = sets.where("blocks > 1").where(share < LEADERS).select("family", others("blocks", "block"), "blocks", "s", "tokens")
+    found = sets.select(*columns).unionByName(leaders).groupBy("family", "block").applyInArrow(verify, "a long, b long, large boolean")
+    found = materialize(found, "links")
+    links = found.select("a", "b")
+    large = sets.where("blocks > 1").select("s", "family", F.octet_length("tokens").alias("bytes"))
+    if not large.limit(1).count():
+        return links
+    # The sets of a large family outside its greatest component meet all of its blocks, in chunks.
+    roots = components(found.where("large").select("a", "b")).withColumnRenamed("node", "s")
+    own = materialize(large.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "roots")
+    greatest = own.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("greatest"))
+    rest = materialize(own.join(_bounded(materialize(greatest, "greatest")), "family").where("root <> greatest").select("s", "family", "bytes"), "rest")
+    if not rest.limit(1).count():
+        return links
+    chunks = rest.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("bytes") / (8 * BLOCK_TOKENS))).cast("int").alias("chunks"))
+    chunks = _bounded(materialize(chunks, "chunks"))
+    rest = materialize(rest.join(chunks, "family").select("s", F.pmod(F.xxhash64("s", F.lit(12)), F.col("chunks")).cast("int").alias("chunk")).distinct(), "rest")
+    build = sets.join(chunks, "family").select(*columns, others("chunks", "chunk"))
+    probe = sets.join(_bounded(rest), "s").select("family", others("blocks", "block"), "blocks", "s", "tokens", "chunk")
+    more = build.unionByName(probe).groupBy("family", "block", "chunk").applyInArrow(verify, "a long, b long, large boolean")
+    return links.unionByName(more.select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key (of its id and text), n_shingles, s (its set's name), root (its component's smallest s), component_id."""
     kind = dict(docs.dtypes)[id_col]
     buckets = n_buckets(docs)
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    short = 10 * similarity[0] < 9 * similarity[1]
-    common = docs.sparkSession.sparkContext.broadcast(common_tokens(own.select("text"), width)) if short else None
-    mapped = arrow_map(own, _sets_and_signatures(width, buckets, similarity, common), f"doc_id {kind}, key long, n long, s long, bucket int, sigs binary, sets binary")
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(own.select("text"), width))
+    mapped = arrow_map(own, _sets_and_prefixes(width, buckets, similarity, common), f"doc_id {kind}, key long, n long, s long, bucket int, " + ", ".join(f"{c} binary" for c in _FIRST))
     mapped = materialize(mapped, "sets")
     rows = mapped.where("bucket is null").select("doc_id", "key", "n", "s")
-    shared = mapped.where("bucket is not null").select("bucket", "sigs", "sets").groupBy("bucket").applyInArrow(_shared_signatures, "a long, b long")
-    families = components(shared)
+    shared = mapped.where("bucket >= 0").select("bucket", *_FIRST).groupBy("bucket").applyInArrow(_shared_tokens(similarity), "a long, b long")
+    hot = arrow_map(mapped.where("bucket = -1").select("sets", "tokens"), _hot_ties, "a long, b long")
+    families = components(shared.unionByName(hot))
     # Blocks of a family: its sets dealt by hash; their number from the family's sets and tokens.
     size = rows.where("n > 0").groupBy("s").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
     size = size.join(families.select(F.col("node").alias("s"), F.col("root").alias("family")), "s")
-    total = size.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    total = size.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
-    members = materialize(size.join(total, "family").withColumn("block", block), "families")
-    few = members.count() <= BROADCAST_ROWS
-    members = F.broadcast(members) if few else members.hint("shuffle_hash")
+    members = _bounded(materialize(size.join(total.where("members > 1"), "family").withColumn("block", block), "families"))
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def tokens(batches):
         for p in pieces(batches, 0):
             tokens, of = shingle_sets(Words(*text_buffers(p.column(0))), width)
             raw = [tokens[of[d] : of[d + 1]].tobytes() for d in range(p.num_rows)]
-            yield pa.RecordBatch.from_arrays([int_array(set_ids(tokens, of)), *p.columns[1:], pa.array(raw, pa.binary())], names=["got", "s", "family", "block", "blocks", "tokens"])
+            yield pa.RecordBatch.from_arrays([int_array(set_ids(tokens, of)), *p.columns[1:], pa.array(raw, pa.binary())], names=["got", "s", "family", "block", "blocks", "members", "tokens"])
 
     # One document of each set brings its text: that of the smallest id. Rows of one id and other texts drop out by name.
-    picked = own.join(members.select(text_of("doc_id").alias("k"), "s", "family", "block", "blocks"), text_of("doc_id") == F.col("k"))
-    sets = arrow_map(picked.select("text", "s", "family", "block", "blocks"), tokens, "got long, s long, family long, block int, blocks int, tokens binary").where("got = s").drop("got")
-    # A pair of blocks i <= j meets in one task: block b goes to all pairs it is in.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = sets.select("s", "family", "block", "tokens", "blocks", other).where("blocks = 1 or other <> block")
-    paired = paired.select("s", "tokens", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = paired.groupBy("family", "i", "j").applyInArrow(_verified(similarity), "a long, b long")
+    picked = own.join(members.select(text_of("doc_id").alias("k"), "s", "family", "block", "blocks", "members"), text_of("doc_id") == F.col("k"))
+    sets = arrow_map(picked.select("text", "s", "family", "block", "blocks", "members"), tokens, "got long, s long, family long, block int, blocks int, members long, tokens binary").where("got = s").drop("got")
+    links = _links(materialize(sets, "tokens"), similarity)
     roots = components(links).select(F.col("node").alias("s"), F.col("root"))
     # The smallest id of every component, over the sets that are in one; other sets are their own.
     least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))

@@ -413,8 +413,8 @@ def shingles(text, width=3):
     return frozenset(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, width=3, percent=90):
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -424,7 +424,7 @@ def brute_components(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -451,9 +451,12 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert kept == Counter({t: 1 for t in {(t or "").lower() for _, t in rows}}) + Counter([""])
 
 
-def test_jaccard_families(spark, monkeypatch):
-    """Chains of near copies around the threshold, of all sizes, in families larger than a block."""
+@pytest.mark.parametrize(("leaders", "hot"), [(0, 1 << 16), (2, 2)])
+def test_jaccard_families(spark, monkeypatch, leaders, hot):
+    """Chains of near copies around the threshold, of all sizes, in families larger than a block; hot tokens as nodes."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard, "HOT_SETS", hot)
     rnd = random.Random(11)
     rows = []
     for n in (1, 2, 3, 5, 9, 11, 12, 20, 21, 22, 30, 60, 200):
@@ -496,6 +499,55 @@ def test_jaccard_similarity(spark, monkeypatch):
     assert sorted(r.doc_id for r in jaccard.keep_one(df, 5, similarity=(80, 100)).collect()) == sorted(set(root))
 
 
+def test_agreeing(monkeypatch):
+    """Every pair that links is tied by its first tokens, in short lists and in long ones; equal or tiny sets are not."""
+    rnd = random.Random(5)
+    for limit, (numerator, denominator) in ((2048, (90, 100)), (2048, (80, 100)), (3, (80, 100)), (0, (90, 100))):
+        monkeypatch.setattr(jaccard, "LONG_LIST", limit)
+        sets = []
+        for _ in range(120):
+            s = set(rnd.choice(sets)) if sets and rnd.random() < 0.7 else {rnd.randrange(2**60) for _ in range(rnd.randint(1, 40))} | {7, 8}
+            for _ in range(rnd.randint(0, 3)):
+                s.add(rnd.randrange(2**60))
+                if rnd.random() < 0.6:
+                    s.discard(rnd.choice(sorted(s)))
+            if s and s not in sets:
+                sets.append(s)
+        tokens = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+        of = np.cumsum([0, *map(len, sets)])
+        some = np.array([7, 8], np.uint64), np.array([50, 40])
+        token, owner, place, _ = jaccard.prefixes(tokens, of, (numerator, denominator), some)
+        pairs = jaccard.agreeing(token, owner, np.diff(of)[owner], place, (numerator, denominator))
+        links = {(a, b) for b in range(len(sets)) for a in range(b) if denominator * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b])}
+        if limit > 200:
+            assert links <= set(zip(*pairs.tolist()))
+        a, b = jaccard.stars(*pairs.tolist())
+        root = dict(zip(b, a))
+        assert links and all(root.get(x, x) == root.get(y, y) for x, y in links)
+    # Short texts that share a common shingle: where linking means equality nothing is sent.
+    of = np.arange(0, 601, 2)
+    tokens = np.stack([np.full(300, 9, np.uint64), np.arange(100, 400, dtype=np.uint64)], 1).reshape(-1)
+    assert not len(jaccard.prefixes(tokens, of, (90, 100), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))[0])
+
+
+def test_blocks_of_a_family(spark, monkeypatch):
+    """A family of many blocks: its sets meet leaders and, outside the greatest component, all blocks; no task grows with it."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 3)
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(200):  # one large component, small ones, and lone sets that only share the family's first tokens
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 1, 2, 3])):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 3, similarity=(90, 100)).collect())
+    assert got == brute_components(rows)
+    assert 3 < len(set(c for _, _, c in got)) < 200
+
+
 def test_group_links():
     rnd = random.Random(4)
     for _ in range(40):

@@ -34,7 +34,7 @@ def test_toxicity_keeps_clean_documents(spark, sf_dir, stages):
 
 
 def test_near_duplicates(stages):
-    groups = brute_components(rows(stages[1]))
+    groups = brute_components(rows(stages[1]), 5, 80)
     want = Counter(c if n else d for d, n, c in {(c if n else d, n and 1, c) for d, n, c in groups})
     assert Counter(i for i, _ in rows(stages[2])) == want
 
