@@ -1,6 +1,6 @@
 """Columnar text kernels shared by the operators of this subpackage.
 
-Text columns travel as Arrow buffers. A batch is cut into pieces of a few MB (a longer document is a piece of its
+Text columns travel as Arrow buffers. A batch is cut into pieces of about 1 MB (a longer document is a piece of its
 own), and words, their hashes and rolling hashes are found with numpy over the raw UTF-8 bytes of a piece.
 All separators used here are ASCII, so byte positions split words exactly as code points would.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 # Separators of the contracts, as byte values.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

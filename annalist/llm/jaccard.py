@@ -122,7 +122,7 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
             _, first = np.unique(set_ids(tokens, of), return_index=True)
             parts += [tokens[of[d] : of[d + 1]] for d in first]
             held += len(tokens)
-            if held >= 4 * GATHERED:
+            if held >= 2 * GATHERED:
                 yield flush(parts)
                 parts, held = [], 0
         if parts:
@@ -195,7 +195,7 @@ def _sets_and_prefixes(width: int, buckets: int, similarity, common):
             if len(token):
                 parts.append((ids[first][owner], n[first][owner], token, place, rank))
             held += len(pick)
-            if held >= 2 * block_size(GATHERED, buckets):
+            if held >= block_size(GATHERED, buckets):
                 if parts:
                     yield flush(parts, kind)
                 parts, held = [], 0
