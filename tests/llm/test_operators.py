@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
@@ -74,42 +75,97 @@ def test_mix(docs, empty, texts):
     for r in rows:
         assert r.size == len(spaced(texts[r.doc_id] if r.doc_id is not None else "a null id")) and 0 <= r.taken <= 2 * r.size
         size[r.source] += r.size
-    goal = mixing.targets(dict(size))
+    goal = brute_targets(size)
     assert sum(goal.values()) == Fraction(3, 2) * sum(size.values())
     taken = Counter()
     for r in rows:
-        assert r.target == float(goal[r.source]) and r.source_size == size[r.source]
+        assert r.target == float(goal[r.source]) and r.source_size == size[r.source] and r.taken in (0, r.size, 2 * r.size)
         taken[r.source] += r.taken
-    for s in size:  # no subset of the source's documents comes nearer from below
-        base, rest = divmod(int(goal[s]), size[s]) if size[s] else (0, 0)
+    for s in size:  # no choice of 0 to 2 takes a document comes nearer
         reach = {0}
         for r in rows:
             if r.source == s:
-                reach |= {x + r.size for x in reach}
-        assert taken[s] == base * size[s] + max(x for x in reach if x <= rest)
+                reach |= {x + k * r.size for x in reach for k in (1, 2)}
+        near = floor(goal[s] + Fraction(1, 2))
+        assert abs(taken[s] - near) == min(abs(x - near) for x in reach)
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in again)
     assert len(rows) == docs.count() and mixing.mix_sources(empty).count() == 0
 
 
-def test_targets_and_subset():
-    got = mixing.targets({"a": 10, "b": 100, None: 100, "A": 10})
-    # order A a b None with weights 5 2 1 5: A and a are full, the rest is shared 1 to 5 and null is full too
-    assert got["A"] == 20 and got["a"] == 20 and got[None] == 200 and got["b"] == 90
+def brute_targets(sizes, weights=(5, 2, 1), share=Fraction(3, 2), most=2):
+    """Shares by weight in code point order, null last; those above most times their size are cut, and the rest shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    cut = {}
+    while len(cut) < len(order):
+        unit = (share * sum(sizes.values()) - sum(cut.values())) / Fraction(sum(weight[s] for s in order if s not in cut))
+        new = [s for s in order if s not in cut and unit * weight[s] > most * sizes[s]]
+        if not new:
+            return {s: cut.get(s, unit * weight[s]) for s in order}
+        cut |= {s: Fraction(most * sizes[s]) for s in new}
+    return cut
+
+
+def test_targets(spark):
+    rnd = random.Random(2)
+    tables = [{"a": 10, "b": 100, None: 100, "A": 10}, {"x": 0, "y": 5}, {None: 7}, {"z": 0}]
+    tables += [{f"s{rnd.randrange(10**6)}é": rnd.choice([0, 1, 3, 40, 10**12, rnd.randrange(5000)]) for _ in range(rnd.randint(1, 60))} for _ in range(3)]
+    for sizes in tables:
+        df = spark.createDataFrame([("n" if s is None else "s" + s, v) for s, v in sizes.items()], "skey string, source_size long").repartition(3)
+        want = brute_targets(sizes)
+        got = {None if r.skey == "n" else r.skey[1:]: (r.target, r.goal) for r in mixing.targets(df).collect()}
+        assert got == {s: (float(t), floor(t + Fraction(1, 2))) for s, t in want.items()}
+    assert not mixing.targets(spark.createDataFrame([], "skey string, source_size long")).count()
+
+
+def test_subset_and_fitted():
     rnd = random.Random(1)
-    for _ in range(60):
+    for _ in range(300):
         sizes = rnd.sample(range(1, 40), rnd.randint(1, 5))
         counts = [rnd.randint(1, 4) for _ in sizes]
         reach = {0}
         for s, c in zip(sizes, counts):
-            reach = {x + s * k for x in reach for k in range(c + 1)}
-        budget = rnd.randint(0, sum(s * c for s, c in zip(sizes, counts)))
-        took = mixing.subset(budget, sizes, counts)
-        assert all(took.get(s, 0) <= c for s, c in zip(sizes, counts))
-        assert sum(s * n for s, n in took.items()) == max(x for x in reach if x <= budget)
+            reach = {x + s * k for x in reach for k in range(2 * c + 1)}
+        budget = rnd.randint(0, sum(s * c for s, c in zip(sizes, counts)) * 2)
+        best = min(abs(x - budget) for x in reach)
+        took = mixing.subset(budget, sizes, [2 * c for c in counts])
+        assert all(took.get(s, 0) <= 2 * c for s, c in zip(sizes, counts))
+        assert abs(sum(s * n for s, n in took.items()) - budget) == best
+        sizes, counts = (np.array(x) for x in zip(*sorted(zip(sizes, counts))))
+        took = mixing.fitted(budget, sizes, counts)
+        assert (0 <= took).all() and (took <= 2 * counts).all() and abs((took * sizes).sum() - budget) == best
     sizes = np.array([1, 7, 50, 900, 20_000])
     took = mixing.fitted(400_000, sizes, np.array([10, 500, 300, 200, 30]), dp_budget=2000)
     assert (took * sizes).sum() == 400_000
+    # One long document and short ones: the long one may be what comes nearest (2770 for a goal of 2664 would not).
+    assert abs((mixing.fitted(2664, np.array([180, 250, 301, 2770]), np.array([2, 4, 2, 1])) * [180, 250, 301, 2770]).sum() - 2664) <= 7
+
+
+def test_mix_follows_the_counts():
+    """Where every length occurs once, the taken lengths are spread like the source's."""
+    sizes = np.arange(1, 20_000, 7)
+    for share in (0.1, 0.37, 0.8, 1.5, 1.9):
+        took = mixing.fitted(int(sizes.sum() * share), sizes, np.ones(len(sizes), np.int64))
+        assert (took * sizes).sum() == int(sizes.sum() * share) and abs((took * sizes).sum() / took.sum() / sizes.mean() - 1) < 0.02
+        quarters = [took[i : i + len(took) // 4].mean() for i in range(0, len(took) - 3, len(took) // 4)]
+        assert max(quarters) - min(quarters) < 0.05
+
+
+def test_take_mix(spark, docs, empty):
+    """Nulls, repeated rows, an id and text with two sources, names that clash, an empty table."""
+    rows = [(1, "a b c", "x", 9, 9), (1, "a b c", "y", 9, 9), (1, "a b c", "y", 9, 9), (2, None, "x", 9, 9), (3, "", None, 9, 9), (None, "d e", None, 9, 9), (4, "f g h i", "x", 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken int, size int")
+    mix = Counter()
+    for r in mixing.mix_sources(df).collect():
+        mix[r.doc_id, r.source, r.size] += r.taken
+    out = mixing.take_mix(df)
+    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken", "repeats"]
+    got = {(r.doc_id, r.source, r.size): r.taken for r in out.collect()}
+    assert got == {k: v for k, v in mix.items() if v} and mixing.take_mix(empty).count() == 0
+    sources = {r.source: r.source_size for r in out.collect()}
+    assert all(sources[s] == n for s, n in {"x": 7, "y": 6, None: 2}.items() if s in sources)
+    assert sum(r.taken for r in mixing.take_mix(docs).collect()) == sum(r.taken for r in mixing.mix_sources(docs).collect())
 
 
 def brute_dedup(rows, width=20):
