@@ -3,8 +3,9 @@
 A document is the set of hashes of its `width`-word shingles; equal sets are one node. The join is exact (up to 64-bit
 hashes), and goes in three steps:
 
-1. Similar documents are partitioned into families. All tokens have one order, in which those that repeat within a
-   task come last. Two sets of a and b tokens that link share at least t/(1+t)*(a+b), so they share one of each other's
+1. Similar documents are partitioned into families. All tokens have one order: those of one set come first, then those
+   of several, the most common last. They are counted by hash buckets, and marked in a bit map that workers memory-map;
+   its size is bounded, and beyond it only the more common are marked, which changes no result. Two sets of a and b tokens that link share at least t/(1+t)*(a+b), so they share one of each other's
    first tokens, with that many tokens from there on in both. Every set sends its first tokens, their places and its
    size to hash buckets; sets that agree in a token so are in one family. A set so small that linking means equality
    sends none. Tokens of very many sets are not gathered in a bucket: their sets are tied to a node of token and size.
@@ -27,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, text_buffers, unpack, whole
+from . import arrays
+from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, rolling, row_key, shared_path, text_buffers, unpack, whole
 from .components import components, stars
 
 WIDTH, NUMERATOR, DENOMINATOR = 3, 90, 100  # fixed values of op10's contract
 SIMILARITY = (NUMERATOR, DENOMINATOR)  # of a similarity (n, d), sets link at n/d
 #: A block of a family has about so many sets and tokens at most (or one set); a family of several has so many leaders.
 BLOCK_SETS, BLOCK_TOKENS, LEADERS = 128, 1 << 19, 8
-#: Tokens that a map task gathers at least before it sends their first ones.
+#: Tokens that a map task gathers at least before it sends them or their first ones.
 GATHERED = 1 << 20
-#: Repeated tokens that are told to all tasks, and those that a block of texts reports at most; which they are only
-#: changes how many sets are compared.
-COMMON_TOKENS, REPORTED_TOKENS = 1 << 20, 1 << 18
+#: Common tokens whose counts are told to all tasks, and the least count of such a token.
+COMMON_TOKENS, COMMON_LEAST = 1 << 20, 8
+#: Bits that mark a bucket's repeated tokens, and all of them at most.
+BUCKET_BITS, ALL_BITS = 1 << 21, 1 << 33
+#: Bytes of a file of marks.
+FILE_BYTES = 1 << 22
 #: A common token of more sets than this is a node of its own; a bucket's list of more sets than that is read as a chain.
 HOT_SETS, LONG_LIST = 1 << 16, 2048
 #: A table of families of at most so many rows (under 50 bytes each) is broadcast, a larger one shuffled.
@@ -86,16 +91,18 @@ def needed(total, similarity=SIMILARITY):
     return -(-similarity[0] * total // (similarity[0] + similarity[1]))
 
 
-def prefixes(tokens: np.ndarray, of: np.ndarray, similarity, common) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, set, place, rank): the first tokens of every set that can link with another; common is (tokens, counts)."""
+def spread_of(tokens: np.ndarray) -> np.ndarray:
+    """The place of tokens among all, and their buckets, by hash."""
+    return mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+
+
+def prefixes(tokens: np.ndarray, of: np.ndarray, similarity, ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(spread, set, place, rank): the first tokens of every set that can link with another; ranks gives ranks by spread."""
     numerator, denominator = similarity
     n = np.diff(of)
     doc = np.repeat(np.arange(len(n)), n)
-    rank = np.zeros(len(tokens), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
-        rank = np.where(common[0][at] == tokens, common[1][at], 0)
-    spread = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    spread = spread_of(tokens)
+    rank = ranks(spread)
     order = np.lexsort((spread, rank, doc))
     first = n - -(-numerator * n // denominator) + 1
     first[n * (denominator - numerator) < numerator] = 0  # linking means equality
@@ -104,34 +111,119 @@ def prefixes(tokens: np.ndarray, of: np.ndarray, similarity, common) -> tuple[np
     return spread[order[keep]], doc[keep], place[keep], rank[order[keep]]
 
 
-def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that most sets hold, and counts, of those that repeat among the sets of a task's block."""
+class Ranks:
+    """How common tokens are: 0 for those of one set, 1 for marked ones, and the counts of the most common."""
+
+    def __init__(self, folder: str, buckets: int, top: np.ndarray, counts: np.ndarray):
+        self.folder, self.bits, self.marks = folder, (buckets - 1).bit_length(), marks_of(buckets)
+        self.per_file = min(buckets, max(1, 8 * FILE_BYTES // self.marks))
+        self.files, self.top, self.counts = buckets // self.per_file, top, counts
+
+    def __call__(self, spread: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(spread), np.int64)
+        bit = (spread >> np.uint64(64 - self.bits - (self.marks - 1).bit_length())).astype(np.int64)
+        file = bit // (self.marks * self.per_file)
+        order = np.argsort(file, kind="stable")
+        edges = np.searchsorted(file[order], np.arange(self.files + 1))
+        for f in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            own = order[edges[f] : edges[f + 1]]
+            at = bit[own] - f * self.marks * self.per_file
+            rank[own] = arrays.mapped(self.folder, f"marks-{f}")[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        if len(self.top):
+            key = spread >> np.uint64(32 - self.bits)
+            at = np.minimum(np.searchsorted(self.top, key), len(self.top) - 1)
+            rank = np.where(self.top[at] == key, self.counts[at], rank)
+        return rank
+
+
+def marks_of(buckets: int) -> int:
+    return max(8, min(BUCKET_BITS, ALL_BITS // buckets))
+
+
+def _token_blocks(width: int, buckets: int):
+    """The distinct tokens of blocks, and in how many of a block's sets they are, by bucket; 32 bits behind a bucket's."""
+    bits = (buckets - 1).bit_length()
 
     def flush(parts):
-        value, count = np.unique(np.concatenate(parts), return_counts=True)
-        value, count = value[count > 1], count[count > 1]
-        if len(value) > REPORTED_TOKENS:
-            top = np.argpartition(-count, REPORTED_TOKENS)[:REPORTED_TOKENS]
-            value, count = value[top], count[top]
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), int_array(count)], names=["token", "n"])
+        value, count = np.unique(np.concatenate(parts) >> np.uint64(32 - bits), return_counts=True)
+        bucket, low = (value >> np.uint64(32)).astype(np.int64), (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = [(b, pack(np.diff(low[edges[b] : edges[b + 1]], prepend=0)), pack(count[edges[b] : edges[b + 1]])) for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "counts"])
 
     def run(batches):
         parts, held = [], 0
         for p in pieces(batches, 0):
             tokens, of = shingle_sets(Words(*text_buffers(p.column(0))), width)
             _, first = np.unique(set_ids(tokens, of), return_index=True)
-            parts += [tokens[of[d] : of[d + 1]] for d in first]
-            held += len(tokens)
-            if held >= 2 * GATHERED:
+            once = np.zeros(p.num_rows, bool)
+            once[first] = True
+            parts.append(spread_of(tokens[np.repeat(once, np.diff(of))]))
+            held += len(parts[-1])
+            if held >= block_size(GATHERED, buckets):
                 yield flush(parts)
                 parts, held = [], 0
-        if parts:
+        if held:
             yield flush(parts)
 
-    top = arrow_map(texts, run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).toArrow()
-    token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+    return run, "bucket int, tokens binary, counts binary"
+
+
+def _token_bucket(buckets: int):
+    """Counts a bucket's tokens: the marks of those that repeat, and the most common with their counts."""
+    marks, most = marks_of(buckets), max(16, COMMON_TOKENS // buckets)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        low = np.concatenate([np.cumsum(unpack(x).astype(np.int64)) for x in table.column("tokens").to_pylist()])
+        count = np.concatenate([unpack(x).astype(np.int64) for x in table.column("counts").to_pylist()])
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        low, count = low[at], np.add.reduceat(count[order], at)
+        low, count = low[count > 1], count[count > 1]
+        if len(low) > max(most, marks // 8):  # the more common ones
+            top = np.argsort(-count, kind="stable")[: max(most, marks // 8)]
+            low, count = low[top], count[top]
+        bit = low >> (33 - marks.bit_length())
+        out = np.zeros(marks // 8, np.uint8)
+        np.bitwise_or.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        top = np.flatnonzero(count >= COMMON_LEAST)
+        top = top[np.argsort(-count[top], kind="stable")[:most]]
+        key = (bucket << 32) + low[top]
+        longs = pa.list_(pa.int64())
+        return pa.Table.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([key.tolist()], longs), pa.array([count[top].tolist()], longs)], names=["bucket", "marks", "top", "counts"])
+
+    return run, "bucket int, marks binary, top array<long>, counts array<long>"
+
+
+def token_ranks(texts: DataFrame, width: int, buckets: int) -> Ranks:
+    """Counts the tokens of all texts; their marks are in the shared folder until the application ends."""
+    spark = texts.sparkSession
+    counted = arrow_map(texts, *_token_blocks(width, buckets)).groupBy("bucket").applyInArrow(*_token_bucket(buckets))
+    counted = materialize(counted, "counted")
+    top = counted.select(F.explode(F.arrays_zip("top", "counts")).alias("t")).select("t.*").toArrow()
+    key, count = top.column("top").to_numpy().view(np.uint64), top.column("counts").to_numpy()
+    order = np.argsort(key)
+    ranks = Ranks(shared_path(spark, "marks"), buckets, key[order], count[order])
+    folder, per_file, size = ranks.folder, ranks.per_file, ranks.marks // 8
+
+    def write(table: pa.Table) -> pa.Table:
+        file = table.column("file")[0].as_py()
+        out = np.zeros(per_file * size, np.uint8)
+        for bucket, raw in zip(table.column("bucket").to_pylist(), table.column("marks").to_pylist()):
+            if raw is not None:
+                at = (bucket - file * per_file) * size
+                out[at : at + size] = np.frombuffer(raw, np.uint8)
+        arrays.save(folder, f"marks-{file}", out)
+        return pa.Table.from_arrays([pa.array([file], pa.int32())], names=["file"])
+
+    file = lambda bucket: F.floor(F.col(bucket) / per_file).cast("int").alias("file")
+    every = spark.range(ranks.files).select(F.col("id").cast("int").alias("file"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("marks"))
+    done = counted.select(file("bucket"), "bucket", "marks").unionByName(every).groupBy("file").applyInArrow(write, "file int").count()
+    if done != ranks.files:
+        raise RuntimeError(f"{done} of {ranks.files} files of marks written")
+    return ranks
 
 
 def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -145,10 +237,10 @@ def set_ids(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
 _FIRST = ("sets", "sizes", "counts", "tokens", "places")  # of a bucket's row: its sets, and their first tokens there
 
 
-def _sets_and_prefixes(width: int, buckets: int, similarity, common):
+def _sets_and_prefixes(width: int, buckets: int, similarity, ranks):
     """Rows of two kinds: one of each document (bucket null), and the first tokens of the sets of a block by bucket.
 
-    common is a broadcast of the tokens that come last. Bucket -1 has ties (sets, tokens) of sets to nodes of hot tokens.
+    ranks is a broadcast of Ranks. Bucket -1 has ties (sets, tokens) of sets to nodes of hot tokens.
     """
     bits = np.uint64(64 - (buckets - 1).bit_length())
     names = ["doc_id", "key", "n", "s", "bucket", *_FIRST]
@@ -191,7 +283,7 @@ def _sets_and_prefixes(width: int, buckets: int, similarity, common):
             if not len(first):
                 continue
             pick = np.concatenate([tokens[of[d] : of[d + 1]] for d in first])
-            token, owner, place, rank = prefixes(pick, np.concatenate([[0], np.cumsum(n[first])]), similarity, common.value)
+            token, owner, place, rank = prefixes(pick, np.concatenate([[0], np.cumsum(n[first])]), similarity, ranks.value)
             if len(token):
                 parts.append((ids[first][owner], n[first][owner], token, place, rank))
             held += len(pick)
@@ -380,8 +472,8 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     kind = dict(docs.dtypes)[id_col]
     buckets = n_buckets(docs)
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_tokens(own.select("text"), width))
-    mapped = arrow_map(own, _sets_and_prefixes(width, buckets, similarity, common), f"doc_id {kind}, key long, n long, s long, bucket int, " + ", ".join(f"{c} binary" for c in _FIRST))
+    ranks = docs.sparkSession.sparkContext.broadcast(token_ranks(own.select("text"), width, buckets))
+    mapped = arrow_map(own, _sets_and_prefixes(width, buckets, similarity, ranks), f"doc_id {kind}, key long, n long, s long, bucket int, " + ", ".join(f"{c} binary" for c in _FIRST))
     mapped = materialize(mapped, "sets")
     rows = mapped.where("bucket is null").select("doc_id", "key", "n", "s")
     shared = mapped.where("bucket >= 0").select("bucket", *_FIRST).groupBy("bucket").applyInArrow(_shared_tokens(similarity), "a long, b long")
@@ -406,13 +498,14 @@ def jaccard_components(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="
     sets = arrow_map(picked.select("text", "s", "family", "block", "blocks", "members"), tokens, "got long, s long, family long, block int, blocks int, members long, tokens binary").where("got = s").drop("got")
     links = _links(materialize(sets, "tokens"), similarity)
     roots = components(links).select(F.col("node").alias("s"), F.col("root"))
-    # The smallest id of every component, over the sets that are in one; other sets are their own.
-    least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "root").select("s", "root", "component_id")
-    linked_rows = rows.where("n > 0").join(named, "s").select("doc_id", "key", "n", "s", "root", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "key", "n", "s", F.col("s").alias("root"), F.col("doc_id").alias("component_id"))
-    return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
+    # The smallest id of every component, for sets that link or have copies; any other document is its own.
+    least = rows.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).join(roots, "s", "left")
+    least = materialize(least.where("copies > 1 or root is not null").select("s", "least", F.coalesce("root", "s").alias("root")), "least")
+    names = _bounded(materialize(least.groupBy("root").agg(F.min("least").alias("component_id")), "names"))
+    named = _bounded(materialize(least.join(names, "root").select("s", "root", "component_id", F.lit(True).alias("known")), "named"))
+    out = rows.join(named, "s", "left")
+    component = F.when(F.col("known") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "s", F.coalesce("root", "s").alias("root"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width=WIDTH, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:

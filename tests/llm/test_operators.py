@@ -11,6 +11,7 @@ from fractions import Fraction
 from math import floor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from annalist.llm import arrays, blocks, decontaminate, jaccard, language_model, media, mixing, pii, queries, secrets, substrings, tokens, toxicity
 
@@ -53,8 +54,6 @@ def by_id(df, *drop):
 
 
 def test_words_and_hashes():
-    import pyarrow as pa
-
     column = pa.array(["a b", None, "", "b a\tA", "é"])
     w = blocks.Words(*blocks.text_buffers(column))
     assert w.counts().tolist() == [2, 0, 0, 3, 1]
@@ -571,8 +570,8 @@ def test_agreeing(monkeypatch):
                 sets.append(s)
         tokens = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
         of = np.cumsum([0, *map(len, sets)])
-        some = np.array([7, 8], np.uint64), np.array([50, 40])
-        token, owner, place, _ = jaccard.prefixes(tokens, of, (numerator, denominator), some)
+        hot = jaccard.spread_of(np.array([7, 8], np.uint64))
+        token, owner, place, _ = jaccard.prefixes(tokens, of, (numerator, denominator), lambda s: np.where(np.isin(s, hot), 50, s % 2).astype(int))
         pairs = jaccard.agreeing(token, owner, np.diff(of)[owner], place, (numerator, denominator))
         links = {(a, b) for b in range(len(sets)) for a in range(b) if denominator * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b])}
         if limit > 200:
@@ -583,7 +582,17 @@ def test_agreeing(monkeypatch):
     # Short texts that share a common shingle: where linking means equality nothing is sent.
     of = np.arange(0, 601, 2)
     tokens = np.stack([np.full(300, 9, np.uint64), np.arange(100, 400, dtype=np.uint64)], 1).reshape(-1)
-    assert not len(jaccard.prefixes(tokens, of, (90, 100), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))[0])
+    assert not len(jaccard.prefixes(tokens, of, (90, 100), lambda s: np.zeros(len(s), int))[0])
+
+
+def test_token_ranks(spark):
+    """Tokens of one set have rank 0 (but for few collisions), those of several 1, and common ones their counts."""
+    rows = [(f"own{i}a own{i}b own{i}c " + ("red blue green " if i % 2 else "") + ("one two three" if i in (3, 40) else f"z{i}"),) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string").repartition(4)
+    ranks = jaccard.token_ranks(df, 3, 64)
+    of_text = lambda t: ranks(jaccard.spread_of(jaccard.shingle_sets(blocks.Words(*blocks.text_buffers(pa.array([t]))), 3)[0])).tolist()
+    assert of_text("red blue green") == [30] and of_text("one two three") == [1] and of_text("own5a own5b own5c") == [0]
+    assert sum(of_text(" ".join(f"new{i}" for i in range(3000)))) < 30
 
 
 def test_blocks_of_a_family(spark, monkeypatch):
