@@ -64,8 +64,8 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):  # the whole sequence is one token
         own = [mix(np.bitwise_xor.reduce(mix(values[words.of[d] : words.of[d + 1]] + _places(counts[d]))) + np.array([counts[d]], np.uint64)) for d in short]
         h, doc = np.append(h, np.concatenate(own)), np.append(doc, short)
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(counts) <= 1 << 16 else np.int64), kind="stable")]
     h, doc = h[order], doc[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -97,18 +97,23 @@ def spread_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def prefixes(tokens: np.ndarray, of: np.ndarray, similarity, ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(spread, set, place, rank): the first tokens of every set that can link with another; ranks gives ranks by spread."""
+    """(token, set, place, rank): the first tokens of every set that can link with another, by another hash.
+
+    ranks gives ranks by spread. A piece's sets have at most 2**20 documents: one 64-bit key orders them all; tokens that
+    tie in it stay in their own order.
+    """
     numerator, denominator = similarity
     n = np.diff(of)
     doc = np.repeat(np.arange(len(n)), n)
     spread = spread_of(tokens)
     rank = ranks(spread)
-    order = np.lexsort((spread, rank, doc))
+    level = np.minimum(2 * np.log2(rank + 1.0), 63).astype(np.uint64)
+    order = np.argsort(doc.astype(np.uint64) << np.uint64(44) | level << np.uint64(38) | spread >> np.uint64(26), kind="stable")
     first = n - -(-numerator * n // denominator) + 1
     first[n * (denominator - numerator) < numerator] = 0  # linking means equality
     place = np.arange(len(tokens)) - of[:-1][doc]  # order keeps the documents' places
     keep = place < first[doc]
-    return spread[order[keep]], doc[keep], place[keep], rank[order[keep]]
+    return mix(spread[order[keep]]), doc[keep], place[keep], rank[order[keep]]
 
 
 class Ranks:
@@ -123,7 +128,7 @@ class Ranks:
         rank = np.zeros(len(spread), np.int64)
         bit = (spread >> np.uint64(64 - self.bits - (self.marks - 1).bit_length())).astype(np.int64)
         file = bit // (self.marks * self.per_file)
-        order = np.argsort(file, kind="stable")
+        order = np.argsort(file.astype(np.uint16), kind="stable")
         edges = np.searchsorted(file[order], np.arange(self.files + 1))
         for f in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             own = order[edges[f] : edges[f + 1]]
