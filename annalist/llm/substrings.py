@@ -2,9 +2,10 @@
 
 A word goes if some window over it also starts earlier (smaller id, or same id and smaller position). Every window of
 every document is hashed. A task first settles the windows that repeat among its own documents: all but the earliest
-occurrence go, and only the earliest is sent on, so a passage that a third of all documents share costs one entry a
-block. Hash buckets then compare what blocks sent; positions that go return to their documents by a second shuffle,
-where overlapping windows merge into maximal intervals. Entries travel packed, about ten bytes each.
+occurrence go, straight to the shard of their document, and only the earliest is sent to a hash bucket, so a passage
+that a third of all documents share costs a bucket one entry a block. Buckets compare what blocks sent; the positions
+that go follow to the shards of documents, where overlapping windows merge into maximal intervals. Entries travel
+packed, about ten bytes each.
 
 Windows are compared by 64-bit hashes within buckets chosen by a second, independent hash, and above WIDE_BYTES of
 input by 32 more bits of that.
@@ -34,7 +35,7 @@ def later(h: np.ndarray, h2: np.ndarray | None, ids: np.ndarray, starts: np.ndar
     out = np.zeros(len(h), bool)
     if len(h) < 2:
         return out
-    order = np.argsort(h, kind="stable") if h2 is None else np.lexsort((h2, h))
+    order = np.argsort(h) if h2 is None else np.lexsort((h2, h))
     same = h[order[1:]] == h[order[:-1]]
     if h2 is not None:
         same &= h2[order[1:]] == h2[order[:-1]]
@@ -55,10 +56,19 @@ def later(h: np.ndarray, h2: np.ndarray | None, ids: np.ndarray, starts: np.ndar
     return out
 
 
+def _by_shard(ids, tags, doc, starts, shards: int) -> list[tuple]:
+    """(shard, packed positions) of positions that go, by shard of documents."""
+    shard = (mix(ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)[doc]
+    order = np.lexsort((starts, doc, shard))
+    doc, starts, shard = doc[order], starts[order], shard[order]
+    edges = np.flatnonzero(np.diff(shard, prepend=-1))
+    return [(int(shard[a]), *Entries.packed(ids, tags, doc[a:b], starts[a:b])) for a, b in zip(edges, np.append(edges[1:], len(shard)))]
+
+
 def _sent(buckets: int, wide: bool, width: int):
-    """The map side: blocks of windows, one row for each bucket with the entries to compare and those that go."""
+    """The map side: blocks of windows; rows with a bucket and the entries to compare, and rows with a shard and what goes."""
     bits = np.uint64(64 - (buckets - 1).bit_length())
-    names = ["bucket", "hashes", "check", *Entries.NAMES, *(f"gone_{n}" for n in Entries.NAMES)]
+    names = ["bucket", "shard", "hashes", "check", *Entries.NAMES]
 
     def flush(parts):
         ids, tags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -66,23 +76,17 @@ def _sent(buckets: int, wide: bool, width: int):
         doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
         start, h, g = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
         gone = later(h, g if wide else None, ids[doc], start)
-        bucket = (g >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(g), np.int64)
-        rows = {n: [] for n in names}
+        rows = [(None, shard, None, None, *packed) for shard, *packed in _by_shard(ids, tags, doc[gone], start[gone], buckets)]
+        keep = np.flatnonzero(~gone)
+        bucket = (g[keep] >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(keep), np.int64)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if not len(mine):
-                continue
-            keep, drop = mine[~gone[mine]], mine[gone[mine]]
-            rows["bucket"].append(b)
-            rows["hashes"].append(pack(h[keep], compress=False))
-            rows["check"].append(pack(g[keep].astype(np.uint32), compress=False) if wide else b"")
-            for at, which in (("", keep), ("gone_", drop)):
-                for n, v in zip(Entries.NAMES, Entries.packed(ids, tags, doc[which], start[which])):
-                    rows[at + n].append(v)
-        kinds = [pa.int32()] + [pa.binary()] * (len(names) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds)], names=names)
+        for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            mine = keep[order[edges[b] : edges[b + 1]]]
+            check = pack(g[mine].astype(np.uint32), compress=False) if wide else b""
+            rows.append((b, None, pack(h[mine], compress=False), check, *Entries.packed(ids, tags, doc[mine], start[mine])))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(names) - 2)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches):
         parts, held = [], 0
@@ -104,12 +108,12 @@ def _sent(buckets: int, wide: bool, width: int):
         if parts:
             yield flush(parts)
 
-    return run, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:])
+    return run, "bucket int, shard int, " + ", ".join(f"{n} binary" for n in names[2:])
 
 
-def _rows(table: pa.Table, prefix=""):
+def _rows(table: pa.Table):
     """All entries of packed rows: ids and tags of documents, the document of each entry, starts."""
-    got = [Entries.unpacked(*x) for x in zip(*(table.column(prefix + n).to_pylist() for n in Entries.NAMES))]
+    got = [Entries.unpacked(*x) for x in zip(*(table.column(n).to_pylist() for n in Entries.NAMES))]
     ids, tags, n, starts = (np.concatenate([g[k] for g in got]) for k in range(4))
     return ids, tags, np.repeat(np.arange(len(ids)), n), starts
 
@@ -122,16 +126,7 @@ def _compared(wide: bool, shards: int):
         h = np.concatenate([unpack(x) for x in table.column("hashes").to_pylist()])
         g = np.concatenate([unpack(x) for x in table.column("check").to_pylist()]) if wide else None
         gone = later(h, g, ids[doc], starts)
-        del h, g
-        a_ids, a_tags, a_doc, a_starts = _rows(table, "gone_")
-        all_ids, all_tags = np.concatenate([ids, a_ids]), np.concatenate([tags, a_tags])
-        doc = np.concatenate([doc[gone], a_doc + len(ids)])
-        starts = np.concatenate([starts[gone], a_starts])
-        shard = (mix(all_ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)[doc]
-        order = np.lexsort((starts, doc, shard))
-        doc, starts, shard = doc[order], starts[order], shard[order]
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        out = [(int(shard[a]), *Entries.packed(all_ids, all_tags, doc[a:b], starts[a:b])) for a, b in zip(edges, np.append(edges[1:], len(shard)))]
+        out = _by_shard(ids, tags, doc[gone], starts[gone], shards)
         kinds = [pa.int32()] + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["shard", *Entries.NAMES])
 
@@ -174,8 +169,10 @@ def removal_intervals(docs: DataFrame, window=WINDOW, id_col="doc_id", text_col=
     buckets = n_buckets(docs)
     wide = plan_bytes(docs) > WIDE_BYTES
     run, schema = _sent(buckets, wide, window)
-    sent = arrow_map(docs.select(_key(id_col), _tag(text_col), F.col(text_col)), run, schema)
-    gone = sent.groupBy("bucket").applyInArrow(*_compared(wide, buckets))
+    sent = materialize(arrow_map(docs.select(_key(id_col), _tag(text_col), F.col(text_col)), run, schema), "windows")
+    packed = ["shard", *Entries.NAMES]
+    gone = sent.where("bucket is not null").drop("shard").groupBy("bucket").applyInArrow(*_compared(wide, buckets))
+    gone = gone.unionByName(sent.where("shard is not null").select(*packed))
     return gone.groupBy("shard").applyInArrow(*_merged(window))
 
 

@@ -191,6 +191,20 @@ def test_substrings(docs, empty, texts, spark):
     assert got == brute_dedup([(5, "x y " * 40), (2, "x y " * 12)])
 
 
+def test_hot_passage_goes_straight_to_its_documents():
+    """A passage of all documents: a bucket gets one entry a block of it, the rest go to the shards of the documents."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(range(3000)), pa.array([f"u{i} {passage} v{i}" for i in range(3000)])], names=["id", "tag", "text"])
+    run, _ = substrings._sent(64, False, 20)
+    out = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    entries = Counter()
+    for r in out:
+        entries["bucket" if r["bucket"] is not None else "shard", r["bucket"] if r["bucket"] is not None else r["shard"]] += len(blocks.unpack(r["starts"]))
+    sizes = [n for (kind, _), n in entries.items() if kind == "bucket"]
+    shards = [n for (kind, _), n in entries.items() if kind == "shard"]
+    assert sum(sizes) == 6 + 2 * 3000 and max(sizes) < 3 * 6000 / 64 and sum(shards) == 6 * 2999 and max(shards) < 3 * 18000 / 64
+
+
 def test_pii_seeds(docs, texts, empty, spark):
     cases = ["mail a.b@c.de, x@y and p@q.r.s@t.u", "1.2.3.4.5 999.1.1.1 10.0.0.255", "4111 1111-1111 1111 and 4111111111111112", "+1 (555) 123-4567 +1 +12345678901234567", "é é a@b.cc é 1.2.3.4", "@@a@b.c@d.e", None, ""]
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
