@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -222,6 +223,98 @@ def test_pii_seeds(docs, texts, empty, spark):
     assert pii.pii_report(docs).count() == docs.count() and pii.pii_report(empty).count() == 0
 
 
+def test_pii_long_digit_runs(spark):
+    """Digit runs of any length: in time in proportion, and octets of any number of zeros are numbers."""
+    rows = [(0, "1" * 1_000_000), (1, "1.2.3." + "0" * 5000), (2, "0" * 5000 + "255.1.1.1 " + "0" * 4999 + "256.1.1.1"), (3, "1." * 200_000), (4, "+1" + "(" * 300_000 + " 7.8.9.10")]
+    began = time.time()
+    got = by_id(pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["n_ip"] for i in range(5)] == [0, 1, 1, 50_000, 1] and time.time() - began < 40
+    ip, rnd = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(8)
+    for _ in range(3000):
+        t = bytes(rnd.choice(b"01239... x") for _ in range(rnd.randint(1, 60)))
+        assert [m.span() for m in pii.ips(t, 0, len(t))] == [m.span() for m in ip.finditer(t)]
+
+
+def brute_identifiers(text, seeds_):
+    """Identifier-like runs (start, end) by words and single blanks, outside the seeds (start, end), in code points."""
+    trim, inner = ".,;:!?\"'()[]{}<>|*#%&$", "()+-/"
+    ascii_ = lambda c: c.isascii() and (c.isalnum() or c in inner)
+    n = lambda s: sum(c in "0123456789" for c in s)
+    runs = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        w = m[0]
+        if not n(w) and "@" not in w:
+            continue
+        if runs and n(w) and "@" not in w and runs[-1][3] and m.start() == runs[-1][1] + 1 and text[m.start() - 1] == " " and ascii_(text[m.start() - 2]) and ascii_(w[0]):
+            runs[-1][1], runs[-1][2] = m.end(), runs[-1][2] + n(w)
+        else:
+            runs.append([m.start(), m.end(), n(w), bool(n(w)) and "@" not in w])
+    out = []
+    for a, b, digits, _ in runs:
+        if digits >= 4 or "@" in text[a:b]:
+            run = text[a:b]
+            a, b = a + len(run) - len(run.lstrip(trim)), b - len(run) + len(run.rstrip(trim))
+            if a < b and not any(s < b and a < e for s, e in seeds_):
+                out.append((a, b))
+    return out
+
+
+def brute_found(texts):
+    """By document: the spans that bootstrapping adds, in plain loops over all pattern-instance pairs."""
+    trim = ".,;:!?\"'()[]{}<>|*#%&$"
+    masked = lambda w: re.sub("[0-9]", "0", "".join(c.lower() if c.isascii() else c for c in w.strip(trim)))
+    seen = []
+    for d, t in enumerate(texts):
+        raw = t.encode()
+        point = lambda x: len(raw[:x].decode())  # noqa: B023, E731
+        own = [(pii.KINDS[k], point(a), point(b)) for k, a, b in pii.seeds(raw, 0, len(raw))]
+        for kind, a, b in [*own, *((None, a, b) for a, b in brute_identifiers(t, [x[1:] for x in own]))]:
+            before, after = spaced(t[:a])[-2:], [m[0] for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if m.start() >= b][:2]
+            for mark, words in (("<", before), (">", after)):
+                pattern = mark + " ".join(map(masked, words))
+                if len(words) == 2 and len(pattern) > 2:
+                    seen.append((d, pattern, t[a:b], kind, a, b))
+    edges = {}
+    for _, p, i, kind, _, _ in seen:
+        edges.setdefault((p, i), set()).update({kind} - {None})
+    known = {(i, k): 1.0 for (_, i), kinds in edges.items() for k in kinds}
+    first, patterns = dict(known), {}
+    for r in range(pii.ROUNDS):
+        patterns = {}
+        for p in {p for p, _ in edges}:
+            mine = [i for q, i in edges if q == p]
+            for k in pii.KINDS:
+                votes = sum(known.get((i, k), 0.0) for i in mine)
+                if votes >= pii.LEAST_KNOWN and votes / len(mine) >= pii.PATTERN_CONFIDENCE:
+                    patterns[p, k] = votes / len(mine)
+        known = dict(first)
+        for i, k in {(i, k) for (_, i), kinds in edges.items() if not kinds for k in pii.KINDS}:
+            wrong = math.prod(max(1 - c, 1e-6) for (p, kind), c in patterns.items() if kind == k and (p, i) in edges)
+            if 1 - wrong >= pii.INSTANCE_CONFIDENCE:
+                known[i, k] = 1 - wrong
+    best = {}
+    for d, p, i, kind, a, b in seen:
+        if kind is None:
+            for k in pii.KINDS:
+                if (p, k) in patterns:
+                    best[d, a, b] = max(best.get((d, a, b), (0.0, "")), (patterns[p, k], k))
+    return {d: sorted(f"{k}:{a}:{b}" for (e, a, b), (_, k) in best.items() if e == d) for d in range(len(texts))}
+
+
+def test_pii_bootstrap(spark):
+    rnd = random.Random(9)
+    context = ["call me at {} any day", "mail goes to {} or home", "server at {} is down", "order no {} was sent", "Paid by card {} on file", "é write to: {}, then wait", "see {}"]
+    made = [lambda: f"+1 555 {rnd.randrange(1000):03} {rnd.randrange(10**4):04}", lambda: f"555 {rnd.randrange(1000):03} {rnd.randrange(10**4):04}", lambda: f"u{rnd.randrange(300)}@ex.org", lambda: f"u{rnd.randrange(300)}@host", lambda: f"10.0.{rnd.randrange(300)}.7", lambda: f"{rnd.randrange(10**6)}", lambda: "4111 1111 1111 1111", lambda: f"DE{rnd.randrange(10**6):06} 1234 5678"]
+    usual = {0: [0, 0, 0, 1], 1: [2, 2, 2, 3], 2: [4], 3: [5], 4: [6, 7], 5: [2, 3, 0], 6: [0, 5, 2]}
+    texts = [" ".join(context[c].format(made[rnd.choice(usual[c])]()) for c in [rnd.randrange(7) for _ in range(rnd.randint(1, 4))]) for _ in range(120)] + ["", "x 12345 67 89é 0123", "(1234) 5678.", "9" * 70 + " at " + "w" * 100 + " " + "8" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: sorted(f"{s.kind}:{s.start}:{s.end}" for s in r.found) for r in pii.extract_pii(df).collect()}
+    want = brute_found(texts)
+    assert got == want and sum(map(len, want.values())) > 20
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all("[" in clean[d] for d, spans in want.items() if spans)
+
+
 def test_pii_discovers(spark):
     rows = [(i, f"note {i} please call me at +1 (555) 555-{1000 + i} now") for i in range(6)]
     rows += [(10, "she said call me at 020-7946-0018 today"), (11, "version build 2024-11-26 of the thing")]
