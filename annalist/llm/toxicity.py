@@ -2,8 +2,10 @@
 
 Five small transducers read the words of a clause as symbols: insult (weighted), threat, target, negation and reported
 speech. Their composition is one machine whose state says what has been seen; each insult or threat leaves it with a
-weight in one of the channels plain, targeted, negated, reported and threat. A clause without insult or threat is not
-run. A document's channels and matched clauses, with its length, enter a logistic model. An apostrophe separates words,
+weight, plain, negated or reported. What the clause's last state says of a target decides, as the machine's final
+output, whether its plain insults were aimed at somebody and its threats count. A clause without insult or threat is not
+run. A document's channels (plain, targeted, negated, reported, threat) and matched clauses, with its length, enter a
+logistic model; words that match outside any clause rule are no inputs. An apostrophe separates words,
 so a contraction of a class is met at its second word (isn t), read with the word before it.
 
 What is learned from labels: the insult arcs (words and word beginnings whose rate in toxic documents stands out) and
@@ -32,7 +34,7 @@ REPORTED = "said says say claimed wrote called quoted quote reported according s
 #: Words after a negation that it reaches.
 REACH = 3
 #: Labelled rows of each class that the model is fitted on, and the least evidence for an insult arc.
-SAMPLE, LEAST_DOCS, LEAST_ODDS, LEAST_Z, MOST_ARCS = 4000, 6, 2.0, 5.0, 20_000
+SAMPLE, LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4000, 6, 2.0, 5.0
 #: Word beginnings that can be arcs, in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 CHANNELS = ("plain", "targeted", "negated", "reported", "threat")
@@ -44,16 +46,16 @@ OTHER, INSULT, THREATS, TARGETS, NEGATIONS, REPORTS = range(6)
 
 
 class Transducer:
-    """States from 0, and step(state, symbol) -> (state, label)."""
+    """States from 0, step(state, symbol) -> (state, label), and final(state): what it says at a clause's end."""
 
-    def __init__(self, states: int, step):
-        self.states, self.step = states, step
+    def __init__(self, states: int, step, final=lambda s: None):
+        self.states, self.step, self.final = states, step, final
 
 
-def compose(parts: list[Transducer]) -> list[list[tuple[int, tuple]]]:
-    """The product of transducers reading the same symbols: table[state][symbol] = (state, labels)."""
+def compose(parts: list[Transducer]) -> tuple[list[list[tuple[int, tuple]]], list[tuple]]:
+    """The product of transducers reading the same symbols: table[state][symbol] = (state, labels), and final labels by state."""
     sizes = [p.states for p in parts]
-    table = []
+    table, finals = [], []
     for s in range(int(np.prod(sizes))):
         own, rest = [], s
         for n in sizes:
@@ -67,33 +69,36 @@ def compose(parts: list[Transducer]) -> list[list[tuple[int, tuple]]]:
                 to, unit = to + x * unit, unit * n
             row.append((to, tuple(label for _, label in out)))
         table.append(row)
-    return table
+        finals.append(tuple(p.final(x) for p, x in zip(parts, own)))
+    return table, finals
 
 
-GRAMMAR = compose([
+GRAMMAR, FINALS = compose([
     Transducer(1, lambda s, x: (0, x == INSULT)),
     Transducer(1, lambda s, x: (0, x == THREATS)),
-    Transducer(2, lambda s, x: (1 if x == TARGETS else s, bool(s))),
     Transducer(REACH + 1, lambda s, x: (REACH if x == NEGATIONS else max(0, s - 1), s > 0)),
     Transducer(2, lambda s, x: (1 if x == REPORTS else s, bool(s))),
+    Transducer(2, lambda s, x: (1 if x == TARGETS else s, None), bool),
 ])
 
 
 def run_clause(symbols: list[int], weights: list[float]) -> list[float]:
-    """The channels of one clause. A target after the insult counts as one before it: the clause is read both ways."""
-    out = [0.0] * len(CHANNELS)
-    late_target = [False] * (len(symbols) + 1)
-    for i in range(len(symbols) - 1, -1, -1):
-        late_target[i] = late_target[i + 1] or symbols[i] == TARGETS
+    """The channels of one clause: what its insults and threats leave, by the final output of the last state."""
+    plain = negations = reports = threats = 0.0
     state = 0
-    for i, (x, w) in enumerate(zip(symbols, weights)):
-        state, (insult, threat, target, negated, reported) = GRAMMAR[state][x]
-        aimed = target or late_target[i]
+    for x, w in zip(symbols, weights):
+        state, (insult, threat, negated, reported, _) = GRAMMAR[state][x]
         if insult:
-            out[2 if negated else 3 if reported else 1 if aimed else 0] += w
-        elif threat and aimed and not negated and not reported:
-            out[4] += 1.0
-    return out
+            if negated:
+                negations += w
+            elif reported:
+                reports += w
+            else:
+                plain += w
+        elif threat and not negated and not reported:
+            threats += 1.0
+    aimed = FINALS[state][-1]
+    return [0.0 if aimed else plain, plain if aimed else 0.0, negations, reports, threats if aimed else 0.0]
 
 
 # --- words and arcs --------------------------------------------------------------------------------------------
@@ -263,7 +268,6 @@ def learn_arcs(rows: list) -> tuple[np.ndarray, np.ndarray]:
     spread = np.sqrt(share * (1 - share) * (1 / max(toxic, 1) + 1 / max(clean, 1)))
     z = (a / max(toxic, 1) - b / max(clean, 1)) / np.maximum(spread, 1e-9)  # of two proportions
     keep = np.flatnonzero((keys != 0) & (a >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (z >= LEAST_Z))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MOST_ARCS]])
     return keys[keep], odds[keep]
 
 

@@ -353,6 +353,58 @@ def test_toxicity(spark):
     assert len({r.score for r in none}) == 1 and toxicity.toxicity_report(docs.where("false"), lab).count() == 0
 
 
+def brute_channels(text, arcs):
+    """The channels of a text and its matched clauses, clause by clause in plain Python; arcs: word -> weight."""
+    out, matched = [0.0] * 5, 0
+    kinds = (("threat", toxicity.THREAT), ("target", toxicity.TARGET), ("negation", toxicity.NEGATION), ("report", toxicity.REPORTED))
+    for clause in re.split(r"[.!?;\n]", text):
+        spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause.translate(AZ))]
+        low, symbols = clause.translate(AZ), []
+        for i, (a, b) in enumerate(spans):
+            two = low[spans[i - 1][0] : b] if i else ""
+            symbols.append(next((k for k, ws in kinds if low[a:b] in ws), next((k for k, ws in kinds if two in ws), None)) if low[a:b] not in arcs else "insult")
+        aimed, mine = "target" in symbols, [0.0] * 5
+        for i, k in enumerate(symbols):
+            last = [j for j in range(i) if symbols[j] == "negation"]
+            negated, reported = bool(last) and i - last[-1] <= toxicity.REACH, "report" in symbols[:i]
+            if k == "insult":
+                mine[2 if negated else 3 if reported else 1 if aimed else 0] += arcs[low[spans[i][0] : spans[i][1]]]
+            elif k == "threat" and aimed and not negated and not reported:
+                mine[4] += 1
+        out = [x + y for x, y in zip(out, mine)]
+        matched += any(mine)
+    return [*out, matched, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(AZ)))]
+
+
+def test_toxicity_clauses():
+    rnd = random.Random(7)
+    insults = {"grubble": 1.5, "snark": 0.25}
+    words = ["grubble", "Snark", "you", "not", "isn't", "said", "kill", "their", "don't", "a", "walk", "é", "nobody", "hurt", "x"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", ". ", "\n", "! "]) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    texts += ["you grubble", "grubble they are", "he said grubble you", "not a grubble", "not at all of these grubble", "I kill you", "I kill time", "he isn't grubble"]
+    data, offsets = blocks.text_buffers(pa.array(texts))
+    w, off = blocks.text_buffers(pa.array(sorted(insults)))
+    ws = blocks.Words(w, off, blocks.NOT_ALNUM)
+    arcs = toxicity._prefix_hashes(ws, np.arange(2))[0]
+    order = np.argsort(arcs)
+    got = toxicity.piece_features(data, offsets, arcs[order], np.array([insults[k] for k in sorted(insults)])[order])
+    assert np.allclose(got, [brute_channels(t, insults) for t in texts])
+    assert got[-8:, :5].argmax(1).tolist()[:2] == [1, 1] and got[-2, :6].sum() == 0
+
+
+def test_toxicity_held_out_accuracy(spark):
+    """On labelled documents that are never learned from: accuracy, and the share of ordered pairs of a toxic and a clean one."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    rows = [(label[r.doc_id], r.score, r.predicted) for r in toxicity.toxicity_report(docs, labels).collect() if r.held_out and r.doc_id in label]
+    bad, good = np.array([s for y, s, _ in rows if y]), np.sort([s for y, s, _ in rows if not y])
+    right = sum(y == p for y, _, p in rows) / len(rows)
+    order = (np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).sum() / (2 * len(bad) * len(good))
+    print("held out", len(rows), "toxic", len(bad), "accuracy", right, "ordered pairs", order)
+    assert len(bad) > 50 and right >= 0.95 and order >= 0.95
+
+
 def test_toxicity_keeps_the_class_rates(spark):
     """The prior does not depend on the caps of the sample: one document in eight is toxic, and scores say so."""
     import pyarrow as pa
