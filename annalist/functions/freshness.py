@@ -1,5 +1,8 @@
 """Snapshots of records at an explicit time: derived status, freshness, read decisions. Never the wall clock."""
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +74,28 @@ def required_value(value: Column, address: Column) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("no usable value at "), address)))
 
 
-def decode(payload: Column, version: Column, current: int, schemas: dict[int, str], migrations: dict) -> Column:
-    """A JSON payload as a value of the current schema; another version goes through its own migration, no chains."""
-    out = F.when(version == current, F.from_json(payload, schemas[current]))
+@dataclass(frozen=True)
+class Codec:
+    """How values become payloads and come back: encode(value) and decode(payload, schema) of Columns.
+
+    The name is kept with every payload; the type of its bytes is unknown unless it is said.
+    """
+
+    name: str
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column, str], Column]
+    content_type: str = "application/octet-stream"
+
+    def envelope(self, value: Column) -> Column:
+        return F.struct(self.encode(value).alias("payload"), F.lit(self.name).alias("serializer"), F.lit(self.content_type).alias("content_type"))
+
+
+JSON = Codec("json", F.to_json, F.from_json, "application/json")
+
+
+def decode(payload: Column, version: Column, current: int, schemas: dict[int, str], migrations: dict, codec: Codec = JSON) -> Column:
+    """A payload as a value of the current schema; another version goes through its own migration, no chains."""
+    out = F.when(version == current, codec.decode(payload, schemas[current]))
     for v, migrate in migrations.items():
-        out = out.when(version == v, migrate(F.from_json(payload, schemas[v])))
+        out = out.when(version == v, migrate(codec.decode(payload, schemas[v])))
     return out.when(version.isNotNull(), F.raise_error(F.concat(F.lit("no migration from version "), version.cast("string"))))

@@ -1,24 +1,26 @@
 """Roll-ups of load reports, failures and telemetry."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
+#: Upper ends of a histogram of durations, in milliseconds; the last bucket is open.
+BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
 
 def anchored_rate_limit(rows: DataFrame, key: str, second: str, order: str, window: int = 60, most: int = 16) -> DataFrame:
     """reported or suppressed: a fixed window starts at a failure and holds for window seconds; the next failure after it
     starts another. Each holds at most `most` reports. An ordered fold per key."""
-    rest = [c for c in rows.columns if c not in (key, second, order)]
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, second, *rest))).alias("fs"))
-    item = f"struct<{order}:bigint,reported:boolean>"
 
-    def step(acc, f):
-        new = acc["start"].isNull() | (f[second] - acc["start"] >= window)
-        n = F.when(new, 0).otherwise(acc["n"])
-        ok = n < most
-        return F.struct(F.when(new, f[second]).otherwise(acc["start"]).alias("start"), F.when(ok, n + 1).otherwise(n).cast("long").alias("n"), F.concat(acc["log"], F.array(F.struct(f[order].alias(order), ok.alias("reported")))).alias("log"))
+    def step(state, at):
+        start, n = state
+        if start is None or at - start >= window:
+            start, n = at, 0
+        return (start, min(n + 1, most)), (n < most,)
 
-    start = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{item}>").alias("log"))
-    return items.select(key, F.explode(F.aggregate("fs", start, step, lambda a: a["log"])).alias("r")).select(key, "r.*")
+    out = ordered.fold(rows, key, [order, second], [second], "reported boolean", lambda: (None, 0), step)
+    return out.select(key, order, "reported")
 
 
 def newest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -42,3 +44,11 @@ def health(reports: DataFrame) -> DataFrame:
 def telemetry(records: DataFrame, tags: list[str], measure: str) -> DataFrame:
     """Counters and sums by tags; partial aggregates before the shuffle."""
     return records.groupBy(*tags).agg(F.count(F.lit(1)).alias("n"), F.sum(measure).cast("long").alias("total"), F.min(measure).cast("long").alias("least"), F.max(measure).cast("long").alias("most"))
+
+
+def histogram(records: DataFrame, tags: list[str], measure: str, bounds=BOUNDS) -> DataFrame:
+    """Records by tags and bucket of a measure: bucket i holds values above bounds[i-1] and up to bounds[i] (upper; null: open)."""
+    ends = F.array(*map(F.lit, bounds))
+    bucket = F.size(F.filter(ends, lambda b: b < F.col(measure))).alias("bucket")
+    out = records.where(F.col(measure).isNotNull()).groupBy(*tags, bucket).agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("upper", F.try_element_at(ends, F.col("bucket") + 1).cast("long"))

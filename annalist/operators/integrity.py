@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import address_digest
+
 # Kinds of findings.
 FINDINGS = ("TornChangeLogTail", "MalformedChangeLogLine", "DanglingChangeLogLine", "ChangeLogPositionMismatch", "MissingHead", "MissingHistoryFile", "UnreadableRecordFile", "OrphanedTemporaryFile", "MisplacedStreamDirectory")
 
@@ -17,25 +19,37 @@ def parse_log(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", "text", "last", F.when(ok, position).alias("global_position"), F.when(ok, address).alias("address"), F.when(ok, revision).alias("revision"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
-def verify(heads: DataFrame, history: DataFrame, log: DataFrame) -> DataFrame:
-    """Findings (kind, address, revision): heads and history (address, revision, global_position, readable), parsed log."""
-    h = history.select("address", "revision", F.col("global_position").alias("__position"), "readable")
-    lines = log.where("ok").select("address", "revision", "global_position")
-    both = lines.join(h, ["address", "revision"], "left")
-    finding = lambda df, kind: df.select(F.lit(kind).alias("kind"), "address", "revision")
-    parts = [
-        finding(both.where("readable is null"), "DanglingChangeLogLine"),
-        finding(both.where("readable and global_position <> __position"), "ChangeLogPositionMismatch"),
-        finding(history.where("not readable"), "UnreadableRecordFile"),
-        finding(history.groupBy("address").agg(F.max("revision").alias("revision")).join(heads, "address", "left_anti"), "MissingHead"),
-        finding(heads.join(history, ["address", "revision"], "left_anti"), "MissingHistoryFile"),
-        finding(log.where("not ok").withColumns({"address": F.lit(None).cast("string"), "revision": F.col("line_no").cast("long")}).where("not last"), "MalformedChangeLogLine"),
-        finding(log.where("not ok").withColumns({"address": F.lit(None).cast("string"), "revision": F.col("line_no").cast("long")}).where("last"), "TornChangeLogTail"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def verify(heads: DataFrame, history: DataFrame, log: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Findings (kind, address, revision): heads and history (address, revision, global_position, readable), parsed log.
+
+    files (path, address), where given, lists the files under the ledger's folder with the addresses of the records
+    inside: temporary files, and directories whose name is not that of their records' address, are findings.
+    All three tables meet once, by address and revision; copies of a line are counted before.
+    """
+    kind = "struct<position:bigint,n:bigint>"
+    lines = log.where("ok").groupBy("address", "revision", "global_position").agg(F.count(F.lit(1)).alias("n"))
+    none = lambda t: F.lit(None).cast(t)
+    rows = lines.select("address", "revision", F.struct(F.col("global_position").alias("position"), "n").alias("line"), none("boolean").alias("readable"), none("long").alias("at"), F.lit(False).alias("head"))
+    rows = rows.unionByName(history.select("address", "revision", none(kind).alias("line"), "readable", F.col("global_position").alias("at"), F.lit(False).alias("head")))
+    rows = rows.unionByName(heads.select("address", "revision", none(kind).alias("line"), none("boolean").alias("readable"), none("long").alias("at"), F.lit(True).alias("head")))
+    both = rows.groupBy("address", "revision").agg(F.collect_list("line").alias("lines"), F.max("readable").alias("readable"), F.max("at").alias("at"), F.max("head").alias("head"))
+    absent = F.col("readable").isNull()
+    line_kind = lambda x: F.when(absent, "DanglingChangeLogLine").when(F.col("readable") & (x["position"] != F.col("at")), "ChangeLogPositionMismatch")
+    of_lines = F.flatten(F.transform("lines", lambda x: F.array_repeat(line_kind(x), x["n"].cast("int"))))
+    of_files = F.array(F.when(~F.col("readable"), F.lit("UnreadableRecordFile")), F.when(F.col("head") & absent, F.lit("MissingHistoryFile")))
+    out = both.select(F.explode(F.array_compact(F.concat(of_lines, of_files))).alias("kind"), "address", "revision")
+    no_head = both.groupBy("address").agg(F.max(F.when(~absent, F.col("revision"))).alias("revision"), F.max("head").alias("head")).where("revision is not null and not head")
+    out = out.unionByName(no_head.select(F.lit("MissingHead").alias("kind"), "address", "revision"))
+    broken = F.when(F.col("last"), "TornChangeLogTail").otherwise("MalformedChangeLogLine")
+    out = out.unionByName(log.where("not ok").select(broken.alias("kind"), none("string").alias("address"), F.col("line_no").cast("long").alias("revision")))
+    if files is None:
+        return out
+    temporary = files.where(F.col("path").endswith(".tmp")).select(F.lit("OrphanedTemporaryFile").alias("kind"), none("string").alias("address"), none("long").alias("revision"))
+    folder = F.regexp_extract("path", r"^(?:.*/)?([0-9a-f]{2}/[0-9a-f]{64})/(?:history/)?[^/]+$", 1)
+    streams = files.where("address is not null").where(~F.col("path").endswith(".tmp")).select("address", folder.alias("folder")).where("folder <> ''").distinct()
+    d = address_digest(F.col("address"))
+    astray = streams.where(F.col("folder") != F.concat(F.substring(d, 1, 2), F.lit("/"), d)).select(F.lit("MisplacedStreamDirectory").alias("kind"), "address", none("long").alias("revision"))
+    return out.unionByName(temporary).unionByName(astray)
 
 
 def compact(log: DataFrame, history: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -38,12 +40,10 @@ def prune(records: DataFrame, policy: Policy, now: Column | None = None) -> Data
 
 def _within_bytes(rows: DataFrame, most: int) -> DataFrame:
     """Greedy, newest first: the first always fits; a later one that does not fit is skipped."""
-    sizes = rows.groupBy("address").agg(F.sort_array(F.collect_list(F.struct("revision", "payload_bytes")), asc=False).alias("rs"))
 
-    def step(acc, r):
-        ok = (F.size(acc["kept"]) == 0) | (acc["total"] + r["payload_bytes"] <= most)
-        return F.struct(F.when(ok, acc["total"] + r["payload_bytes"]).otherwise(acc["total"]).alias("total"), F.when(ok, F.concat(acc["kept"], F.array(r["revision"]))).otherwise(acc["kept"]).alias("kept"))
+    def step(total, size):
+        if total is None or total + size <= most:
+            return (total or 0) + size, (True,)
+        return total, (False,)
 
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("kept"))
-    kept = sizes.select("address", F.explode(F.aggregate("rs", start, step, lambda a: a["kept"])).alias("revision"))
-    return rows.join(kept, ["address", "revision"], "left_semi")
+    return ordered.fold(rows, "address", [F.col("revision").desc()], ["payload_bytes"], "__fits boolean", lambda: None, step).where("__fits").drop("__fits")

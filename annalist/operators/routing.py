@@ -11,11 +11,11 @@ def signal_targets(signals: DataFrame, states: DataFrame, handles: DataFrame) ->
 
     states (path, partitioned, signals): names match in any case. An explicit partition reaches that handle of a
     partitioned state; a singleton ignores signals of another partition than the default. Without one, all active
-    handles (path, partition) of a partitioned state are reached, or a singleton's default. Declarations are the small
-    side: they are a manifest of a bounded number of states.
+    handles (path, partition) of a partitioned state are reached, or a singleton's default. Spark broadcasts the
+    declarations where they are small at run time.
     """
     names = states.select("path", "partitioned", F.explode(F.array_distinct(F.transform("signals", lambda s: F.lower(s)))).alias("wanted"))
-    hit = signals.join(F.broadcast(names), F.lower("name") == F.col("wanted")).where((F.col("scope") == "") | is_descendant(F.col("scope"), F.col("path")))
+    hit = signals.join(names, F.lower("name") == F.col("wanted")).where((F.col("scope") == "") | is_descendant(F.col("scope"), F.col("path")))
     explicit = hit.where(F.col("partition").isNotNull() & (F.col("partitioned") | (F.col("partition") == DEFAULT_PARTITION))).select("signal_id", "path", "partition")
     single = hit.where(F.col("partition").isNull() & ~F.col("partitioned")).select("signal_id", "path", F.lit(DEFAULT_PARTITION).alias("partition"))
     active = hit.where(F.col("partition").isNull() & F.col("partitioned")).select("signal_id", "path").join(handles, "path")

@@ -1,9 +1,10 @@
-"""Ordered folds of commands per address. Each is one exchange by address and a fold over its ordered commands."""
+"""Ordered folds of commands per address: one exchange by address, and a pass over its ordered commands or a JVM aggregate."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP = "struct<seq:bigint,outcome:string,revision:bigint>"
+from . import ordered
+from .reads import span_offsets
 
 
 def conditional_append(commands: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -12,21 +13,19 @@ def conditional_append(commands: DataFrame, heads: DataFrame | None = None) -> D
     Absent needs no head, AtRevision the head's revision, Any nothing; a conflict changes nothing and carries the
     current revision. heads (address, revision) gives the state before the first command.
     """
-    rows = commands.groupBy("address").agg(F.array_sort(F.collect_list(F.struct("seq", "condition", "expected"))).alias("cs"))
-    if heads is not None:
-        rows = rows.join(heads.select("address", F.col("revision").alias("head")), "address", "left")
-    else:
-        rows = rows.withColumn("head", F.lit(None).cast("long"))
+    rows = commands.select("address", F.lit(1).alias("kind"), "seq", "condition", "expected")
+    if heads is not None:  # a head is read before the commands of its address
+        rows = rows.unionByName(heads.select("address", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("condition"), F.col("revision").alias("expected")))
 
-    def step(acc, c):
-        ok = F.when(c["condition"] == "Absent", acc["rev"] == 0).when(c["condition"] == "AtRevision", F.coalesce(acc["rev"] == c["expected"], F.lit(False))).otherwise(F.lit(True))
-        rev = F.when(ok, acc["rev"] + 1).otherwise(acc["rev"])
-        done = F.struct(c["seq"].alias("seq"), F.when(ok, "appended").otherwise("conflict").alias("outcome"), rev.alias("revision"))
-        return F.struct(rev.alias("rev"), F.concat(acc["log"], F.array(done)).alias("log"))
+    def step(revision, kind, condition, expected):
+        if kind == 0:
+            return expected, (None, None)
+        if condition == "Absent" and revision or condition == "AtRevision" and expected != revision:
+            return revision, ("conflict", revision)
+        return revision + 1, ("appended", revision + 1)
 
-    start = F.struct(F.coalesce("head", F.lit(0).cast("long")).alias("rev"), F.array().cast(f"array<{STEP}>").alias("log"))
-    folded = rows.select("address", F.explode(F.aggregate("cs", start, step, lambda a: a["log"])).alias("r"))
-    return folded.select("address", "r.*")
+    done = ordered.fold(rows, "address", ["kind", "seq", "condition", "expected"], ["kind", "condition", "expected"], "outcome string, revision long", int, step)
+    return done.where("kind = 1").select("address", "seq", "outcome", "revision")
 
 
 def revision_numbering(rows: DataFrame, order: str) -> DataFrame:
@@ -68,11 +67,12 @@ def dispatch(rows: DataFrame, order: list[str], initial: Column, reducer, requir
     return reduce_commands(rows, order, start, step).select("address", "state.*")
 
 
-def suppress_equivalent(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """Writes that differ from the value before them (null-safe); status is ignored, and the first write always stays."""
+def suppress_equivalent(rows: DataFrame, value: str, order: str, equal=lambda a, b: a.eqNullSafe(b)) -> DataFrame:
+    """Writes that differ from the value before them (null-safe, or by a comparer of two Columns); status is ignored, and
+    the first write always stays."""
     w = Window.partitionBy("address").orderBy(order)
     n = F.row_number().over(w)
-    return rows.select("*", n.alias("__n"), F.lag(value).over(w).alias("__before")).where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__before"))).drop("__n", "__before")
+    return rows.select("*", n.alias("__n"), F.lag(value).over(w).alias("__before")).where((F.col("__n") == 1) | ~F.coalesce(equal(F.col(value), F.col("__before")), F.lit(False))).drop("__n", "__before")
 
 
 def fault_record(rows: DataFrame, keep_last_known: bool) -> DataFrame:
@@ -93,10 +93,9 @@ def import_exact(records: DataFrame, imported: DataFrame, columns: list[str]) ->
 def allocate_positions(rows: DataFrame, order: str, high: int, span: int = 1 << 16) -> DataFrame:
     """Dense positions after a high-water mark, in order of a numeric column, without a global window over the rows."""
     spans = rows.withColumn("__span", F.floor(F.col(order) / span))
-    first = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.groupBy("__span").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(first), F.lit(0))).drop("__c")
+    offsets = span_offsets(spans.groupBy("__span").agg(F.count(F.lit(1)).alias("__c")))
     rank = F.row_number().over(Window.partitionBy("__span").orderBy(order))
-    return spans.withColumn("__rank", rank).join(F.broadcast(offsets), "__span").withColumn("position", F.lit(high) + F.col("__before") + F.col("__rank")).drop("__span", "__rank", "__before")
+    return spans.withColumn("__rank", rank).join(offsets, "__span").withColumn("position", F.lit(high) + F.col("__before") + F.col("__rank")).drop("__span", "__rank", "__before")
 
 
 def late_imports(imported: DataFrame, cursor: int) -> DataFrame:

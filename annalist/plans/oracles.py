@@ -130,7 +130,10 @@ _of_ledger(
       UNION ALL SELECT 'UnreadableRecordFile', address, revision FROM hist WHERE NOT readable
       UNION ALL SELECT 'MissingHead', address, max(revision) FROM hist WHERE address NOT IN (SELECT address FROM hd) GROUP BY address
       UNION ALL SELECT 'MissingHistoryFile', address, revision FROM hd WHERE (address, revision) NOT IN (SELECT (address, revision) FROM hist)
-      UNION ALL SELECT 'TornChangeLogTail', NULL, 1099511627776""",
+      UNION ALL SELECT 'TornChangeLogTail', NULL, 1099511627776
+      UNION ALL SELECT 'MalformedChangeLogLine', NULL, s_suppkey + 2199023255552 FROM supplier WHERE s_suppkey % 3 = 0
+      UNION ALL SELECT 'OrphanedTemporaryFile', NULL, NULL FROM events WHERE event_id % 41 = 0
+      UNION ALL SELECT DISTINCT 'MisplacedStreamDirectory', 'app::users/activity::' || user_id, CAST(NULL AS BIGINT) FROM events WHERE event_id % 43 = 0 AND event_id % 41 <> 0""",
     compact_log=_LAYOUT + "SELECT line_no, reason FROM judged UNION ALL SELECT 1099511627776, 'torn'",
     compaction_report=_LAYOUT + "SELECT reason, count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes FROM judged GROUP BY 1 UNION ALL SELECT 'torn', 1, 14",
     repair_plan=_LAYOUT
@@ -144,6 +147,8 @@ _LOADS = """WITH b AS (SELECT d.doc_id, lang, n_chars, quality, toxic, l.doc_id
     CASE WHEN d.doc_id % 5 = 0 THEN 1 END AS c0, CASE WHEN d.doc_id % 5 = 0 THEN 'held' END AS n0 FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 ORACLES |= {
+    "telemetry_histogram": """SELECT source, bucket, n, ([0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000])[bucket + 1] AS upper
+      FROM (SELECT role AS source, len([b FOR b IN [0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000] IF b < length(text)]) AS bucket, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY ALL)""",
     "path_normalize": r"""SELECT page_id, regexp_replace(regexp_replace(lower(replace(trim(replace(url, '://', '\\') || '//A/', ' '), '\', '/')), '/+', '/', 'g'), '^/|/$', '', 'g') AS path, true AS valid,
       CASE WHEN page_id % 3 = 1 THEN 'Ab' ELSE 'default' END AS partition FROM pages""",
     "canonical_address": "SELECT c_custkey, 'app::customers/' || lower(c_mktsegment) || '::' || c_custkey AS address FROM customer",

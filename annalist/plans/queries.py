@@ -411,6 +411,11 @@ def telemetry_rollup(spark, d):
     return diagnostics.telemetry(_ledger(spark, d, "root", "path", "operation", "source", "payload_bytes"), ["root", "path", "operation", "source"], "payload_bytes")
 
 
+@query
+def telemetry_histogram(spark, d):
+    return diagnostics.histogram(_reports(spark, d), ["source"], "elapsed")
+
+
 @query
 def failure_rate_limit(spark, d):
     e = views.table(spark, d, "events").where("event_type = 'error'")
@@ -435,7 +440,13 @@ def _layout(spark, d):
 
 @query
 def verify_findings(spark, d):
-    return integrity.verify(*_layout(spark, d))
+    heads, history, log = _layout(spark, d)
+    bad = views.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(((F.col("s_suppkey") + (1 << 41)).cast("long")).alias("line_no"), F.lit("x\tApp").alias("text"), F.lit(False).alias("last"))
+    r = _ledger(spark, d, "address", "partition", "revision", "event_id")
+    place = identity.history_file(F.col("address"), F.col("revision"))
+    wrong = F.concat(F.lit("ff/ff"), F.lpad("partition", 62, "0"), F.lit("/history/1.json"))
+    files = r.select(F.when(F.col("event_id") % 41 == 0, F.concat(place, F.lit(".7.tmp"))).when(F.col("event_id") % 43 == 0, wrong).otherwise(place).alias("path"), F.when(F.col("event_id") % 41 != 0, F.col("address")).alias("address"))
+    return integrity.verify(heads, history, log.unionByName(integrity.parse_log(bad)), files)
 
 
 @query

@@ -23,6 +23,12 @@ RETRIES = 8
 KIND = "address string, revision long, global_position long, occurred_at timestamp_ntz, operation string, status string, value double, has_value boolean, payload_bytes long, fresh_until timestamp_ntz, serve_until timestamp_ntz, schema_version int, source string, value_type string"
 
 
+#: Keys of the tables that go with the records: heads (one row an address), sequences, and leases.
+HEADS = "address string, revision long, global_position long, occurred_at timestamp_ntz, operation string, status string, value_type string, source string"
+SEQUENCES = "name string, value long"
+LEASES = "lease_id string, owner string, until timestamp_ntz"
+
+
 class Conflict(Exception):
     """Another writer committed the version first."""
 
@@ -59,6 +65,13 @@ class LedgerTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{x}" for x in live))
 
+    def _by_folder(self, version: int) -> DataFrame:
+        """The records of a version with the data folder they are in."""
+        rows = self.records(version)
+        if not self.state(version)[0]:
+            return rows.withColumn("folder", F.lit(None).cast("string"))
+        return rows.withColumn("folder", F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]{32})/", 1))
+
     def _publish(self, base: int, add: list[str], remove: list[str], high: int) -> int:
         live, _ = self.state(base)
         body = {"live": [x for x in live if x not in remove] + add, "added": add, "removed": remove, "high": high}
@@ -89,24 +102,24 @@ class LedgerTable:
     # --- writes ---
 
     def append(self, commands: DataFrame) -> DataFrame:
-        """Commands (address, seq, condition, expected, and a record's columns): outcomes by seq; accepted ones are committed."""
+        """Commands (address, seq, condition, expected, and a record's columns): outcomes by seq, as a written table; accepted ones are committed."""
+
         def attempt():
             base = self.version()
             _, high = self.state(base)
             heads = reads.read_latest(self.records(base).select("address", "revision", "global_position"))
-            outcomes = writes.conditional_append(commands, heads).persist()
-            try:
-                won = outcomes.where("outcome = 'appended'").select("seq", "revision")
-                rows = commands.drop("condition", "expected").join(won, "seq")
-                placed = writes.allocate_positions(rows, "seq", high).withColumnRenamed("position", "global_position")
-                names = [f.name for f in StructType.fromDDL(self.schema).fields]
-                n = won.count()
-                add = [self._write(placed.select(*names))] if n else []
-                if n:
-                    self._publish(base, add, [], high + n)
-                return self.spark.createDataFrame(outcomes.collect(), outcomes.schema)
-            finally:
-                outcomes.unpersist()
+            heads = heads.join(commands.select("address").distinct(), "address", "left_semi")
+            outcomes, folder = writes.conditional_append(commands, heads), f"{self.path}/outcomes/{uuid.uuid4().hex}"
+            outcomes.write.parquet(folder)
+            outcomes = self.spark.read.schema(outcomes.schema).parquet(folder)
+            won = outcomes.where("outcome = 'appended'").select("seq", "revision")
+            rows = commands.drop("condition", "expected").join(won, "seq")
+            placed = writes.allocate_positions(rows, "seq", high).withColumnRenamed("position", "global_position")
+            names = [f.name for f in StructType.fromDDL(self.schema).fields]
+            n = won.count()
+            if n:
+                self._publish(base, [self._write(placed.select(*names))], [], high + n)
+            return outcomes
 
         return self._retry(attempt)
 
@@ -116,21 +129,32 @@ class LedgerTable:
 
         def attempt():
             base = self.version()
-            live, high = self.state(base)
-            merged = writes.import_exact(self.records(base), imported.select(*names), names).select(*names)
-            name = self._write(merged)
-            top = self.spark.read.parquet(f"{self.path}/data/{name}").agg(F.max("global_position")).first()[0] or 0
-            return self._publish(base, [name], live, max(high, top))
+            _, high = self.state(base)
+            name = self._write(writes.import_exact(self.records(0), imported.select(*names), names).select(*names))
+            new = self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{name}")
+            top = new.agg(F.max("global_position")).first()[0] or 0
+            # Only folders that hold a replaced record are written anew.
+            keys = new.select("address", "revision")
+            old = self._by_folder(base)
+            touched = [r.folder for r in old.join(keys, ["address", "revision"], "left_semi").select("folder").distinct().collect()]
+            rest = [self._write(old.where(F.col("folder").isin(touched)).join(keys, ["address", "revision"], "left_anti").select(*names))] if touched else []
+            return self._publish(base, [name, *rest], touched, max(high, top))
 
         return self._retry(attempt)
 
     def prune(self, policy: retention.Policy, now=None) -> int:
-        """Retention: a new version with what stays; the feed loses exactly the same records."""
+        """Retention: a new version with what stays; the feed loses exactly the same records. Folders that lose none stay."""
 
         def attempt():
             base = self.version()
-            live, high = self.state(base)
-            return self._publish(base, [self._write(retention.prune(self.records(base), policy, now))], live, high)
+            _, high = self.state(base)
+            old = self._by_folder(base)
+            stays = retention.prune(old, policy, now)
+            n = old.groupBy("folder").count().join(stays.groupBy("folder").agg(F.count(F.lit(1)).alias("left")), "folder", "left")
+            touched = [r.folder for r in n.where("left is null or left < count").select("folder").collect()]
+            if not touched:
+                return base
+            return self._publish(base, [self._write(stays.where(F.col("folder").isin(touched)).drop("folder"))], touched, high)
 
         return self._retry(attempt)
 
@@ -140,6 +164,7 @@ class LedgerTable:
         gone = [x for x in os.listdir(f"{self.path}/data") if x not in live]
         for x in gone:
             shutil.rmtree(f"{self.path}/data/{x}")
+        shutil.rmtree(f"{self.path}/outcomes", ignore_errors=True)
         return gone
 
     # --- reads ---

@@ -98,16 +98,33 @@ class Outbox:
                 self.lease.release(self.name, token)
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of any store holds Parquet files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*.parquet")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def deliver(messages: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True):
     """Streaming delivery to an idempotent table: a batch writes only messages that the table does not have."""
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        have = spark.read.parquet(sink_path) if os.path.isdir(sink_path) and any(f.endswith(".parquet") for f in os.listdir(sink_path)) else spark.createDataFrame([], "global_position long, message_id string")
+        rows = rows.persist()
+        low, high = rows.agg(F.min("global_position"), F.max("global_position")).first()
+        if low is None:
+            rows.unpersist()
+            return
+        have = spark.createDataFrame([], "global_position long, message_id string")
+        if _has_files(spark, sink_path):  # only the batch's positions: a range that the files' statistics prune
+            have = spark.read.parquet(sink_path).where(F.col("global_position").between(low, high))
+        if rows.groupBy("global_position").agg(F.min("message_id").alias("a"), F.max("message_id").alias("b")).where("a <> b").limit(1).count():
+            raise ValueError("two messages at one position")
         judged = outbox.conflicts_and_new(rows.dropDuplicates(["message_id"]), have)
         if judged.where("outcome = 'conflict'").limit(1).count():
             raise ValueError("another message at a delivered position")
         judged.where("outcome = 'new'").drop("outcome").sortWithinPartitions("global_position").write.mode("append").parquet(sink_path)
+        rows.unpersist()
 
     w = messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -215,3 +215,67 @@ def test_export_round_trip(spark, tmp_path):
     for bad in (dict(root="x"), dict(root="app", fingerprint="f2")):
         with pytest.raises(ValueError):
             read_export(spark, str(tmp_path / "e"), **bad)
+
+
+def test_long_folds(spark):
+    """One address of very many commands: linear, in one pass."""
+    n = 300_000
+    cs = spark.range(n).select(F.lit("hot").alias("address"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "AtRevision").otherwise("Any").alias("condition"), (F.col("id") % 5).alias("expected"))
+    got = {r.outcome: (r.n, r.top) for r in writes.conditional_append(cs).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.max("revision").alias("top")).collect()}
+    revision, conflicts = 0, 0
+    for i in range(n):
+        if i % 3 == 0 and i % 5 != revision:
+            conflicts += 1
+        else:
+            revision += 1
+    assert got["appended"] == (revision, revision) and got["conflict"][0] == conflicts
+    rows = spark.range(n).select(F.lit("hot").alias("address"), F.col("id").alias("revision"), (F.col("id") % 7 + 1).alias("payload_bytes"))
+    assert retention.prune(rows, retention.Policy(max_bytes=10**6)).agg(F.sum("payload_bytes")).first()[0] == 10**6
+
+
+def test_span_offsets(spark):
+    counts = spark.createDataFrame([(s, s % 4 + 1) for s in (0, 3, 4, 9, 10, 100, 101)], "__span long, __c long")
+    got = {r["__span"]: r["__before"] for r in reads.span_offsets(counts, 4).collect()}
+    want, total = {}, 0
+    for s in (0, 3, 4, 9, 10, 100, 101):
+        want[s], total = total, total + s % 4 + 1
+    assert got == want
+
+
+def test_verify_files(spark):
+    heads = spark.createDataFrame([("a", 1)], "address string, revision long")
+    hist = spark.createDataFrame([("a", 1, 1, True)], "address string, revision long, global_position long, readable boolean")
+    log = integrity.parse_log(spark.createDataFrame([(0, "x", False)], "line_no long, text string, last boolean"))
+    place = hist.select(identity.history_file(F.col("address"), F.col("revision"))).first()[0]
+    wrong = "ff/ff" + "0" * 62
+    files = [(place, "a"), (place.replace("history/", "history/.") + ".tmp", None), ("_changes.log.12.tmp", None), (f"root/{wrong}/history/1.json", "a"), (f"root/{wrong}/head.json", "a"), ("_changes.log", None)]
+    got = sorted((r.kind, r.address) for r in integrity.verify(heads, hist, log, spark.createDataFrame(files, "path string, address string")).collect())
+    assert got == [("MalformedChangeLogLine", None), ("MisplacedStreamDirectory", "a"), ("OrphanedTemporaryFile", None), ("OrphanedTemporaryFile", None)]
+
+
+def test_comparer_and_codec(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "X"), ("a", 3, "y"), ("a", 4, None), ("a", 5, None)], "address string, n long, v string")
+    same = lambda a, b: F.lower(a).eqNullSafe(F.lower(b))
+    assert sorted(r.n for r in writes.suppress_equivalent(rows, "v", "n", same).collect()) == [1, 3, 4]
+    assert sorted(r.n for r in writes.suppress_equivalent(rows, "v", "n").collect()) == [1, 2, 3, 4]
+    pipe = freshness.Codec("pipe", lambda v: F.concat_ws("|", v["a"].cast("string"), v["b"]), lambda p, _: F.struct(F.split(p, "[|]")[0].cast("int").alias("a"), F.split(p, "[|]")[1].alias("b")))
+    v = rows.limit(1).select(F.struct(F.lit(7).alias("a"), F.lit("z").alias("b")).alias("v"))
+    e = v.select(pipe.envelope(F.col("v")).alias("e"), F.lit(2).alias("version")).select("e.*", "version")
+    assert tuple(e.first()) == ("7|z", "pipe", "application/octet-stream", 2)
+    assert tuple(e.select(freshness.decode(F.col("payload"), F.col("version"), 2, {2: "a int, b string"}, {}, pipe).alias("v")).first().v) == (7, "z")
+    j = v.select(freshness.JSON.envelope(F.col("v")).alias("e")).select("e.*").first()
+    assert tuple(j) == ('{"a":7,"b":"z"}', "json", "application/json")
+
+
+def test_reobserve_and_required_value(spark):
+    at = lambda h: f"2024-01-01 {h:02d}:00:00"
+    rows = spark.createDataFrame([("a", "Ready", True, at(6), at(9)), ("b", "Faulted", True, at(6), at(9)), ("c", "Cleared", False, None, None)], "address string, status string, has_value boolean, fresh_until string, serve_until string")
+    rows = rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("fresh_until", "serve_until")})
+    first = freshness.snapshot(rows, freshness.ts(at(5)))
+    later = {r.address: (r.status, r.is_stale, r.can_serve) for r in freshness.reobserve(first, freshness.ts(at(8))).collect()}
+    assert {r.address: r.status for r in first.collect()} == {"a": "Ready", "b": "Faulted", "c": "Cleared"}
+    assert later == {"a": ("Stale", True, True), "b": ("Faulted", True, True), "c": ("Cleared", False, False)}
+    assert {r.address: r.can_serve for r in freshness.reobserve(first, freshness.ts(at(10))).collect()} == {"a": False, "b": False, "c": False}
+    assert spark.range(1).select(freshness.required_value(F.lit(3), F.lit("a::b"))).first()[0] == 3
+    with pytest.raises(Exception, match="no usable value at a::b"):
+        spark.range(1).select(freshness.required_value(F.lit(None).cast("int"), F.concat(F.lit("a::"), F.lit("b")))).collect()

@@ -4,8 +4,10 @@ import threading
 
 import pytest
 from annalist.functions.freshness import ts
+from annalist.operators import retention
 from annalist.operators.retention import Policy
 from annalist.plans.manifest import Root, supports
+from annalist.sources.stores import Stores
 from annalist.sources.table import Conflict, Lease, LedgerTable
 from annalist.streaming.feed import Cursor, MemorySink, Outbox, deliver, feed_stream, stream_fold, subscribe
 from pyspark.sql import functions as F
@@ -142,3 +144,39 @@ def test_stateful_fold(spark, tmp_path):
     q()
     got = sorted((r.address, r.revision, r.value) for r in spark.read.parquet(str(tmp_path / "o")).collect())
     assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 4.0)]
+
+
+def test_imports_and_prunes_touch_only_their_folders(spark, tmp_path):
+    t = LedgerTable(spark, str(tmp_path / "t"))
+    for k in range(3):
+        t.append(commands(spark, [(f"a{k}", i, "Any", None, float(i)) for i in range(4)]))
+    live, _ = t.state()
+    old = t.records().where("address = 'a1' and revision = 2").withColumn("value", F.lit(99.0))
+    t.import_records(old)
+    after, _ = t.state()
+    assert live[0] in after and live[2] in after and live[1] not in after
+    got = {(r.address, r.revision): r.value for r in t.records().collect()}
+    assert len(got) == 12 and t.records().count() == 12 and got["a1", 2] == 99.0 and got["a1", 1] == 0.0
+    before = t.version()
+    assert t.prune(retention.Policy(max_revisions=4)) == before
+    t.append(commands(spark, [("a0", 1, "Any", None, 7.0)]))
+    kept_folders = set(t.state()[0])
+    t.prune(retention.Policy(max_revisions=4))
+    assert len(kept_folders & set(t.state()[0])) == len(kept_folders) - 1 and t.records().count() == 12
+
+
+def test_two_messages_at_a_position(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "m1"), (2, "m2"), (2, "other")], "global_position long, message_id string")
+    rows.write.parquet(str(tmp_path / "in"))
+    messages = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="two messages at one position"):
+        deliver(messages, str(tmp_path / "sink"), str(tmp_path / "cp")).awaitTermination()
+
+
+def test_stores():
+    s = Stores(Main=1, hot=2)
+    assert s.resolve("MAIN") == 1 and s.resolve("Hot") == 2
+    with pytest.raises(KeyError, match="there are: hot, Main"):
+        s.resolve("cold")
+    with pytest.raises(ValueError):
+        s.register("main", 3)
