@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from annalist.llm import arrays, blocks, decontaminate, jaccard, language_model, media, mixing, pii, queries, secrets, substrings, tokens, toxicity
+from pyspark.sql import functions as F
 
 AZ = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, key string, spans string"
@@ -451,22 +452,33 @@ def test_tokens(docs, empty, texts):
 
     path = queries._vocabulary()
     tok = Tokenizer.from_file(path)
-    got = by_id(tokens.token_prefixes(docs, path))
-    special = "Don't <|endoftext|> stop<|startoftext|>now ﬁ Σς ΑΣ 12ab é́"
-    cases = {**{i: t for i, t in enumerate(texts)}}
-    for i, t in cases.items():
-        want = len(tok.encode(t or "", add_special_tokens=False).ids)
-        assert (got[i]["counts"] or [0])[-1] == want and got[i]["n_bytes"] == len((t or "").encode())
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
     spark = docs.sparkSession
-    one = by_id(tokens.token_prefixes(spark.createDataFrame([(1, special)], "doc_id long, text string"), path))[1]
-    for k in range(len(special) + 1):
-        assert tokens.tokens_of_part(special, one["ends"], one["counts"], k, path) == len(tok.encode(special[:k], add_special_tokens=False).ids), k
-    r = by_id(tokens.token_counts(docs, path, limit=50))
-    for i, t in cases.items():
-        raw = (t or "").encode()[: r[i]["cut_bytes"]].decode()
-        n = len(tok.encode(raw, add_special_tokens=False).ids)
-        assert n <= 50 and r[i]["over_limit"] == (r[i]["n_tokens"] > 50)
+    got = by_id(tokens.token_prefixes(docs, path))
+    for i, t in enumerate(texts):
+        assert (got[i]["counts"] or [0])[-1] == count(t or "") and got[i]["n_bytes"] == len((t or "").encode())
+    # At every prefix, that of the library; also inside words, special strings and long stretches with digits.
+    special = ["Don't <|endoftext|> stop<|startoftext|>now ﬁ Σς ΑΣ 12ab é́", "\u00a0a\u2003b\x1cc  \t\nx\x85y", "ab12cd's3it'll" * 30 + " " + "=" * 190 + "é" * 60, " \n", "the cat", *[t for t in texts if t and len(t) < 400]]
+    rows = by_id(tokens.token_prefixes(spark.createDataFrame(list(enumerate(special)), "doc_id long, text string").repartition(2), path))
+    for i, t in enumerate(special):
+        assert rows[i]["counts"] == [count(t[: k + 1]) for k in range(len(t))], t[:40]
+    r = by_id(tokens.token_counts(docs, path, limit=50, inside=True))
+    w = by_id(tokens.token_counts(docs, path, limit=50))
+    for i, t in enumerate(texts):
+        cut = r[i]["cut_chars"]
+        assert r[i]["over_limit"] == (r[i]["n_tokens"] > 50) and count((t or "")[:cut]) <= 50
+        assert w[i]["n_tokens"] == r[i]["n_tokens"] and w[i]["cut_chars"] <= cut and re.search(r"\s", (" " + (t or "") + " ")[w[i]["cut_chars"] :][:2]) and count((t or "")[: w[i]["cut_chars"]]) <= 50
+        if len(t or "") < 3000:
+            assert cut == max((k for k in range(len(t or "") + 1) if count((t or "")[:k]) <= 50))
+    within = spark.createDataFrame([([1, 1, 2],), ([],)], "c array<int>").select(*(tokens.tokens_within(F.col("c"), F.lit(k)).alias(f"k{k}") for k in (0, 1, 3, 9))).collect()
+    assert [tuple(x) for x in within] == [(0, 1, 2, 2), (0, 0, 0, 0)]
     assert tokens.token_counts(empty, path).count() == 0
+    # Stretches without white space or digits of any length: the end is counted, the time is in proportion.
+    long = ["a" * 100_000 + " b", "7" * 100_000, "x9" * 50_000]
+    began = time.time()
+    rows = by_id(tokens.token_prefixes(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), path))
+    assert [rows[i]["counts"][-1] for i in range(3)] == [count(t) for t in long] and time.time() - began < 30
+    assert rows[0]["counts"][255] == count("a" * 256) and rows[0]["counts"][256] is None and rows[1]["counts"] == list(range(1, 100_001))
 
 
 def brute_contamination(rows, items, width):
