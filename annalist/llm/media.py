@@ -11,7 +11,9 @@ application/octet-stream and no parts. Repeated rows give repeated results, an e
 input are ignored. Very long values are read whole, one at a time.
 """
 
+import bisect
 import functools
+import re
 import struct
 import zlib
 
@@ -141,63 +143,176 @@ def _bmp(b, i):
     return "bmp", size
 
 
-def _pdf(b, i):
-    end = b.find(b"%%EOF", i)
-    if end < 0 or b.find(b"startxref", i, end) < 0 or not b[i + 5 : i + 6].isdigit():
+class Value:
+    """A media value with the places of end marks, each found once however many starts ask for them."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.marks = raw, {}
+
+    def _places(self, mark: bytes) -> list[int]:
+        if mark not in self.marks:
+            places, found = [], self.raw.find(mark)
+            while found >= 0:
+                places.append(found)
+                found = self.raw.find(mark, found + 1)
+            self.marks[mark] = places
+        return self.marks[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or -1."""
+        places = self._places(mark)
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def before(self, mark: bytes, at: int) -> int:
+        """The last place of mark before at, or -1."""
+        k = bisect.bisect_left(self._places(mark), at)
+        return self.marks[mark][k - 1] if k else -1
+
+
+def _pdf(v, i):
+    """%PDF-n.n ... startxref, the offset of a cross reference inside the file, %%EOF."""
+    b = v.raw
+    if not re.match(rb"%PDF-[0-9]\.[0-9]", b[i : i + 8]):
         return None
-    return "pdf", end + 5 - i
+    end = v.next(b"%%EOF", i)
+    at = v.before(b"startxref", end) if end >= 0 else -1
+    m = re.match(rb"startxref\s+([0-9]{1,10})\s+%%EOF", b[at : at + 40]) if at >= i else None
+    if not m:
+        return None
+    x = i + int(m[1])
+    return ("pdf", at + m.end() - i) if b[x : x + 4] == b"xref" or re.match(rb"[0-9]{1,10} [0-9]{1,5} obj", b[x : x + 20]) else None
 
 
-def _zip(b, i):
-    end = b.find(b"PK\x05\x06", i)
+def _zip(v, i):
+    """The first end record whose central directory starts behind the first file and has as many entries as it says."""
+    b, end = v.raw, v.next(b"PK\x05\x06", i)
     if end < 0 or end + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    if i + start + size != end or b[i + start : i + start + 4] != b"PK\x01\x02" or end + 22 + note > len(b):
+    entries, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
+    if i + start + size != end or end + 22 + note > len(b):
         return None
-    return "zip", end + 22 + note - i
+    at = i + start
+    for _ in range(entries):
+        if at + 46 > end or b[at : at + 4] != b"PK\x01\x02":
+            return None
+        name, extra, comment = struct.unpack_from("<HHH", b, at + 28)
+        local = struct.unpack_from("<I", b, at + 42)[0]
+        if b[i + local : i + local + 4] != b"PK\x03\x04":
+            return None
+        at += 46 + name + extra + comment
+    return ("zip", end + 22 + note - i) if at == end and entries else None
 
 
-def _gzip(b, i):
+def _gzip(v, i):
+    b = v.raw
     try:
         d = zlib.decompressobj(31)
         at = i
         while not d.eof and at < len(b):
-            d.decompress(b[at : at + 65536])
+            part = b[at : at + 65536]
+            while part and not d.eof:  # bounded output: the length and sum at the end are checked by zlib
+                d.decompress(part, 1 << 20)
+                part = d.unconsumed_tail
             at += 65536
     except zlib.error:
         return None
     return ("gzip", min(at, len(b)) - len(d.unused_data) - i) if d.eof else None
 
 
-def _flac(b, i):
-    if i + 42 > len(b) or b[i + 4] & 127 or int.from_bytes(b[i + 5 : i + 8], "big") != 34:
+@functools.cache
+def _crc_table(bits: int, poly: int) -> tuple[int, ...]:
+    """The table of a cyclic redundancy check, most significant bit first."""
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x & top else x << 1) & mask
+        out.append(x)
+    return tuple(out)
+
+
+def crc(data: bytes, bits: int, poly: int) -> int:
+    table, shift, mask, x = _crc_table(bits, poly), bits - 8, (1 << bits) - 1, 0
+    for c in data:
+        x = (x << 8 & mask) ^ table[x >> shift ^ c]
+    return x
+
+
+def _flac(v, i):
+    """fLaC, metadata blocks from a stream description on, and a first frame whose header's sum is right.
+
+    Frames do not say their length: the stream ends where the value does, or where other media starts.
+    """
+    b, at, last, first = v.raw, i + 4, False, True
+    while not last:
+        if at + 4 > len(b):
+            return None
+        kind, n = b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
+        last = bool(b[at] & 128)
+        if kind > 6 or first != (kind == 0) or first and n != 34 or at + 4 + n > len(b):
+            return None
+        at, first = at + 4 + n, False
+    if at == len(b):
+        return "flac", at - i
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    block, rate, x = b[at + 2] >> 4, b[at + 2] & 15, b[at + 4]
+    number = 1 if x < 128 else 8 - (x ^ 0xFF).bit_length()  # its length is coded as in UTF-8
+    size = 4 + number + (1 if block == 6 else 2 if block == 7 else 0) + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    if not block or rate == 15 or number > 7 or at + size >= len(b) or crc(b[at : at + size], 8, 0x07) != b[at + size]:
         return None
     return "flac", len(b) - i
 
 
-def _ogg(b, i):
-    at, last = i, None
+def _ogg(v, i):
+    """Pages of right sums, from the first of a stream to the last that its streams mark."""
+    b, at, open_, pages = v.raw, i, set(), 0
     while b[at : at + 4] == b"OggS" and at + 27 <= len(b) and b[at + 4] == 0:
         n = b[at + 26]
         size = 27 + n + sum(b[at + 27 : at + 27 + n])
         if at + size > len(b):
-            break
-        last, at = b[at + 5], at + size
-    return ("ogg", at - i) if last is not None else None
+            return None
+        page = b[at : at + size]
+        if crc(page[:22] + bytes(4) + page[26:], 32, 0x04C11DB7) != int.from_bytes(page[22:26], "little"):
+            return None
+        kind, serial = page[5], page[14:18]
+        if kind & 2:
+            open_.add(serial)
+        elif serial not in open_:
+            return None
+        if kind & 4:
+            open_.discard(serial)
+        at, pages = at + size, pages + 1
+        if not open_:
+            return "ogg", at - i
+    return None
+
+
+#: Boxes of the top level of an MP4 file.
+_BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"styp", b"meta", b"uuid", b"pdin", b"emsg"}
 
 
-def _mp4(b, i):
-    at = i
+def _mp4(v, i):
+    """A file type box with a brand, then known boxes as long as they follow; one with the media or its description."""
+    b, at, seen = v.raw, i, set()
     while at + 8 <= len(b):
         n, tag = struct.unpack_from(">I4s", b, at)
-        if n < 8 or at + n > len(b) or not tag.isalnum():
+        head = 8
+        if n == 1 and at + 16 <= len(b):
+            n, head = struct.unpack_from(">Q", b, at + 8)[0], 16
+        if tag not in _BOXES or n < head or at + n > len(b) or (at == i and (tag != b"ftyp" or n < 16 or n % 4)):
             break
+        seen.add(tag)
         at += n
-    return ("mp4", at - i) if at > i + 8 else None
+    return ("mp4", at - i) if seen & {b"moov", b"mdat", b"moof"} else None
+
+
+def _plain(check):
+    return lambda v, i: check(v.raw, i)
 
 
-_VALID = {"riff": _riff, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg, "mp4": _mp4}
+_VALID = {k: _plain(f) for k, f in (("riff", _riff), ("png", _png), ("gif", _gif), ("jpeg", _jpeg), ("bmp", _bmp))} | {"pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg, "mp4": _mp4}
 
 
 @functools.cache
@@ -213,9 +328,9 @@ def _automaton():
 
 def sniff(media: bytes) -> list[tuple[str, int, int]]:
     """(format, start, end) of all valid media in a value, outermost first; parts inside a valid part are listed too."""
-    out = []
+    out, value = [], Value(media)
     for at, (name, back) in _automaton().iter(media.decode("latin-1")):
-        if at - back >= 0 and (found := _VALID[name](media, at - back)):
+        if at - back >= 0 and (found := _VALID[name](value, at - back)):
             out.append((found[0], at - back, at - back + found[1]))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
