@@ -2,7 +2,7 @@
 
 A candidate is a maximal run of [A-Za-z0-9+/_=-]. A window of WINDOW characters slides over it; the counts of its
 characters change by one in and one out, and with them the sum of n*log2(n), from which the window's Shannon entropy
-follows. The threshold depends on the character class of the window: digits and hexadecimal letters, letters and
+follows, and the numbers of its characters in each class. The threshold depends on the character class of the window: digits and hexadecimal letters, letters and
 digits of one case, or mixed case. Windows above it merge into one span. Windows without both a letter and a digit,
 and what the allow-list knows, are suppressed: whole runs (UUIDs, paths of words), windows that touch a part between
 separators which holds a placeholder's name, and windows that touch a sequence or a run of one character.
@@ -46,31 +46,46 @@ _CANDIDATE = tuple(b for b in range(256) if b not in b"ABCDEFGHIJKLMNOPQRSTUVWXY
 _LOG = [0.0, *(n * math.log2(n) for n in range(1, 257))]
 
 
-def window_entropies(s: bytes, width: int = WINDOW) -> list[float]:
-    """The Shannon entropy of every window, by counts that change by one character in and one out."""
+#: Character classes as bits: digits, lower and upper case letters, hexadecimal letters, anything else.
+DIGIT, LOWER, UPPER, HEX, OTHER = 1, 2, 4, 8, 16
+_CLASSES = [
+    sum(bit for bit, some in ((DIGIT, b"0123456789"), (LOWER, b"abcdefghijklmnopqrstuvwxyz"), (UPPER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (HEX, b"abcdefABCDEF")) if c in some) or OTHER
+    for c in range(256)
+]
+
+
+def windows(s: bytes, width: int = WINDOW):
+    """(entropy, class or None) of every window, by counts that change by one character in and one out."""
     counts, total, out = [0] * 256, 0.0, []
+    digits = lower = upper = hexa = 0
+    bits, most = _CLASSES, math.log2(width)
     for i, c in enumerate(s):
-        counts[c] += 1
-        total += _LOG[counts[c]] - _LOG[counts[c] - 1]
+        n = counts[c]
+        counts[c] = n + 1
+        total += _LOG[n + 1] - _LOG[n]
+        k = bits[c]
+        digits += k & 1
+        lower += k >> 1 & 1
+        upper += k >> 2 & 1
+        hexa += k >> 3 & 1
         if i >= width:
-            old = s[i - width]
-            counts[old] -= 1
-            total -= _LOG[counts[old] + 1] - _LOG[counts[old]]
+            c = s[i - width]
+            n = counts[c]
+            counts[c] = n - 1
+            total -= _LOG[n] - _LOG[n - 1]
+            k = bits[c]
+            digits -= k & 1
+            lower -= k >> 1 & 1
+            upper -= k >> 2 & 1
+            hexa -= k >> 3 & 1
         if i >= width - 1:
-            out.append(math.log2(width) - total / width)
+            kind = None
+            if digits and lower + upper:
+                kind = "hex" if digits + hexa == width else "mixed" if upper and lower else "single"
+            out.append((most - total / width, kind))
     return out
 
 
-def _class(window: bytes) -> str | None:
-    digits = sum(48 <= c < 58 for c in window)
-    upper, lower = sum(65 <= c < 91 for c in window), sum(97 <= c < 123 for c in window)
-    if not digits or not upper + lower:
-        return None
-    if all(c in b"0123456789abcdefABCDEF" for c in window):
-        return "hex"
-    return "mixed" if upper and lower else "single"
-
-
 def entropy_spans(s: bytes, width: int = WINDOW, thresholds=None, allowed=ALLOWED) -> list[tuple[int, int]]:
     """Merged spans of the windows of a candidate string above their class's threshold."""
     thresholds = thresholds or THRESHOLDS
@@ -80,11 +95,9 @@ def entropy_spans(s: bytes, width: int = WINDOW, thresholds=None, allowed=ALLOWE
     for m in (*(p for p in _PART.finditer(s) if NAMES.search(p[0])), *SEQUENCES.finditer(s)):
         touched[max(0, m.start() - width + 1) : m.end()] = True
     spans: list[tuple[int, int]] = []
-    for i, h in enumerate(window_entropies(s, width)):
-        if touched[i]:
-            continue
-        kind = _class(s[i : i + width])
-        if kind and h >= thresholds[kind]:
+    touched = touched.tolist()
+    for i, (h, kind) in enumerate(windows(s, width)):
+        if kind and h >= thresholds[kind] and not touched[i]:
             if spans and i <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + width)
             else:
