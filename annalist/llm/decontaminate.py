@@ -2,28 +2,33 @@
 
 The training text is cut into shards (pieces of Arrow batches). Each shard gets a suffix array over its words: the
 suffixes that start with the first words of some test suffix, sorted by their words; all other suffixes cannot match.
-Every test suffix (every word position of every benchmark item) is then binary-searched in every shard, all of them at
-once, which gives its longest verbatim match and, where that reaches a whole window, all its locations.
+Every test suffix (every word position of every benchmark item) whose first words the shard has is then binary-searched
+in it, all of them at once, which gives its longest verbatim match and, where that reaches a whole window, all its
+locations. `longest_matches` reports the longest match of every test suffix over all shards.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. The benchmark
-is a stated query set: it is sent to the tasks in blocks of at most BLOCK_BYTES of text, so what is broadcast is
-bounded whatever its size, and each block is one pass over the documents.
+is a stated query set: its suffixes are written to the shared folder in blocks of about BLOCK_BYTES of text, which workers
+memory-map. One pass over the documents meets all blocks, whatever their number.
 
 Rows: a null or empty text has no words, no hits and no items (the digest is that of the empty string). Null item ids
 are read as the empty string. Items repeated under one id count once; documents repeated are separate rows. Empty
 tables give no rows, or documents without hits. Other columns of either table are ignored.
 """
 
+import functools
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_ALNUM, Words, arrow_map, int_array, pieces, runs_of, text_buffers
+from . import arrays
+from .blocks import NOT_ALNUM, Words, arrow_map, int_array, pieces, runs_of, shared_path, text_buffers
 
 WINDOW = 10  # fixed value of the contract
-#: Benchmark text, in bytes, that one pass sends to the tasks.
-BLOCK_BYTES = 1 << 20
+#: Benchmark text, in bytes, of a block (its suffixes take about 30 times that).
+BLOCK_BYTES = 4 << 20
 #: Words by which suffixes are sorted; longer matches are followed word by word.
 DEPTH = 16
 
@@ -48,8 +53,32 @@ class Queries:
             self.words[have, d] = self.hashes[np.flatnonzero(have) + d]
         self.first = int(min(2, n[n > 0].min())) if (n > 0).any() else 0
         self.starts = [np.unique(self.words[self.left > d, d]) for d in range(self.first)]
-        if self.first == 2:
-            self.pairs = np.unique(_pair(self.words[self.left > 1, 0], self.words[self.left > 1, 1]))
+        self.pair = _pair(self.words[:, 0], self.words[:, 1])
+        self.pairs = np.unique(self.pair[self.left > 1])
+
+    _ARRAYS = ("hashes", "of", "item", "place", "left", "need", "full", "words", "pair", "pairs")
+
+    def save(self, folder: str, block: int) -> None:
+        for name in self._ARRAYS:
+            arrays.save(folder, f"{name}-{block}", getattr(self, name))
+        for d in range(self.first):
+            arrays.save(folder, f"start{d}-{block}", self.starts[d])
+        arrays.save(folder, f"ids-{block}", np.frombuffer(json.dumps([self.first, self.ids]).encode(), np.uint8))
+
+    @classmethod
+    def load(cls, folder: str, block: int) -> "Queries":
+        """A block's arrays, memory-mapped."""
+        q = cls.__new__(cls)
+        q.first, q.ids = json.loads(arrays.mapped(folder, f"ids-{block}").tobytes())
+        for name in cls._ARRAYS:
+            setattr(q, name, arrays.mapped(folder, f"{name}-{block}"))
+        q.starts = [arrays.mapped(folder, f"start{d}-{block}") for d in range(q.first)]
+        return q
+
+
+@functools.lru_cache(maxsize=64)
+def _loaded(folder: str, block: int) -> Queries:
+    return Queries.load(folder, block)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +104,9 @@ class SuffixArray:
         at = np.flatnonzero(keep)
         if queries.first == 2:
             at = at[left[at] > 1]
-            at = at[_among(_pair(hashes[at], hashes[at + 1]), queries.pairs)]
+            pair = _pair(hashes[at], hashes[at + 1])
+            some = _among(pair, queries.pairs)
+            at, self.pairs = at[some], np.unique(pair[some])
         words = np.zeros((len(at), DEPTH), np.uint64)
         for d in range(DEPTH):
             have = left[at] > d
@@ -118,14 +149,19 @@ class SuffixArray:
 
 
 def shard_matches(sa: SuffixArray, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(longest match of each test suffix, and for each occurrence of a window: test suffix, word position, length)."""
-    q = np.arange(len(queries.hashes))
-    if not len(sa.at) or not len(q):
-        none = np.zeros(0, np.int64)
-        return np.zeros(len(q), np.int64), none, none, none
-    place = sa.search(queries.words, np.minimum(queries.left, DEPTH), False)
-    longest = np.maximum(sa.common(place, queries, q), sa.common(place - 1, queries, q))
-    hit = np.flatnonzero(queries.full & (longest >= queries.need))
+    """(longest match of each test suffix, and for each occurrence of a window: test suffix, word position, length).
+
+    Where all items have two words at least, matches of one word are not looked for.
+    """
+    longest, none = np.zeros(len(queries.hashes), np.int64), np.zeros(0, np.int64)
+    if not len(sa.at):
+        return longest, none, none, none
+    q = np.flatnonzero(_among(queries.pair, sa.pairs) & (queries.left > 1)) if queries.first == 2 else np.arange(len(longest))
+    if not len(q):
+        return longest, none, none, none
+    place = sa.search(queries.words[q], np.minimum(queries.left[q], DEPTH), False)
+    longest[q] = np.maximum(sa.common(place, queries, q), sa.common(place - 1, queries, q))
+    hit = q[queries.full[q] & (longest[q] >= queries.need[q])]
     depth = np.minimum(queries.need[hit], DEPTH)
     lo, hi = sa.search(queries.words[hit], depth, False), sa.search(queries.words[hit], depth, True)
     places, suffix = runs_of(lo, hi - lo), np.repeat(hit, hi - lo)
@@ -147,87 +183,83 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK
     yield block
 
 
-def _matches(docs, items, window, id_col, text_col, keys, detail):
-    """One pass over the documents with one block of items."""
-    queries = Queries(items, window)
-    shared = docs.sparkSession.sparkContext.broadcast(queries)
+def _written(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> tuple[str, int]:
+    """(folder, number of blocks) of the benchmark's suffixes in the shared folder."""
+    folder, n = shared_path(docs.sparkSession, "suffixes"), 0
+    for items in _blocks(benchmark, item_col, item_text_col):
+        Queries(items, window).save(folder, n)
+        n += 1
+    return folder, n
 
-    def run(batches):
-        q = shared.value
-        for p in pieces(batches, len(keys)):
-            words = Words(*text_buffers(p.column(len(keys))), NOT_ALNUM)
-            sa = SuffixArray(words.hashes(lower=True), words.of, q)
-            longest, suffix, at, length = shard_matches(sa, q)
-            doc = np.searchsorted(words.of, at, side="right") - 1
-            if detail:
-                order = np.lexsort((at, suffix))
-                suffix, at, length, doc = suffix[order], at[order], length[order], doc[order]
-                cols = [p.column(k).take(pa.array(doc)) for k in range(len(keys))]
-                item = pa.array([q.ids[i] for i in q.item[suffix]], pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, int_array(at - words.of[doc]), item, int_array(q.place[suffix]), int_array(length)], names=[*keys, "word", "item_id", "item_word", "length"])
-                continue
-            cover = np.zeros(len(words.start) + 1, np.int32)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + q.need[suffix], -1)
-            sums = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-            pair = np.unique(doc * max(len(q.ids), 1) + q.item[suffix]) if len(doc) else np.zeros(0, np.int64)
-            ids: list[list[str]] = [[] for _ in range(p.num_rows)]
-            for x in pair.tolist():
-                ids[x // len(q.ids)].append(q.ids[x % len(q.ids)])
-            best = np.zeros(p.num_rows, np.int64)
-            np.maximum.at(best, doc, length)
-            spans = [[] for _ in range(p.num_rows)]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                while a < b:
-                    d = int(np.searchsorted(words.of, a, side="right")) - 1
-                    end = min(b, int(words.of[d + 1]))
-                    spans[d].append((a - int(words.of[d])) << 32 | (end - int(words.of[d])))
-                    a = end
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(p.column(k) for k in range(len(keys))), int_array(words.counts()), int_array(np.diff(sums[words.of])), pa.array([sorted(set(x)) for x in ids], pa.list_(pa.string())), int_array(best), pa.array(spans, ints)], names=[*keys, "n_words", "n_hit", "items", "longest", "spans"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    schema = f"{head}, word long, item_id string, item_word long, length long" if detail else f"{head}, n_words long, n_hit long, items array<string>, longest long, spans array<long>"
-    return arrow_map(docs.select(*keys, F.col(text_col)), run, schema)
+def _found(words: Words, folder: str, n: int):
+    """For each block of queries: the queries, longest matches, and for each occurrence of a window suffix, word position and length."""
+    hashes = words.hashes(lower=True)
+    for block in range(n):
+        q = _loaded(folder, block)
+        yield q, *shard_matches(SuffixArray(hashes, words.of, q), q)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """Every location of a matched window: doc_id, word, item_id, item_word and the length of the match from there, in words."""
-    parts = [_matches(docs, b, window, id_col, text_col, [id_col], True) for b in _blocks(benchmark, item_col, item_text_col)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    folder, n = _written(docs, benchmark, window, item_col, item_text_col)
+    names = [id_col, "word", "item_id", "item_word", "length"]
+
+    def run(batches):
+        for p in pieces(batches, 1):
+            words = Words(*text_buffers(p.column(1)), NOT_ALNUM)
+            for q, _, suffix, at, length in _found(words, folder, n):
+                order = np.lexsort((at, suffix))
+                suffix, at, length = suffix[order], at[order], length[order]
+                doc = np.searchsorted(words.of, at, side="right") - 1
+                item = pa.array([q.ids[i] for i in q.item[suffix].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(doc)), int_array(at - words.of[doc]), item, int_array(q.place[suffix]), int_array(length)], names=names)
 
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, word long, item_id string, item_word long, length long")
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", keep=()) -> DataFrame:
-    """One row per document: its id and the columns of keep, n_words, n_hit, items (sorted), longest match.
 
-    keep may name the text. With several blocks of items, rows of a document are put together by a shuffle on a key
-    of its id and text; equal rows then stay as many as they were.
-    """
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
+    """item_id, item_word and longest: the longest verbatim match, in words, of every test suffix that matches anywhere."""
+    folder, n = _written(docs, benchmark, window, item_col, item_text_col)
+
+    def run(batches):
+        best: dict[int, np.ndarray] = {}
+        for p in pieces(batches, 0):
+            for block, (_, longest, *_) in enumerate(_found(Words(*text_buffers(p.column(0)), NOT_ALNUM), folder, n)):
+                best[block] = np.maximum(best.get(block, 0), longest)
+        for block, longest in best.items():
+            q, some = _loaded(folder, block), np.flatnonzero(longest)
+            item = pa.array([q.ids[i] for i in q.item[some].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([item, int_array(q.place[some]), int_array(longest[some])], names=["item_id", "item_word", "longest"])
+
+    found = arrow_map(docs.select(F.col(text_col)), run, "item_id string, item_word long, longest long")
+    return found.groupBy("item_id", "item_word").agg(F.max("longest").alias("longest"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window=WINDOW, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", keep=()) -> DataFrame:
+    """One row per document: its id and the columns of keep, n_words, n_hit, items (sorted), longest match that holds a window."""
+    folder, n = _written(docs, benchmark, window, item_col, item_text_col)
     keys = [id_col, *(k for k in keep if k != id_col)]
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    if len(blocks) == 1:
-        return _matches(docs, blocks[0], window, id_col, text_col, keys, False).drop("spans")
-    marked = docs.withColumn("__row", F.sha2(F.to_json(F.struct(F.lit(1), F.col(id_col), F.col(text_col))), 256))
-    both = None
-    for b in blocks:
-        part = _matches(marked, b, window, id_col, text_col, [*keys, "__row"], False)
-        both = part if both is None else both.unionByName(part)
-    # The union of a document's covered intervals, from all blocks; n copies of a row are n times in each block.
-    flat = both.groupBy("__row", *keys).agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    low = F.lit(0xFFFFFFFF)
-
-    def add(acc, s):
-        a, b = F.shiftright(s, 32), s.bitwiseAND(low)
-        return F.struct((acc["n"] + F.greatest(b - F.greatest(a, acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], b).alias("end"))
-
-    hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), add)["n"]
-    copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(blocks)).cast("int")))
-    return flat.withColumn("n_hit", hit).withColumn("__copy", copies).select(*keys, "n_words", "n_hit", "items", "longest")
+
+    def run(batches):
+        for p in pieces(batches, len(keys)):
+            words = Words(*text_buffers(p.column(len(keys))), NOT_ALNUM)
+            cover = np.zeros(len(words.start) + 1, np.int32)
+            best = np.zeros(p.num_rows, np.int64)
+            ids: list[set[str]] = [set() for _ in range(p.num_rows)]
+            for q, _, suffix, at, length in _found(words, folder, n):
+                doc = np.searchsorted(words.of, at, side="right") - 1
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + q.need[suffix], -1)
+                np.maximum.at(best, doc, length)
+                for x in np.unique(doc * max(len(q.ids), 1) + q.item[suffix]).tolist():
+                    ids[x // len(q.ids)].add(q.ids[x % len(q.ids)])
+            sums = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+            yield pa.RecordBatch.from_arrays([*p.columns[: len(keys)], int_array(words.counts()), int_array(np.diff(sums[words.of])), pa.array([sorted(x) for x in ids], pa.list_(pa.string())), int_array(best)], names=[*keys, "n_words", "n_hit", "items", "longest"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return arrow_map(docs.select(*(F.col(f"`{k}`") for k in keys), F.col(text_col)), run, f"{head}, n_words long, n_hit long, items array<string>, longest long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, text_col="text", **cols) -> DataFrame:

@@ -13,14 +13,15 @@ ORACLE_SQL = {
       kept AS (SELECT pos.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos.p) AS t FROM pos LEFT JOIN cover ON cover.doc_id = pos.doc_id AND cover.p = pos.p WHERE cover.p IS NULL GROUP BY 1)
       SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_decontaminate": f"""WITH b AS (SELECT item_id, regexp_extract_all({_AZ}, {_WORD}) AS w FROM benchmark),
-      win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0),
+      win AS (SELECT CAST(item_id AS VARCHAR) AS item, i, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0),
       d AS (SELECT doc_id, regexp_extract_all({_AZ}, {_WORD}) AS w FROM documents),
       spot AS (SELECT doc_id, j, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM win), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS j)),
-      hit AS (SELECT doc_id, j, spot.k, item FROM spot JOIN win ON spot.k = win.k AND spot.g = win.g),
+      hit AS (SELECT doc_id, j, i, spot.k, item FROM spot JOIN win ON spot.k = win.k AND spot.g = win.g),
+      runs AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, k + count(*) - 1 AS n FROM (SELECT *, j - i AS diagonal, j - row_number() OVER (PARTITION BY doc_id, item, k, j - i ORDER BY j) AS r FROM hit) GROUP BY doc_id, item, k, diagonal, r) GROUP BY 1),
       cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hit) GROUP BY 1),
       items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
-      SELECT d.doc_id, len(w) AS n_words, coalesce(cover.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, cover.n IS NOT NULL AS contaminated
-      FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)""",
+      SELECT d.doc_id, len(w) AS n_words, coalesce(cover.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, cover.n IS NOT NULL AS contaminated, coalesce(runs.n, 0) AS longest
+      FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ}, {_SPACED}) AS w FROM documents),
       s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM d),
       t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),

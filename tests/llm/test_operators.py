@@ -481,23 +481,35 @@ def test_tokens(docs, empty, texts):
     assert rows[0]["counts"][255] == count("a" * 256) and rows[0]["counts"][256] is None and rows[1]["counts"] == list(range(1, 100_001))
 
 
+def alnum_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))
+
+
+def shared_words(a, i, b, j):
+    """How many words of a from i on are those of b from j on."""
+    n = 0
+    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
 def brute_contamination(rows, items, width):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
     for i, t in items:
-        w = word.findall((t or "").translate(AZ))
+        w = alnum_words(t)
         k = min(width, len(w))
         for j in range(len(w) - k + 1 if w else 0):
-            windows.setdefault(tuple(w[j : j + k]), set()).add(str(i) if i is not None else "")
+            windows.setdefault(tuple(w[j : j + k]), []).append((str(i) if i is not None else "", w, j))
     out = Counter()
     for i, t in rows:
-        w, hit, found = word.findall((t or "").translate(AZ)), set(), set()
+        w, hit, found, longest = alnum_words(t), set(), set(), 0
         for k in {len(x) for x in windows}:
             for j in range(len(w) - k + 1):
-                if names := windows.get(tuple(w[j : j + k])):
+                for name, item, at in windows.get(tuple(w[j : j + k]), ()):
                     hit |= set(range(j, j + k))
-                    found |= names
-        out[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)] += 1
+                    found.add(name)
+                    longest = max(longest, shared_words(w, j, item, at))
+        out[i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest] += 1
     return out
 
 
@@ -507,7 +519,7 @@ def test_decontaminate(docs, empty, texts, spark, block, monkeypatch):
     items = [("q2", " ".join(texts[5].split()[10:32])), ("q10", "Two WORDS"), ("q10", texts[9][-60:]), ("empty", ""), (None, None), ("far", "not there at all in any of these texts ever"), ("long", texts[11][-250:])]
     bench = spark.createDataFrame(items, "item_id string, text string")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = Counter(tuple(r) for r in decontaminate.contamination_report(docs, bench).drop("longest").collect())
+    got = Counter(tuple(r) for r in decontaminate.contamination_report(docs, bench).collect())
     assert got == brute_contamination(rows, items, decontaminate.WINDOW)
     kept = decontaminate.remove_contaminated(docs, bench)
     clean = Counter()
@@ -519,6 +531,15 @@ def test_decontaminate(docs, empty, texts, spark, block, monkeypatch):
     assert decontaminate.contamination_report(docs, bench.where("false")).where("contaminated").count() == 0
     m = decontaminate.matches(docs, bench).where("item_id = 'q2' and doc_id = 5").collect()
     assert max(r.length for r in m) >= 22
+    # The longest match of every test suffix over all shards; those of one word are not looked for.
+    got = {(r.item_id, r.item_word): r.longest for r in decontaminate.longest_matches(docs, bench).collect()}
+    want = {}
+    for name, t in items:
+        w = alnum_words(t)
+        for j in range(len(w)):
+            best = max((shared_words(w, j, d, k) for _, text in rows for d in [alnum_words(text)] for k in range(len(d)) if d[k] == w[j]), default=0)
+            want[name or "", j] = max(best, want.get((name or "", j), 0))
+    assert {k: n for k, n in got.items() if n > 1} == {k: n for k, n in want.items() if n > 1}
 
 
 def test_secrets(docs, empty, spark):
@@ -535,7 +556,7 @@ def test_secrets(docs, empty, spark):
         assert set(base) <= set(got[i]["spans"].split(",")) | {""}
     assert got[5]["spans"] == "entropy:4:28" and got[6]["spans"] == got[7]["spans"] == ""
     s = bytes(random.Random(2).choice(b"abc123XYZ") for _ in range(60))
-    for i, e in enumerate(secrets.window_entropies(s)):
+    for i, (e, _) in enumerate(secrets.windows(s)):
         c = Counter(s[i : i + 20])
         assert math.isclose(e, -sum(n / 20 * math.log2(n / 20) for n in c.values()), abs_tol=1e-9)
     assert secrets.secret_report(docs).count() == docs.count() and secrets.secret_report(empty).count() == 0
@@ -603,6 +624,15 @@ def test_media(docs, empty, texts, spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
         assert r["media_sha256"] == hashlib.sha256(media.store_wav(pay)).hexdigest() and r["media_bytes"] == len(pay) + 44
     assert got[5]["feature"] == got[6]["feature"] and media.media_report(empty).count() == 0
+    # The feature: the corrected type, and every medium with its place and length; texts hold a PDF file at known places.
+    pdf = "%PDF-1.4\nx\nxref\n0 0\nstartxref\n11\n%%EOF"
+    cases = ["plain words", f"é {pdf} and again {pdf}!", "%PDF-1.4 startxref\n3\n%%EOF GIF89a BM", "", None]
+    got = by_id(media.media_report(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))
+    for i, t in enumerate(cases):
+        raw = (t or "").encode()
+        size = max(1, -(-len(raw) // 576)) * 576
+        parts = [f"wav:0:{44 + size}", *(f"pdf:{44 + m.start()}:{len(pdf)}" for m in re.finditer(re.escape(pdf.encode()), raw))]
+        assert got[i]["feature"] == "audio/wav|corrected|" + ",".join(parts)
 
 
 def chunk(tag, data):
@@ -621,11 +651,30 @@ def test_sniffing(spark):
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("a", b"hello")
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x12\xff\x00\x34\xff\xd9"
-    gz, pdf = gzip.compress(b"abc" * 99), b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
-    for name, b in {"png": png, "gif": gif, "bmp": bmp, "zip": z.getvalue(), "gzip": gz, "jpeg": jpeg, "pdf": pdf, "wav": media.store_wav(b"\1\2\3")}.items():
+    gz, pdf = gzip.compress(b"abc" * 99), b"%PDF-1.4\nx\nxref\n0 0\nstartxref\n11\n%%EOF"
+
+    def page(kind, serial, body):
+        head = b"OggS\0" + bytes([kind]) + bytes(8) + struct.pack("<III", serial, 0, 0) + bytes([1, len(body)]) + body
+        x = 0
+        for c in head:  # bit by bit
+            x ^= c << 24
+            for _ in range(8):
+                x = (x << 1 ^ (0x04C11DB7 if x >> 31 else 0)) & 0xFFFFFFFF
+        return head[:22] + struct.pack("<I", x) + head[26:]
+
+    ogg = page(2, 7, b"first") + page(0, 7, b"more") + page(4, 7, b"last")
+    mp4 = struct.pack(">I", 16) + b"ftypisom" + bytes(4) + struct.pack(">I", 12) + b"moov" + b"abcd" + struct.pack(">I", 11) + b"mdat" + b"xyz"
+    flac = b"fLaC\0" + (34).to_bytes(3, "big") + bytes(34) + b"\x84" + (3).to_bytes(3, "big") + b"abc" + b"\xff\xf8\xc9\x18\x00\xc2" + b"frame"
+    for name, b in {"png": png, "gif": gif, "bmp": bmp, "zip": z.getvalue(), "gzip": gz, "jpeg": jpeg, "pdf": pdf, "ogg": ogg, "wav": media.store_wav(b"\1\2\3")}.items():
         assert (name, 0, len(b)) in media.sniff(b), name
         assert not [x for x in media.sniff(b[: len(b) - 3]) if x[0] == name and x[1] == 0], name
+    assert media.sniff(mp4 + b"tail") == [("mp4", 0, len(mp4))] and media.sniff(mp4[:16] + b"none of the boxes") == [] and media.sniff(mp4[:27]) == []
+    assert media.sniff(flac) == [("flac", 0, len(flac))] and media.sniff(flac[:-6] + b"\x00" + flac[-5:]) == [] and media.sniff(flac[:30]) == []
+    assert media.sniff(b"x" + ogg + b"tail") == [("ogg", 1, 1 + len(ogg))] and media.sniff(ogg[:40] + b"!" + ogg[41:]) == []
+    assert media.sniff(pdf.replace(b"11", b"12")) == [] and media.sniff(pdf + b" and " + pdf) == [("pdf", 0, len(pdf)), ("pdf", len(pdf) + 5, 2 * len(pdf) + 5)]
     assert media.sniff(b"BM GIF89a RIFF %PDF- PK\x03\x04 just words") == []
+    began = time.time()
+    assert media.sniff(b"%PDF-1.7 PK\x03\x04" * 40_000) == [] and media.sniff(b"%PDF-1.7 startxref\n0\n" * 2_000 + b"%%EOF") == [] and time.time() - began < 10
     rows = spark.createDataFrame([(1, "image/gif", bytearray(png)), (2, "image/png", bytearray(b"junk" + gif + b"junk" + bmp)), (3, "text/plain", None), (4, "x/y", bytearray(b""))], "id long, declared string, media binary")
     s = {r.id: r for r in media.sniff_media(rows).collect()}
     assert (s[1].mime, s[1].corrected) == ("image/png", True) and s[2].mime == media.UNKNOWN and [p.format for p in s[2].parts] == ["gif", "bmp"]
@@ -639,6 +688,52 @@ def shingles(text, width=3):
     return frozenset(tuple(w[j : j + width]) for j in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
+def brute_entropy_spans(text):
+    """Merged windows of 20 over candidate runs, each counted anew; suppressed windows and runs by the rules in words."""
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        s = run[0]
+        if len(s) < 20 or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", s) or re.fullmatch(r"[A-Za-z]*([-_/=+]([A-Za-z]*|[0-9]{1,4}))*", s):
+            continue
+        names = [m.span() for m in re.finditer("[A-Za-z0-9]+", s) if re.search("(?i)example|sample|dummy|placeholder", m[0])]
+        names += [m.span() for m in re.finditer("(?i)x{6,}|0{8,}|0123456789|abcdefghij", s)]
+        for i in range(len(s) - 19):
+            w = s[i : i + 20]
+            if any(a < i + 20 and i < b for a, b in names):
+                continue
+            digits, lower, upper = (sum(c in cs for c in w) for cs in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            if not digits or not lower + upper:
+                continue
+            least = 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.75 if lower and upper else 3.5
+            if -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) >= least - 1e-9:
+                a, b = run.start() + i, run.start() + i + 20
+                if out and a <= out[-1][1] and out[-1][1] > run.start():
+                    out[-1][1] = b
+                else:
+                    out.append([a, b])
+    return [f"entropy:{a}:{b}" for a, b in out]
+
+
+def test_secret_windows(spark):
+    """Merged spans, thresholds by class and suppression against windows that are counted one by one."""
+    rnd = random.Random(10)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "aab1", "abc"]
+    bits = ["example", "Sample_", "xxxxxxx", "00000000", "0123456789", "/srv/data/", "-2024-", "=", "é", " ", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = []
+    for _ in range(300):
+        t = ""
+        for _ in range(rnd.randint(1, 5)):
+            t += rnd.choice(bits) if rnd.random() < 0.45 else "".join(rnd.choice(rnd.choice(alphabets[:4]) if rnd.random() < 0.05 else a) for a in [rnd.choice(alphabets)] for _ in range(rnd.randint(5, 60)))
+        texts.append(t)
+    got = {r.doc_id: [f"{x.kind}:{x.start}:{x.end}" for x in r.found] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: brute_entropy_spans(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 100
+    began = time.time()
+    blob = "".join(rnd.choice(alphabets[3]) for _ in range(1_000_000)).encode()
+    secrets.entropy_spans(blob)
+    assert time.time() - began < 8  # linear in the run, with one step a character
+
+
 def brute_components(rows, width=3, percent=90):
     sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
