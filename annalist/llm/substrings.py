@@ -66,9 +66,12 @@ def _by_shard(ids, tags, doc, starts, shards: int) -> list[tuple]:
 
 
 def _sent(buckets: int, wide: bool, width: int):
-    """The map side: blocks of windows; rows with a bucket and the entries to compare, and rows with a shard and what goes."""
+    """The map side: blocks of windows; rows with the entries to compare, by bucket, and rows with what goes, by shard.
+
+    Both travel in one exchange: the part of a shard is its number behind those of the buckets.
+    """
     bits = np.uint64(64 - (buckets - 1).bit_length())
-    names = ["bucket", "shard", "hashes", "check", *Entries.NAMES]
+    names = ["part", "hashes", "check", *Entries.NAMES]
 
     def flush(parts):
         ids, tags = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -76,7 +79,7 @@ def _sent(buckets: int, wide: bool, width: int):
         doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
         start, h, g = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
         gone = later(h, g if wide else None, ids[doc], start)
-        rows = [(None, shard, None, None, *packed) for shard, *packed in _by_shard(ids, tags, doc[gone], start[gone], buckets)]
+        rows = [(buckets + shard, None, None, *packed) for shard, *packed in _by_shard(ids, tags, doc[gone], start[gone], buckets)]
         keep = np.flatnonzero(~gone)
         bucket = (g[keep] >> bits).astype(np.int64) if buckets > 1 else np.zeros(len(keep), np.int64)
         order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
@@ -84,8 +87,8 @@ def _sent(buckets: int, wide: bool, width: int):
         for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             mine = keep[order[edges[b] : edges[b + 1]]]
             check = pack(g[mine].astype(np.uint32), compress=False) if wide else b""
-            rows.append((b, None, pack(h[mine], compress=False), check, *Entries.packed(ids, tags, doc[mine], start[mine])))
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(names) - 2)
+            rows.append((b, pack(h[mine], compress=False), check, *Entries.packed(ids, tags, doc[mine], start[mine])))
+        kinds = [pa.int32()] + [pa.binary()] * (len(names) - 1)
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def run(batches):
@@ -108,7 +111,7 @@ def _sent(buckets: int, wide: bool, width: int):
         if parts:
             yield flush(parts)
 
-    return run, "bucket int, shard int, " + ", ".join(f"{n} binary" for n in names[2:])
+    return run, "part int, " + ", ".join(f"{n} binary" for n in names[1:])
 
 
 def _rows(table: pa.Table):
@@ -119,9 +122,12 @@ def _rows(table: pa.Table):
 
 
 def _compared(wide: bool, shards: int):
-    """The reduce side of one bucket: the positions that go, packed by shard of documents."""
+    """The reduce side of one bucket: the positions that go, packed by shard of documents. A shard's part goes on as it is."""
 
     def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part >= shards:
+            return pa.Table.from_arrays([pa.array([part - shards] * table.num_rows, pa.int32()), *(table.column(n) for n in Entries.NAMES)], names=["shard", *Entries.NAMES])
         ids, tags, doc, starts = _rows(table)
         h = np.concatenate([unpack(x) for x in table.column("hashes").to_pylist()])
         g = np.concatenate([unpack(x) for x in table.column("check").to_pylist()]) if wide else None
@@ -169,10 +175,8 @@ def removal_intervals(docs: DataFrame, window=WINDOW, id_col="doc_id", text_col=
     buckets = n_buckets(docs)
     wide = plan_bytes(docs) > WIDE_BYTES
     run, schema = _sent(buckets, wide, window)
-    sent = materialize(arrow_map(docs.select(_key(id_col), _tag(text_col), F.col(text_col)), run, schema), "windows")
-    packed = ["shard", *Entries.NAMES]
-    gone = sent.where("bucket is not null").drop("shard").groupBy("bucket").applyInArrow(*_compared(wide, buckets))
-    gone = gone.unionByName(sent.where("shard is not null").select(*packed))
+    sent = arrow_map(docs.select(_key(id_col), _tag(text_col), F.col(text_col)), run, schema)
+    gone = sent.groupBy("part").applyInArrow(*_compared(wide, buckets))
     return gone.groupBy("shard").applyInArrow(*_merged(window))
 
 
