@@ -47,11 +47,43 @@ def token_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
+def _pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """One number for a pair of ids, in the order of the pairs; None where 32 bits are not enough for an id."""
+    if len(x) and max(int(x.max()), int(y.max())) >> 32:
+        return None
+    return x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)
+
+
+def _summed_pairs(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and the sums of their counts."""
+    keys = _pair_keys(x, y)
+    if keys is not None:
+        keys, c = _summed(keys, counts)
+        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), c
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    return x[at], y[at], np.diff(np.append(at, len(x))) if counts is None else np.add.reduceat(counts[order], at)
+
+
+def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, back): distinct pairs, and the place of each pair among them."""
+    keys = _pair_keys(x, y)
+    if keys is not None:
+        keys, back = np.unique(keys, return_inverse=True)
+        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), back
+    order = np.lexsort((y, x))
+    new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[order][new], y[order][new], back
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     if not len(keys):
         return keys, np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[at], np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts[order], at)
@@ -147,8 +179,7 @@ class Deal:
         self.parts = np.array([hot[x] for x in self.hot.tolist()], np.int64)
         self.first = buckets + np.cumsum(self.parts) - self.parts
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        x, y = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         bucket = x * self.buckets // self.n_ids
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, x), len(self.hot) - 1)
@@ -156,6 +187,13 @@ class Deal:
             bucket[own] = (self.first[at] + y * self.parts[at] // self.n_ids)[own]
         return bucket
 
+    def keys(self, bucket: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Numbers of pairs within their bucket, in the order of the pairs: exact up to 2**42 words in 2**20 buckets."""
+        if bucket >= self.buckets:  # one context's own
+            return y.astype(np.uint64)
+        low = -(-bucket * self.n_ids // self.buckets)
+        return (x - low).astype(np.uint64) * np.uint64(self.n_ids) + y.astype(np.uint64)
+
 
 def _pairs(h: np.ndarray, of: np.ndarray, lookup: Lookup, start: int):
     """(ids, counts, contexts) of tokens; the context of a text's first token is start."""
@@ -170,22 +208,21 @@ def _pairs(h: np.ndarray, of: np.ndarray, lookup: Lookup, start: int):
 
 def _pair_blocks(lookup: Lookup, deal: Deal, start: int):
     def flush(parts):
-        k, c = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        bucket = deal(k)
+        x, y, c = _summed_pairs(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        bucket = deal(x, y)
         order = np.argsort(bucket, kind="stable")
         rows = []
-        k, c, bucket = k[order], c[order], bucket[order]
+        x, y, c, bucket = x[order], y[order], c[order], bucket[order]
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(at, np.append(at[1:], len(bucket))):
-            x, y = (k[a:b] >> np.uint64(32)).astype(np.int64), (k[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            rows.append((int(bucket[a]), pack(np.diff(x, prepend=0)), pack(y), pack(c[a:b])))
+            rows.append((int(bucket[a]), pack(np.diff(x[a:b], prepend=0)), pack(y[a:b]), pack(c[a:b])))
         return _batch(rows, ["bucket", "steps", "seconds", "counts"])
 
     def run(batches):
         parts, held = [], 0
         for p in pieces(batches, 0):
             ids, _, context = _pairs(*token_hashes(p.column(0)), lookup, start)
-            parts.append(_summed((context.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)))
+            parts.append(_summed_pairs(context, ids))
             held += len(parts[-1][0])
             if held >= block_size(BLOCK, deal.buckets):
                 yield flush(parts)
@@ -196,21 +233,17 @@ def _pair_blocks(lookup: Lookup, deal: Deal, start: int):
     return run, "bucket int, steps binary, seconds binary, counts binary"
 
 
-def _pair_bucket(folder: str, offsets: np.ndarray):
+def _pair_bucket(folder: str, offsets: np.ndarray, deal: Deal):
     """Adds up a bucket's pairs and writes them; sends what contexts and words need to the words' shards."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, counts = [], []
-        for s, y, c in zip(*(table.column(n).to_pylist() for n in ("steps", "seconds", "counts"))):
-            keys.append((np.cumsum(unpack(s).astype(np.uint64), dtype=np.uint64) << np.uint64(32)) | unpack(y).astype(np.uint64))
-            counts.append(unpack(c).astype(np.int64))
-        k, c = _summed(np.concatenate(keys), np.concatenate(counts))
-        del keys, counts
+        xs, ys, counts = ([unpack(v).astype(np.int64) for v in table.column(n).to_pylist()] for n in ("steps", "seconds", "counts"))
+        x, y, c = _summed_pairs(np.concatenate([np.cumsum(v) for v in xs]), np.concatenate(ys), np.concatenate(counts))
+        del xs, ys, counts
         narrow = np.uint8 if c.max() < 256 else np.uint16 if c.max() < 65536 else np.int64
-        arrays.save(folder, f"pair-key-{bucket}", k)
+        arrays.save(folder, f"pair-key-{bucket}", deal.keys(bucket, x, y))
         arrays.save(folder, f"pair-count-{bucket}", c.astype(narrow))
-        x, y = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
         at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         stats = [np.add.reduceat(v, at) for v in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
         shard = lambda ids: np.searchsorted(offsets, ids, side="right") - 1
@@ -218,11 +251,11 @@ def _pair_bucket(folder: str, offsets: np.ndarray):
         seconds, types = np.unique(y, return_counts=True)
         none = pack(np.zeros(0, np.int64))
         rows += [(s, 1, *p, none, none, none) for s, *p in _packed_by(shard(seconds), [seconds, types])]
-        of = [[int((c == j).sum()) for j in (1, 2, 3, 4)]] + [None] * (len(rows) - 1)
+        of = [[bucket, *(int((c == j).sum()) for j in (1, 2, 3, 4))]] + [None] * (len(rows) - 1)
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         return pa.Table.from_arrays([*(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)), pa.array(of, pa.list_(pa.int64()))], names=["shard", "kind", "ids", "total", "n1", "n2", "n3", "of"])
 
-    return run, "shard int, kind int, ids binary, total binary, n1 binary, n2 binary, n3 binary, of array<long>"
+    return run, "shard int, kind int, ids binary, total binary, n1 binary, n2 binary, n3 binary, of array<long>"  # of: the bucket, and its numbers of pairs seen 1 to 4 times
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -282,19 +315,21 @@ class Model:
                 out[a:b] = arrays.mapped(self.folder, f"{name}-{s}")[ids[a:b] - self.offsets[s]]
         return out
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = self.deal(keys)
+    def _pair_counts(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Counts of distinct pairs."""
+        out = np.zeros(len(x), np.int64)
+        bucket = self.deal(x, y)
         order = np.argsort(bucket, kind="stable")
         own = bucket[order]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(keys) else np.zeros(0, np.int64)
-        for a, b in zip(at, np.append(at[1:], len(keys))):
-            if int(own[a]) in self.full:
-                have = arrays.mapped(self.folder, f"pair-key-{own[a]}")
-                want = keys[order[a:b]]
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(x) else np.zeros(0, np.int64)
+        for a, b in zip(at, np.append(at[1:], len(x))):
+            k = int(own[a])
+            i = int(np.searchsorted(self.full, k))
+            if i < len(self.full) and self.full[i] == k:
+                some = order[a:b]
+                have, want = arrays.mapped(self.folder, f"pair-key-{k}"), self.deal.keys(k, x[some], y[some])
                 place = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                out[order[a:b]] = np.where(have[place] == want, arrays.mapped(self.folder, f"pair-count-{own[a]}")[place], 0)
+                out[some] = np.where(have[place] == want, arrays.mapped(self.folder, f"pair-count-{k}")[place], 0)
         return out
 
     def log_probabilities(self, h: np.ndarray, of: np.ndarray):
@@ -309,8 +344,8 @@ class Model:
         contexts, back = np.unique(context, return_inverse=True)
         total, weight = self._by_id("context-total", contexts, 0.0)[back], self._by_id("context-weight", contexts, 1.0)[back]
         known = np.flatnonzero((ids >= 0) & (context >= 0) & (total > 0))
-        keys, back = np.unique((context[known].astype(np.uint64) << np.uint64(32)) | ids[known].astype(np.uint64), return_inverse=True)
-        c = self._pair_counts(keys)[back].astype(float)
+        x, y, back = _distinct_pairs(context[known], ids[known])
+        c = self._pair_counts(x, y)[back].astype(float)
         cut = np.select([c >= 3, c >= 2, c >= 1], [self.d[2], self.d[1], self.d[0]], 0.0)
         high = np.zeros(len(ids))
         high[known] = (c - cut) / total[known]
@@ -330,9 +365,7 @@ def train(docs: DataFrame, text_col="text") -> Model:
     offsets = np.concatenate([[0], np.cumsum([sizes[s].types if s in sizes else 0 for s in range(shards)])]).tolist()
     types, tokens = offsets[-1], sum(r.tokens for r in words)
     if not types:
-        return Model(folder, shards, offsets, 0, 0, 0, Deal(1, 1, {}), [0.5] * 3, ([0.5] * 3, 0, 1.0), set(), set())
-    if types >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
+        return Model(folder, shards, offsets, 0, 0, 0, Deal(1, 1, {}), [0.5] * 3, ([0.5] * 3, 0, 1.0), set(), np.zeros(0, np.int64))
     start, share = types, max(1, tokens // buckets)
     hot = {offsets[r.shard] + i: -(-c // share) for r in words for i, c in zip(r.hot, r.hot_counts) if c > share}
     n_docs = int(Lookup(folder, shards, offsets)(np.array([END]))[1][0])
@@ -340,31 +373,16 @@ def train(docs: DataFrame, text_col="text") -> Model:
     deal = Deal(types + 1, buckets, hot)
     lookup, at = Lookup(folder, shards, offsets), np.asarray(offsets, np.int64)
     run, schema = _pair_blocks(lookup, deal, start)
-    pairs = arrow_map(text, run, schema).groupBy("bucket").applyInArrow(*_pair_bucket(folder, at))
+    pairs = arrow_map(text, run, schema).groupBy("bucket").applyInArrow(*_pair_bucket(folder, at, deal))
     pairs = materialize(pairs, "contexts")
-    of = pairs.where("of is not null").select(*(F.sum(F.col("of")[j]).alias(f"n{j}") for j in range(4))).first()
-    d = discounts([int(x or 0) for x in of])
+    of = np.array([r.of for r in pairs.where("of is not null").select("of").collect()], np.int64)  # one row a bucket
+    d, full = discounts(of[:, 1:].sum(0).tolist()), np.unique(of[:, 0])
     done = pairs.select("shard", "kind", "ids", "total", "n1", "n2", "n3").groupBy("shard").applyInArrow(*_context_shard(folder, at, d)).collect()
     n = np.array([r.of for r in done], np.int64).sum(0)
     lower = discounts(n[:4].tolist())
     spare = (lower[0] * n[0] + lower[1] * n[1] + lower[2] * n[4]) / max(n[5], 1)
     filled = {r.shard for r in pairs.select("shard").distinct().collect()}
-    return Model(folder, shards, offsets, tokens, types, start, deal, d, (lower, int(n[5]), float(spare)), filled, _Written(folder))
-
-
-class _Written:
-    """Which buckets have files; a bucket that got no pair has none."""
-
-    def __init__(self, folder: str):
-        self.folder, self.known = folder, {}
-
-    def __contains__(self, bucket: int) -> bool:
-        if bucket not in self.known:
-            try:
-                self.known[bucket] = arrays.mapped(self.folder, f"pair-key-{bucket}") is not None
-            except FileNotFoundError:
-                self.known[bucket] = False
-        return self.known[bucket]
+    return Model(folder, shards, offsets, tokens, types, start, deal, d, (lower, int(n[5]), float(spare)), filled, full)
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:

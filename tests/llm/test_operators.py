@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -571,6 +572,42 @@ def test_placeholders_hide_only_what_they_touch():
         assert found(s) == [], s
 
 
+def test_pairs_of_many_words():
+    """Ids of more than 32 bits give what narrow ones give, and keys within buckets keep pairs apart and in order."""
+    rnd = np.random.default_rng(3)
+    x, y, c = rnd.integers(0, 40, 3000), rnd.integers(0, 40, 3000), rnd.integers(1, 9, 3000)
+    far = 1 << 40
+    for counts in (None, c):
+        a, b, n = language_model._summed_pairs(x, y, counts)
+        p, q, m = language_model._summed_pairs(x + far, y + far, counts)
+        assert (p - far == a).all() and (q - far == b).all() and (n == m).all() and n.sum() == (3000 if counts is None else c.sum())
+    a, b, back = language_model._distinct_pairs(x, y)
+    p, q, other = language_model._distinct_pairs(x + far, y + far)
+    assert (a[back] == x).all() and (b[back] == y).all() and (p - far == a).all() and (q - far == b).all() and (back == other).all()
+    n_ids = 1 << 41
+    deal = language_model.Deal(n_ids, 1 << 20, {7: 3})
+    x, y = np.sort(rnd.integers(0, n_ids, 4000)), rnd.integers(0, n_ids, 4000)
+    x[:50] = 7
+    bucket = deal(x, y)
+    for k in np.unique(bucket).tolist():
+        own = bucket == k
+        pairs = list(zip(x[own].tolist(), y[own].tolist()))
+        keys = deal.keys(k, x[own], y[own]).tolist()
+        assert len(set(keys)) == len(set(pairs)) and [p for _, p in sorted(zip(keys, pairs))] == sorted(pairs)
+
+
+def test_a_lost_array_is_an_error(docs, spark):
+    """A bucket's file that is gone stops the scoring; it never reads as no pairs."""
+    import glob
+
+    model = language_model.train(docs)
+    folder = arrays._local(model.folder)
+    for f in glob.glob(f"{folder}/pair-key-*"):
+        os.unlink(f)
+    with pytest.raises(Exception, match="pair-key"):
+        language_model.score(docs, model).collect()
+
+
 def test_language_model(docs, empty, texts, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK", 300)
     rows = [(r.doc_id, [*((r.text or "").translate(AZ).encode().split()), None]) for r in docs.collect()]
