@@ -123,6 +123,7 @@ judged AS (SELECT l.*, h.readable, h.global_position AS hp,
       WHEN row_number() OVER (PARTITION BY l.address, l.revision, l.global_position ORDER BY line_no) > 1 THEN 'duplicate' ELSE 'keep' END AS reason
   FROM logs l LEFT JOIN hist h ON h.address = l.address AND h.revision = l.revision)
 """
+_of_ledger(stream_revision_fold="SELECT address, global_position, revision, value FROM ledger")
 _of_ledger(
     verify_findings=_LAYOUT
     + """SELECT 'DanglingChangeLogLine' AS kind, address, revision FROM judged WHERE readable IS NULL

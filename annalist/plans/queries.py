@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import freshness, identity, records as rec
 from ..operators import compose, diagnostics, integrity, outbox, reads, retention, routing, writes
 from ..sources import views
+from ..streaming import feed
 from ..sources.export import export_lines, parse_export
 
 QUERIES = {}
@@ -245,8 +246,16 @@ def import_upsert(spark, d):
     return writes.import_exact(r, views.imports(r), cols)
 
 
+@query
+def stream_revision_fold(spark, d):
+    """The feed as a stream of files, folded per address by the state store."""
+    e = spark.readStream.schema(views.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return feed.fold_of_files(spark, e.select(F.concat(F.lit("app::users/activity::"), F.col("user_id").cast("string")).alias("address"), (F.col("event_id") + 1).alias("global_position"), views.operation().alias("operation"), "value"))
+
+
 @query
 def position_allocation(spark, d):
+    """Positions of the unconditional commands: those that are appended whatever the others do."""
     return writes.allocate_positions(views.commands(spark, d).where("condition = 'Any'").select("seq"), "seq", 5000)
 
 
@@ -373,6 +382,7 @@ def signal_targets(spark, d):
 
 @query
 def warm_targets(spark, d):
+    """Of the declared states alone: warm partitions are part of a manifest, not of a table."""
     return routing.warm_targets(spark.createDataFrame(STATES, STATE_KIND))
 
 
@@ -515,6 +525,7 @@ def outbox_batches(spark, d):
 
 @query
 def backoff_schedule(spark, d):
+    """Of attempts 0 to 63: a schedule is a function of the attempt, not of a table."""
     return spark.range(0, 64).select(F.col("id").alias("attempt"), outbox.backoff(F.col("id"), 1000, 60000).alias("delay_ms"))
 
 

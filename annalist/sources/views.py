@@ -13,14 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def operation():
+    """The ledger operation of an event."""
+    kind = F.col("event_type")
+    return F.when(kind == "view", "Refreshed").when(kind == "click", "Transitioned").when(kind == "purchase", "Set").when(kind == "signup", "Cleared").otherwise(F.when(F.col("event_id") % 2 == 0, "Faulted").otherwise("Invalidated"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as records of app::users/activity::<user>: one exchange by address, then windows over its history."""
     e = table(spark, sf_dir, "events")
-    kind = F.col("event_type")
-    operation = F.when(kind == "view", "Refreshed").when(kind == "click", "Transitioned").when(kind == "purchase", "Set").when(kind == "signup", "Cleared").otherwise(F.when(F.col("event_id") % 2 == 0, "Faulted").otherwise("Invalidated"))
     history = Window.partitionBy("partition").orderBy("event_id")
     so_far = history.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = e.select("event_id", "user_id", F.col("ts").alias("occurred_at"), F.col("value").alias("given"), "props", operation.alias("operation"), F.col("user_id").cast("string").alias("partition"))
+    rows = e.select("event_id", "user_id", F.col("ts").alias("occurred_at"), F.col("value").alias("given"), "props", operation().alias("operation"), F.col("user_id").cast("string").alias("partition"))
     ready = F.col("operation").isin("Refreshed", "Transitioned", "Set")
     rows = rows.withColumn("revision", F.row_number().over(history).cast("long")).withColumn("epoch", F.sum(F.when(F.col("operation") == "Cleared", 1).otherwise(0)).over(so_far))
     size = F.length("props") * F.ceil("given").cast("int")

@@ -163,6 +163,19 @@ def stream_fold(changes: DataFrame) -> DataFrame:
     return changes.groupBy("address").transformWithStateInPandas(RevisionFold(), "address string, global_position long, revision long, value double", "append", "none")
 
 
+def fold_of_files(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    """stream_fold over all that a stream of files has now, written to the shared folder and read again."""
+    sc = spark.sparkContext
+    own = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    folder = f"{own.rstrip('/')}/annalist-fold-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = stream_fold(changes)
+    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 def bounded_log(failures: DataFrame, most: int = 64) -> DataFrame:
     """The newest failures that a bounded log keeps."""
     return newest(failures, most, F.col("occurred_at").desc(), F.col("global_position").desc())
