@@ -109,6 +109,17 @@ def brute_targets(sizes, weights=(5, 2, 1), share=Fraction(3, 2), most=2):
     return cut
 
 
+def nearest_sum(goal, sizes, most=2):
+    """How near a sum of 0 to most takes of each size can come to goal."""
+    reach = 1
+    for n in sizes:
+        for _ in range(most):
+            reach |= reach << n
+    below = (reach & ((2 << goal) - 1)).bit_length() - 1
+    above = reach >> goal
+    return min(goal - below, (above & -above).bit_length() - 1 if above else goal)
+
+
 def test_targets(spark):
     rnd = random.Random(2)
     tables = [{"a": 10, "b": 100, None: 100, "A": 10}, {"x": 0, "y": 5}, {None: 7}, {"z": 0}]
