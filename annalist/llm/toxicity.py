@@ -14,8 +14,9 @@ Sampled rows are weighted so that the classes count at the rates of all usable l
 Labels, language, source and id are never inputs of a score.
 
 Rows: a null or empty text has no words and the score of a text without matches. Labels that are null, repeated or
-of unknown documents are ignored or counted once each. Equal texts have equal scores. Without usable labels of both
-classes no insult arcs exist and every score is the prior. An empty table gives no rows; other columns are ignored.
+of unknown documents are ignored or counted once each. Equal texts have equal scores. Without labelled documents of both
+classes (ten at least) every score is the rate of class 1 among all usable labels; without any labels it is 1/3, so that
+nothing is rejected. An empty table gives no rows; other columns are ignored.
 Very long texts are scored whole.
 """
 
@@ -224,10 +225,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text
     return own.join(F.broadcast(picked), "id").select("text", "y", half.alias("half"))
 
 
-def class_worth(labels: DataFrame, sample: int, label_id: str, label_col: str) -> np.ndarray:
-    """What a sampled row of class 0 and 1 counts: the class's share of all usable labels over its share of the sample."""
+def class_counts(labels: DataFrame, label_id: str, label_col: str) -> np.ndarray:
+    """All usable labels of class 0 and 1."""
     n = {r["y"]: r["count"] for r in usable(labels, label_id, label_col).groupBy("y").count().collect()}
-    whole = np.array([n.get(0, 0), n.get(1, 0)], float)
+    return np.array([n.get(0, 0), n.get(1, 0)], float)
+
+
+def class_worth(whole: np.ndarray, sample: int) -> np.ndarray:
+    """What a sampled row of class 0 and 1 counts: the class's share of all usable labels over its share of the sample."""
     taken = np.minimum(whole, sample)
     return np.divide(whole * max(taken.sum(), 1.0), taken * max(whole.sum(), 1.0), out=np.ones(2), where=taken > 0)
 
@@ -295,13 +300,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE, id_col="doc_id", text
     finally:
         rows.unpersist()
     y = np.array([r.y for r in got], float)
-    worth = class_worth(labels, sample, label_id, label_col)[y.astype(int)]
+    whole = class_counts(labels, label_id, label_col)
     width = _inputs(np.zeros((1, len(CHANNELS) + 2))).shape[1]
     if len(y) < 10 or y.min() == y.max():
         coef = np.zeros(width)
-        coef[0] = np.log(((worth * y).sum() + 0.5) / ((worth * (1 - y)).sum() + 0.5)) if len(y) else 0.0
+        coef[0] = np.log((whole[1] + 0.5) / (whole[0] + 1.0))
         return Model(arcs, weights, np.zeros(width), np.ones(width), coef)
-    return Model(arcs, weights, *fit_logistic(_inputs(np.array([r.f for r in got])), y, worth=worth))
+    return Model(arcs, weights, *fit_logistic(_inputs(np.array([r.f for r in got])), y, worth=class_worth(whole, sample)[y.astype(int)]))
 
 
 def score(docs: DataFrame, model: Model, columns, text_col="text") -> DataFrame:

@@ -78,3 +78,29 @@ def test_mixing(stages):
     for s in size:  # no choice of takes comes nearer
         near = floor(goal[s] + Fraction(1, 2))
         assert abs(taken[s] - near) == nearest_sum(near, [n for x, n in texts.values() if x == s])
+
+
+def test_run(spark, sf_dir, stages):
+    """run() gives the last stage's rows."""
+    assert Counter((r.doc_id, r.taken) for r in cp.run(spark, sf_dir).collect()) == Counter((r.doc_id, r.taken) for r in stages[5].collect())
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, names that stages use themselves, an empty table."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    clean = [(1, "the quick walk by a river in the morning sun", "en", "a", 44, "k"), (2, "a letter to ann@example.org about the garden gate", "en", None, 50, "k"), (3, long, None, "b", None, None)]
+    odd = [(4, None, None, None, None, None), (5, "", "en", "a", 0, "x"), (6, None, "en", "b", 0, "x"), (None, "a row that has no id but many words of its own to tell", None, "a", 9, None)]
+    df = spark.createDataFrame([*clean, clean[0], *odd], "doc_id long, text string, lang string, source string, n_chars long, key string").repartition(3)
+    ids = {}
+    for name, stage in cp.STAGES[:-1]:
+        df = materialize(stage(spark, df, sf_dir), name)
+        ids[name] = sorted((-1 if r.doc_id is None else r.doc_id) for r in df.select("doc_id").collect())
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "key"]
+    assert ids["toxicity"] == [-1, 1, 1, 2, 3, 4, 5, 6]
+    assert ids["near_duplicates"] == ids["decontamination"] == ids["personal_data"] == [-1, 1, 2, 3, 4, 5, 6]
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert texts[3] == long and texts[4] is None and texts[5] == "" and texts[2] == "a letter to [EMAIL] about the garden gate"
+    mixed = cp.STAGES[-1][1](spark, df, sf_dir).collect()
+    assert {r.doc_id for r in mixed} <= {None, 1, 2, 3} and all(r.taken == r.repeats * r["size"] for r in mixed)
+    for _, stage in cp.STAGES:
+        assert stage(spark, df.where("false"), sf_dir).count() == 0
