@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with
 the columns of documents. run() applies them one after another, each stage's rows written as Parquet and read again.
+
+Rows: any column may be null, and other columns are kept, whatever their names. Documents of null, empty or blank texts
+pass every stage but the last, which takes none of them. Repeated rows are one document from the second stage on; rows
+of one id and other texts, or of null ids, are judged by their texts. Very long texts are read whole. An empty table
+gives no rows.
 """
 
 from annalist.llm.blocks import materialize
