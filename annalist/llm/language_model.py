@@ -1,15 +1,20 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays.
 
 Counting takes two passes over the training rows. The first counts words: blocks send their distinct words' hashes,
 hash shards add up and write sorted arrays (hash, count); a word's id is its place in the order of all hashes. The
-second counts pairs of ids the same way, dealt to buckets by the first id. A context that holds more than a bucket's
-share of all tokens is spread over several buckets by the second id. Buckets write sorted arrays (pair, count) and
-send context statistics and continuation counts to the shards of the words, which write them as arrays by id.
+second counts trigrams of ids the same way, dealt to buckets by the middle word. So a bucket has all that it takes to
+write three tables of its words: counts of trigrams, statistics of their contexts, and for each pair of neighbours its
+number of different words before it. A middle word that holds more than a bucket's share of all tokens is spread over
+several buckets by the whole trigram; these send their part sums of contexts and pairs on, dealt by the other word of
+the pair, and those who add them up write the tables. Statistics of pairs go to the shards of the words, which write
+them as arrays by id.
 
-Scoring is one pass: workers memory-map the arrays from the shared folder and look their pieces' distinct words and
-pairs up by binary search. No model data goes through the driver but a few numbers for each shard.
+Scoring is one pass: workers memory-map the arrays from the shared folder and look their pieces' distinct words, pairs
+and trigrams up by binary search. No model data goes through the driver but a few numbers for each shard and bucket.
 
-The order is 2: nearly all longer n-grams of such a corpus occur once (see README).
+The order is 3, or 2 as a parameter. A text's first word follows a start mark, and the pairs of that count as often as
+they occur, for nothing comes before it; with order 2 all pairs do. Trigrams and pairs are told apart by hashes of
+64 bits while they are counted, and by about 32 bits and the logarithm of a bucket's trigrams when looked up (tables.py).
 
 Rows: a null or empty text has only the end token. Ids may be null (then a row is for training) or repeated (each row
 counts). Without training rows N and V are 0: the base score of a text is 0 for each token and the model is uniform
@@ -21,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, tables
 from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, shared_path, text_buffers, unpack
 
+#: The model's order.
+ORDER = 3
 #: Tokens that a map task gathers at least before it sends their counts.
 BLOCK = 1 << 20
 END = mix(np.array([0x656E64], np.uint64))[0]  # the hash of the end token
@@ -47,38 +54,6 @@ def token_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
-def _pair_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    """One number for a pair of ids, in the order of the pairs; None where 32 bits are not enough for an id."""
-    if len(x) and max(int(x.max()), int(y.max())) >> 32:
-        return None
-    return x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)
-
-
-def _summed_pairs(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and the sums of their counts."""
-    keys = _pair_keys(x, y)
-    if keys is not None:
-        keys, c = _summed(keys, counts)
-        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), c
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-    return x[at], y[at], np.diff(np.append(at, len(x))) if counts is None else np.add.reduceat(counts[order], at)
-
-
-def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, back): distinct pairs, and the place of each pair among them."""
-    keys = _pair_keys(x, y)
-    if keys is not None:
-        keys, back = np.unique(keys, return_inverse=True)
-        return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), back
-    order = np.lexsort((y, x))
-    new = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])
-    back = np.empty(len(x), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return x[order][new], y[order][new], back
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     if not len(keys):
@@ -89,6 +64,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts[order], at)
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """The narrowest unsigned integers that hold the values."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def _packed_by(bucket: np.ndarray, columns: list[np.ndarray], raw: tuple[int, ...] = ()) -> list[tuple]:
     """(bucket, packed columns) for rows that are in order of their buckets."""
     if not len(bucket):
@@ -136,7 +116,7 @@ def _word_shard(folder: str, hot_share: int):
         c = np.concatenate([unpack(x).astype(np.int64) for x in table.column("counts").to_pylist()])
         h, c = _summed(h, c)
         arrays.save(folder, f"word-hash-{shard}", h)
-        arrays.save(folder, f"word-count-{shard}", c)
+        arrays.save(folder, f"word-count-{shard}", _least(c))
         hot = np.argsort(-c, kind="stable")[:hot_share]
         return pa.Table.from_arrays([pa.array([shard], pa.int32()), int_array([len(h)]), int_array([c.sum()]), pa.array([hot.tolist()], pa.list_(pa.int64())), pa.array([c[hot].tolist()], pa.list_(pa.int64()))], names=["shard", "types", "tokens", "hot", "hot_counts"])
 
@@ -167,11 +147,22 @@ class Lookup:
         return ids, counts
 
 
-# --- pairs -----------------------------------------------------------------------------------------------------
+# --- n-grams ---------------------------------------------------------------------------------------------------
+
+#: What most rows of a table say: a trigram or pair counted once, a context of one trigram seen once.
+ONCE, ONE_TYPE = (1,), (1, 1, 0, 0)
+
+
+def gram_hash(*ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of n-grams, given as columns of ids."""
+    h = mix(ids[0].astype(np.uint64))
+    for i in ids[1:]:
+        h = mix(h + i.astype(np.uint64))
+    return h
 
 
 class Deal:
-    """Which bucket counts a pair of ids; hot contexts have buckets of their own, several if they hold that much."""
+    """Which bucket an n-gram belongs to, by one word; hot words have buckets of their own, several if they hold that much."""
 
     def __init__(self, n_ids: int, buckets: int, hot: dict[int, int]):
         self.n_ids, self.buckets = n_ids, buckets
@@ -179,50 +170,67 @@ class Deal:
         self.parts = np.array([hot[x] for x in self.hot.tolist()], np.int64)
         self.first = buckets + np.cumsum(self.parts) - self.parts
 
-    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        bucket = x * self.buckets // self.n_ids
+    def __call__(self, word: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Buckets by word; the salt spreads those of hot words."""
+        bucket = word * self.buckets // self.n_ids
         if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, x), len(self.hot) - 1)
-            own = self.hot[at] == x
-            bucket[own] = (self.first[at] + y * self.parts[at] // self.n_ids)[own]
+            at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+            own = np.flatnonzero(self.hot[at] == word)
+            at = at[own]
+            bucket[own] = self.first[at] + (salt[own] % self.parts[at].astype(np.uint64)).astype(np.int64)
         return bucket
 
-    def keys(self, bucket: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Numbers of pairs within their bucket, in the order of the pairs: exact up to 2**42 words in 2**20 buckets."""
-        if bucket >= self.buckets:  # one context's own
-            return y.astype(np.uint64)
-        low = -(-bucket * self.n_ids // self.buckets)
-        return (x - low).astype(np.uint64) * np.uint64(self.n_ids) + y.astype(np.uint64)
+    def word(self, bucket: int) -> int:
+        """The hot word that a bucket belongs to, or -1."""
+        return -1 if bucket < self.buckets else int(self.hot[np.searchsorted(self.first, bucket, side="right") - 1])
 
 
-def _pairs(h: np.ndarray, of: np.ndarray, lookup: Lookup, start: int):
-    """(ids, counts, contexts) of tokens; the context of a text's first token is start."""
+def _grams(h: np.ndarray, of: np.ndarray, lookup: Lookup, start: int, order: int):
+    """(ids, counts, y, x) of tokens, y and x the ids before: start before a text's first token, start + 1 for none."""
     distinct, back = np.unique(h, return_inverse=True)
     ids, counts = lookup(distinct)
     ids, counts = ids[back], counts[back]
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[of[:-1]] = start
-    return ids, counts, context
-
-
-def _pair_blocks(lookup: Lookup, deal: Deal, start: int):
+    y, x = np.empty_like(ids), np.full(len(ids), start + 1, np.int64)
+    y[1:] = ids[:-1]
+    y[of[:-1]] = start
+    if order > 2:
+        x[1:] = y[:-1]
+        x[of[:-1]] = start + 1
+    return ids, counts, y, x
+
+
+def _sums(h: np.ndarray, same: list[np.ndarray], counts: list[np.ndarray]) -> tuple:
+    """(distinct hashes, sorted, the values of same for each, the sums of counts)."""
+    if not len(h):
+        return h, same, counts
+    order = np.argsort(h)
+    h = h[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    first = order[at]
+    return h[at], [v[first] for v in same], [np.add.reduceat(c[order], at) for c in counts]
+
+
+def _gram_blocks(lookup: Lookup, deal: Deal, start: int, order: int):
     def flush(parts):
-        x, y, c = _summed_pairs(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-        bucket = deal(x, y)
-        order = np.argsort(bucket, kind="stable")
-        rows = []
-        x, y, c, bucket = x[order], y[order], c[order], bucket[order]
+        h, (x, y, z), (c,) = _sums(np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][k] for p in parts]) for k in range(3)], [np.concatenate([p[2][0] for p in parts])])
+        bucket = deal(y, h)
+        by = np.argsort(y.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64)) if start + 1 < 1 << 32 else np.lexsort((x, y))
+        by = by[np.argsort(bucket[by], kind="stable")]
+        x, y, z, c, bucket = x[by], y[by], z[by], c[by], bucket[by]
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rows = []
         for a, b in zip(at, np.append(at[1:], len(bucket))):
-            rows.append((int(bucket[a]), pack(np.diff(x[a:b], prepend=0)), pack(y[a:b]), pack(c[a:b])))
-        return _batch(rows, ["bucket", "steps", "seconds", "counts"])
+            own, step = y[a:b], np.diff(x[a:b], prepend=0)
+            new = np.append(True, own[1:] != own[:-1])
+            step[new] = x[a:b][new]
+            rows.append((int(bucket[a]), pack(np.diff(own, prepend=0)), pack(step), pack(z[a:b]), pack(c[a:b])))
+        return _batch(rows, ["bucket", "middles", "firsts", "lasts", "counts"])
 
     def run(batches):
         parts, held = [], 0
         for p in pieces(batches, 0):
-            ids, _, context = _pairs(*token_hashes(p.column(0)), lookup, start)
-            parts.append(_summed_pairs(context, ids))
+            z, _, y, x = _grams(*token_hashes(p.column(0)), lookup, start, order)
+            parts.append(_sums(gram_hash(x, y, z), [x, y, z], [np.ones(len(z), np.int64)]))
             held += len(parts[-1][0])
             if held >= block_size(BLOCK, deal.buckets):
                 yield flush(parts)
@@ -230,32 +238,99 @@ def _pair_blocks(lookup: Lookup, deal: Deal, start: int):
         if parts:
             yield flush(parts)
 
-    return run, "bucket int, steps binary, seconds binary, counts binary"
+    return run, "bucket int, middles binary, firsts binary, lasts binary, counts binary"
+
+
+def _unpacked_grams(row: dict) -> list[np.ndarray]:
+    """(x, y, z, counts) of a packed row."""
+    y, step = np.cumsum(unpack(row["middles"]).astype(np.int64)), unpack(row["firsts"]).astype(np.int64)
+    at = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+    sums = np.cumsum(step)
+    base = np.where(at > 0, sums[at - 1], 0)
+    return [sums - np.repeat(base, np.diff(np.append(at, len(y)))), y, unpack(row["lasts"]).astype(np.int64), unpack(row["counts"]).astype(np.int64)]
+
+
+GRAM_ROWS = "to int, kind int, ids binary, total binary, n1 binary, n2 binary, n3 binary, of array<long>"
+# kinds, the first two to shards of words, the others to buckets: a word as context, the words before a word, contexts, pairs
+# of: a bucket, which tables it wrote, its numbers of trigrams and of pairs counted 1 to 4 times
+
 
+def _gram_rows(rows: list[tuple], of: list[int]) -> pa.Table:
+    rows = [(to, kind, *columns, *[b""] * (5 - len(columns))) for to, kind, *columns in rows] or [(-1, -1, *[b""] * 5)]
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    ofs = pa.array([of] + [None] * (len(rows) - 1), pa.list_(pa.int64()))
+    return pa.Table.from_arrays([*(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)), ofs], names=[f.split()[0] for f in GRAM_ROWS.split(", ")])
 
-def _pair_bucket(folder: str, offsets: np.ndarray, deal: Deal):
-    """Adds up a bucket's pairs and writes them; sends what contexts and words need to the words' shards."""
+
+def _once_to_four(c: np.ndarray) -> list[int]:
+    return [int((c == j).sum()) for j in (1, 2, 3, 4)]
+
+
+def _by_counts(c: np.ndarray) -> list[np.ndarray]:
+    return [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
+
+
+def _save_pairs(folder: str, bucket: int, offsets: np.ndarray, contexts: tuple, pairs: tuple) -> tuple[list[tuple], list[int]]:
+    """Writes whole sums of contexts and pairs; returns what the shards of words need, and numbers of pairs by count."""
+    h, _, columns = contexts
+    tables.save(folder, f"context-{bucket}", h, columns, ONE_TYPE)
+    h, (y, z), (n,) = pairs
+    tables.save(folder, f"pair-{bucket}", h, [n], ONCE)
+    if not len(h):  # a hot word's bucket may hold contexts alone
+        return [], [0] * 4
+    shard = lambda ids: np.searchsorted(offsets, ids, side="right") - 1
+    order = np.argsort(y, kind="stable")
+    y, by = y[order], n[order]
+    at = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+    rows = [(s, 0, *p) for s, *p in _packed_by(shard(y[at]), [y[at], *(np.add.reduceat(v, at) for v in _by_counts(by))])]
+    last, types = np.unique(z, return_counts=True)
+    return rows + [(s, 1, *p) for s, *p in _packed_by(shard(last), [last, types])], _once_to_four(n)
+
+
+def _gram_bucket(folder: str, offsets: np.ndarray, deal: Deal, none: int):
+    """Adds up a bucket's trigrams and writes them, and the pairs within; a hot word's bucket sends part sums of pairs on."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        xs, ys, counts = ([unpack(v).astype(np.int64) for v in table.column(n).to_pylist()] for n in ("steps", "seconds", "counts"))
-        x, y, c = _summed_pairs(np.concatenate([np.cumsum(v) for v in xs]), np.concatenate(ys), np.concatenate(counts))
-        del xs, ys, counts
-        narrow = np.uint8 if c.max() < 256 else np.uint16 if c.max() < 65536 else np.int64
-        arrays.save(folder, f"pair-key-{bucket}", deal.keys(bucket, x, y))
-        arrays.save(folder, f"pair-count-{bucket}", c.astype(narrow))
-        at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        stats = [np.add.reduceat(v, at) for v in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))]
-        shard = lambda ids: np.searchsorted(offsets, ids, side="right") - 1
-        rows = [(s, 0, *p) for s, *p in _packed_by(shard(x[at]), [x[at], *stats])]
-        seconds, types = np.unique(y, return_counts=True)
-        none = pack(np.zeros(0, np.int64))
-        rows += [(s, 1, *p, none, none, none) for s, *p in _packed_by(shard(seconds), [seconds, types])]
-        of = [[bucket, *(int((c == j).sum()) for j in (1, 2, 3, 4))]] + [None] * (len(rows) - 1)
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-        return pa.Table.from_arrays([*(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)), pa.array(of, pa.list_(pa.int64()))], names=["shard", "kind", "ids", "total", "n1", "n2", "n3", "of"])
-
-    return run, "shard int, kind int, ids binary, total binary, n1 binary, n2 binary, n3 binary, of array<long>"  # of: the bucket, and its numbers of pairs seen 1 to 4 times
+        x, y, z, c = (np.concatenate(v) for v in zip(*map(_unpacked_grams, table.drop_columns("bucket").to_pylist())))
+        h, (x, y, z), (c,) = _sums(gram_hash(x, y, z), [x, y, z], [c])
+        some = x != none
+        tables.save(folder, f"gram-{bucket}", h[some], [c[some]], ONCE)
+        del h
+        seen = _once_to_four(c[some])
+        contexts = _sums(gram_hash(x[some], y[some]), [x[some]], _by_counts(c[some]))
+        pairs = _sums(gram_hash(y, z), [y, z], [np.where(some, 1, c)])
+        if (hot := deal.word(bucket)) < 0:
+            rows, of = _save_pairs(folder, bucket, offsets, contexts, pairs)
+            return _gram_rows(rows, [bucket, 2, *seen, *of])
+        rows = []
+        for kind, (ids, counts) in ((2, (contexts[1][0], contexts[2])), (3, (pairs[1][1], pairs[2]))):
+            to = deal(np.full(len(ids), hot), gram_hash(ids))
+            order = np.lexsort((ids, to))
+            ids, to, counts = ids[order], to[order], [n[order] for n in counts]
+            at = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+            rows += [(int(to[a]), kind, pack(np.diff(ids[a:b], prepend=0)), *(pack(n[a:b]) for n in counts)) for a, b in zip(at, np.append(at[1:], len(to)))]
+        return _gram_rows(rows, [bucket, 0, *seen, 0, 0, 0, 0])
+
+    return run, GRAM_ROWS
+
+
+def _hot_bucket(folder: str, offsets: np.ndarray, deal: Deal):
+    """Adds up the part sums of a hot word's contexts and pairs and writes them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, found, none = table.column("to")[0].as_py(), {2: [], 3: []}, np.zeros(0, np.int64)
+        for r in table.to_pylist():
+            found[r["kind"]].append([np.cumsum(unpack(r["ids"]).astype(np.int64)), *(unpack(r[k]).astype(np.int64) for k in ("total", "n1", "n2", "n3")[: 4 if r["kind"] == 2 else 1])])
+        x, *counts = [np.concatenate(v) for v in zip(*found[2])] or [none] * 5
+        z, n = [np.concatenate(v) for v in zip(*found[3])] or [none] * 2
+        hot = np.int64(deal.word(bucket))
+        contexts = _sums(gram_hash(x, np.full(len(x), hot)), [x], counts)
+        y = np.full(len(z), hot)
+        rows, of = _save_pairs(folder, bucket, offsets, contexts, _sums(gram_hash(y, z), [y, z], [n]))
+        return _gram_rows(rows, [bucket, 1, 0, 0, 0, 0, *of])
+
+    return run, GRAM_ROWS
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -272,20 +347,20 @@ def _context_shard(folder: str, offsets: np.ndarray, d: list[float]):
     """Writes the arrays by id of one shard of words: context totals, interpolation weights, continuation counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
+        shard = table.column("to")[0].as_py()
         base = int(offsets[shard])
         n = int(offsets[shard + 1]) - base if shard + 1 < len(offsets) else 1
-        total, spare, types = np.zeros(n, np.float64), np.zeros(n, np.float64), np.zeros(n, np.int64)
+        total, spare, types = np.zeros(n, np.int64), np.zeros(n, np.float64), np.zeros(n, np.int64)
         for r in table.to_pylist():
             at = unpack(r["ids"]).astype(np.int64) - base
             if r["kind"] == 0:
-                np.add.at(total, at, unpack(r["total"]).astype(np.float64))
+                np.add.at(total, at, unpack(r["total"]).astype(np.int64))
                 np.add.at(spare, at, sum(d[j] * unpack(r[k]).astype(np.float64) for j, k in enumerate(("n1", "n2", "n3"))))
             else:
                 np.add.at(types, at, unpack(r["total"]).astype(np.int64))
-        arrays.save(folder, f"context-total-{shard}", total)
+        arrays.save(folder, f"context-total-{shard}", _least(total))
         arrays.save(folder, f"context-weight-{shard}", np.where(total > 0, spare / np.maximum(total, 1), 1.0).astype(np.float32))
-        arrays.save(folder, f"word-types-{shard}", types)
+        arrays.save(folder, f"word-types-{shard}", _least(types))
         of = [int((types == j).sum()) for j in (1, 2, 3, 4)] + [int((types > 2).sum()), int(types.sum())]
         return pa.Table.from_arrays([pa.array([of], pa.list_(pa.int64()))], names=["of"])
 
@@ -298,11 +373,12 @@ def _context_shard(folder: str, offsets: np.ndarray, d: list[float]):
 class Model:
     """What every worker needs besides the mapped arrays; it grows with the number of shards and hot words only."""
 
-    def __init__(self, folder, shards, offsets, tokens, types, start, deal, d, lower, filled, full):
+    def __init__(self, folder, shards, offsets, tokens, types, deal, order, d, lower, filled, grams, pairs):
         self.folder, self.offsets = folder, np.asarray(offsets, np.int64)
         self.lookup, self.deal = Lookup(folder, shards, offsets), deal
-        self.tokens, self.types, self.start, self.d, self.lower = tokens, types, start, d, lower
-        self.filled, self.full = filled, full  # shards and buckets that have files
+        self.tokens, self.types, self.order = tokens, types, order
+        self.d, self.lower = d, lower  # discounts of trigrams and pairs; of words, with their sum and what it leaves
+        self.filled, self.grams, self.pairs = filled, grams, pairs  # shards, buckets of trigrams and of pairs that have files
 
     def _by_id(self, name: str, ids: np.ndarray, default) -> np.ndarray:
         """Values of an array by id for sorted ids; those below 0, or of shards without it, have the default."""
@@ -315,45 +391,59 @@ class Model:
                 out[a:b] = arrays.mapped(self.folder, f"{name}-{s}")[ids[a:b] - self.offsets[s]]
         return out
 
-    def _pair_counts(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Counts of distinct pairs."""
-        out = np.zeros(len(x), np.int64)
-        bucket = self.deal(x, y)
+    def _counts(self, name: str, usual: tuple[int, ...], word: np.ndarray, salt: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Rows of counts of distinct n-grams, from the tables of a name."""
+        out, full = np.zeros((len(usual), len(h)), np.int64), self.grams if name == "gram" else self.pairs
+        bucket = self.deal(word, salt)
         order = np.argsort(bucket, kind="stable")
         own = bucket[order]
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(x) else np.zeros(0, np.int64)
-        for a, b in zip(at, np.append(at[1:], len(x))):
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(h) else np.zeros(0, np.int64)
+        for a, b in zip(at, np.append(at[1:], len(h))):
             k = int(own[a])
-            i = int(np.searchsorted(self.full, k))
-            if i < len(self.full) and self.full[i] == k:
-                some = order[a:b]
-                have, want = arrays.mapped(self.folder, f"pair-key-{k}"), self.deal.keys(k, x[some], y[some])
-                place = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                out[some] = np.where(have[place] == want, arrays.mapped(self.folder, f"pair-count-{k}")[place], 0)
+            i = int(np.searchsorted(full, k))
+            if i < len(full) and full[i] == k:
+                out[:, order[a:b]] = tables.table(self.folder, f"{name}-{k}", usual).values(h[order[a:b]])
         return out
 
+    def _cut(self, c: np.ndarray, d: list[float]) -> np.ndarray:
+        return c - np.select([c >= 3, c >= 2, c >= 1], [d[2], d[1], d[0]], 0.0)
+
     def log_probabilities(self, h: np.ndarray, of: np.ndarray):
-        """For each token: (count in training, log10 of its probability after the one before it)."""
-        ids, counts, context = _pairs(h, of, self.lookup, self.start)
+        """For each token: (count in training, log10 of its probability after those before it)."""
+        ids, counts, y, x = _grams(h, of, self.lookup, self.types, self.order)
         words, back = np.unique(ids, return_inverse=True)
         types = self._by_id("word-types", words, 0.0)
-        (d1, d2, d3), all_types, spare = self.lower
-        cut = np.select([types >= 3, types >= 2, types >= 1], [d3, d2, d1], 0.0)
-        low = (types - cut) / max(all_types, 1) + spare / (self.types + 1)
-        low = low[back]
-        contexts, back = np.unique(context, return_inverse=True)
+        d, all_types, spare = self.lower
+        p = (self._cut(types, d) / max(all_types, 1) + spare / (self.types + 1))[back]
+        contexts, back = np.unique(y, return_inverse=True)
         total, weight = self._by_id("context-total", contexts, 0.0)[back], self._by_id("context-weight", contexts, 1.0)[back]
-        known = np.flatnonzero((ids >= 0) & (context >= 0) & (total > 0))
-        x, y, back = _distinct_pairs(context[known], ids[known])
-        c = self._pair_counts(x, y)[back].astype(float)
-        cut = np.select([c >= 3, c >= 2, c >= 1], [self.d[2], self.d[1], self.d[0]], 0.0)
-        high = np.zeros(len(ids))
-        high[known] = (c - cut) / total[known]
-        return counts, np.log10(high + weight * low)
-
-
-def train(docs: DataFrame, text_col="text") -> Model:
+        known = np.flatnonzero((ids >= 0) & (y >= 0) & (total > 0))
+        pair, at, back = np.unique(gram_hash(y[known], ids[known]), return_index=True, return_inverse=True)
+        own = known[at]
+        (c,) = self._counts("pair", ONCE, y[own], gram_hash(ids[own]), pair)
+        p *= weight
+        p[known] += self._cut(c, self.d[1])[back] / total[known]
+        if self.order > 2:
+            known = np.flatnonzero((x >= 0) & (y >= 0) & (x <= self.types))
+            pair, at, back = np.unique(gram_hash(x[known], y[known]), return_index=True, return_inverse=True)
+            own = known[at]
+            total, *n = self._counts("context", ONE_TYPE, y[own], gram_hash(x[own]), pair)
+            weight = sum(d * c for d, c in zip(self.d[0], n)) / np.maximum(total, 1)
+            seen = total[back] > 0
+            known, total, weight = known[seen], total[back][seen], weight[back][seen]
+            p[known] *= weight
+            some = ids[known] >= 0
+            known, total = known[some], total[some]
+            gram, at, back = np.unique(gram_hash(x[known], y[known], ids[known]), return_index=True, return_inverse=True)
+            (c,) = self._counts("gram", ONCE, y[known[at]], gram, gram)
+            p[known] += self._cut(c, self.d[0])[back] / total
+        return counts, np.log10(p)
+
+
+def train(docs: DataFrame, text_col="text", order: int = ORDER) -> Model:
     """Counts the model over all rows of docs; its arrays stay in the shared folder until the application ends."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     folder = shared_path(spark, "lm")
     buckets = n_buckets(docs)
@@ -365,24 +455,26 @@ def train(docs: DataFrame, text_col="text") -> Model:
     offsets = np.concatenate([[0], np.cumsum([sizes[s].types if s in sizes else 0 for s in range(shards)])]).tolist()
     types, tokens = offsets[-1], sum(r.tokens for r in words)
     if not types:
-        return Model(folder, shards, offsets, 0, 0, 0, Deal(1, 1, {}), [0.5] * 3, ([0.5] * 3, 0, 1.0), set(), np.zeros(0, np.int64))
-    start, share = types, max(1, tokens // buckets)
+        return Model(folder, shards, offsets, 0, 0, Deal(2, 1, {}), order, [[0.5] * 3] * 2, ([0.5] * 3, 0, 1.0), set(), *[np.zeros(0, np.int64)] * 2)
+    share = max(1, tokens // buckets)
     hot = {offsets[r.shard] + i: -(-c // share) for r in words for i, c in zip(r.hot, r.hot_counts) if c > share}
     n_docs = int(Lookup(folder, shards, offsets)(np.array([END]))[1][0])
-    hot[start] = -(-n_docs // share)
-    deal = Deal(types + 1, buckets, hot)
+    hot[types] = -(-n_docs // share)
+    deal = Deal(types + 2, buckets, hot)
     lookup, at = Lookup(folder, shards, offsets), np.asarray(offsets, np.int64)
-    run, schema = _pair_blocks(lookup, deal, start)
-    pairs = arrow_map(text, run, schema).groupBy("bucket").applyInArrow(*_pair_bucket(folder, at, deal))
-    pairs = materialize(pairs, "contexts")
-    of = np.array([r.of for r in pairs.where("of is not null").select("of").collect()], np.int64)  # one row a bucket
-    d, full = discounts(of[:, 1:].sum(0).tolist()), np.unique(of[:, 0])
-    done = pairs.select("shard", "kind", "ids", "total", "n1", "n2", "n3").groupBy("shard").applyInArrow(*_context_shard(folder, at, d)).collect()
+    run, schema = _gram_blocks(lookup, deal, types, order)
+    grams = materialize(arrow_map(text, run, schema).groupBy("bucket").applyInArrow(*_gram_bucket(folder, at, deal, types + 1)), "grams")
+    pairs = materialize(grams.where("kind > 1").groupBy("to").applyInArrow(*_hot_bucket(folder, at, deal)), "pairs")
+    both = grams.unionByName(pairs)
+    of = np.array([r.of for r in both.where("of is not null").select("of").collect()], np.int64)  # one row a bucket and stage
+    d = [discounts(of[:, 2:6].sum(0).tolist()), discounts(of[:, 6:].sum(0).tolist())]
+    own = both.where("kind in (0, 1)").drop("of")
+    done = own.groupBy("to").applyInArrow(*_context_shard(folder, at, d[1])).collect()
     n = np.array([r.of for r in done], np.int64).sum(0)
     lower = discounts(n[:4].tolist())
     spare = (lower[0] * n[0] + lower[1] * n[1] + lower[2] * n[4]) / max(n[5], 1)
-    filled = {r.shard for r in pairs.select("shard").distinct().collect()}
-    return Model(folder, shards, offsets, tokens, types, start, deal, d, (lower, int(n[5]), float(spare)), filled, full)
+    filled = {r.to for r in own.select("to").distinct().collect()}
+    return Model(folder, shards, offsets, tokens, types, deal, order, d, (lower, int(n[5]), float(spare)), filled, np.unique(of[of[:, 1] != 1, 0]), np.unique(of[of[:, 1] > 0, 0]))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
@@ -402,8 +494,8 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
     return arrow_map(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def lm_report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def lm_report(docs: DataFrame, id_col="doc_id", text_col="text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model = train(docs.where(~held_out(id_col)), text_col)
+    model = train(docs.where(~held_out(id_col)), text_col, order)
     s = score(docs, model, id_col, text_col)
     return s.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -15,7 +15,7 @@ from math import floor
 import numpy as np
 import pyarrow as pa
 import pytest
-from annalist.llm import arrays, blocks, decontaminate, jaccard, language_model, media, mixing, pii, queries, secrets, substrings, tokens, toxicity
+from annalist.llm import arrays, blocks, decontaminate, jaccard, language_model, media, mixing, pii, queries, secrets, substrings, tables, tokens, toxicity
 from pyspark.sql import functions as F
 
 AZ = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -583,28 +583,31 @@ def test_placeholders_hide_only_what_they_touch():
         assert found(s) == [], s
 
 
-def test_pairs_of_many_words():
-    """Ids of more than 32 bits give what narrow ones give, and keys within buckets keep pairs apart and in order."""
+def test_tables_of_counts(tmp_path):
+    """Every hash gives its counts, small or large, and no other hash gives any."""
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 9, 5000):
+        h = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        c = np.where(rnd.random(len(h)) < 0.6, 1, rnd.choice([2, 254, 255, 70000, 1 << 40], len(h)))
+        other = np.where(c == 1, 7, c // 2)
+        tables.save(str(tmp_path), f"t{n}", h, [c, other], (1, 7))
+        t = tables.Table(str(tmp_path), f"t{n}", (1, 7))
+        some = rnd.permutation(len(h))
+        assert (t.values(h[some]) == np.stack([c, other])[:, some]).all()
+        assert not t.values(rnd.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + np.uint64(1)).any()
+
+
+def test_deal_of_words():
+    """A word's n-grams share a bucket; a hot word's are spread over its own, which know it."""
     rnd = np.random.default_rng(3)
-    x, y, c = rnd.integers(0, 40, 3000), rnd.integers(0, 40, 3000), rnd.integers(1, 9, 3000)
-    far = 1 << 40
-    for counts in (None, c):
-        a, b, n = language_model._summed_pairs(x, y, counts)
-        p, q, m = language_model._summed_pairs(x + far, y + far, counts)
-        assert (p - far == a).all() and (q - far == b).all() and (n == m).all() and n.sum() == (3000 if counts is None else c.sum())
-    a, b, back = language_model._distinct_pairs(x, y)
-    p, q, other = language_model._distinct_pairs(x + far, y + far)
-    assert (a[back] == x).all() and (b[back] == y).all() and (p - far == a).all() and (q - far == b).all() and (back == other).all()
     n_ids = 1 << 41
-    deal = language_model.Deal(n_ids, 1 << 20, {7: 3})
-    x, y = np.sort(rnd.integers(0, n_ids, 4000)), rnd.integers(0, n_ids, 4000)
-    x[:50] = 7
-    bucket = deal(x, y)
-    for k in np.unique(bucket).tolist():
-        own = bucket == k
-        pairs = list(zip(x[own].tolist(), y[own].tolist()))
-        keys = deal.keys(k, x[own], y[own]).tolist()
-        assert len(set(keys)) == len(set(pairs)) and [p for _, p in sorted(zip(keys, pairs))] == sorted(pairs)
+    deal = language_model.Deal(n_ids, 1 << 20, {7: 3, 9: 1})
+    y, z = np.sort(rnd.integers(10, n_ids, 4000)), rnd.integers(0, n_ids, 4000)
+    y[:300], y[300:320] = 7, 9
+    bucket = deal(y, language_model.gram_hash(y, z))
+    assert set(bucket[:300]) == {(1 << 20) + k for k in range(3)} and set(bucket[300:320]) == {(1 << 20) + 3} and (np.diff(bucket[320:]) >= 0).all() and bucket[320:].max() < 1 << 20
+    assert [deal.word((1 << 20) + k) for k in range(4)] == [7, 7, 7, 9] and deal.word(5) == -1
+    assert len(set(language_model.gram_hash(y, z, y).tolist()) | set(language_model.gram_hash(z, y, y).tolist())) == 8000
 
 
 def test_a_lost_array_is_an_error(docs, spark):
@@ -613,47 +616,65 @@ def test_a_lost_array_is_an_error(docs, spark):
 
     model = language_model.train(docs)
     folder = arrays._local(model.folder)
-    for f in glob.glob(f"{folder}/pair-key-*"):
+    for f in glob.glob(f"{folder}/gram-*"):
         os.unlink(f)
-    with pytest.raises(Exception, match="pair-key"):
+    with pytest.raises(Exception, match="gram-"):
         language_model.score(docs, model).collect()
 
 
-def test_language_model(docs, empty, texts, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, empty, texts, monkeypatch, order):
     monkeypatch.setattr(language_model, "BLOCK", 300)
     rows = [(r.doc_id, [*((r.text or "").translate(AZ).encode().split()), None]) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two = Counter(), Counter()
+    one, raw, three = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
             one.update(t)
-            two.update(zip([0, *t], t))
+            raw.update(zip([0, *t], t))
+            three.update(zip([0, *t], t, t[1:]))
     n, v = sum(one.values()), len(one)
-    d2 = language_model.discounts([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)])
+    if order == 2:
+        two = raw
+    else:  # how many words come before a pair; nothing comes before a text's first
+        two = Counter((y, z) for _, y, z in three)
+        two.update({k: c for k, c in raw.items() if k[0] == 0})
     types = Counter(y for _, y in two)
-    d1 = language_model.discounts([sum(c == k for c in types.values()) for k in (1, 2, 3, 4)])
-    total, spare = Counter(), Counter()
-    for (x, _), c in two.items():
-        total[x] += c
-        spare[x] += d2[min(c, 3) - 1]
+    of = lambda c: language_model.discounts([sum(k == j for k in c.values()) for j in (1, 2, 3, 4)])
+    d1, d2, d3 = of(types), of(two), of(three)
+    assert len(three) > 500 and max(three.values()) > 4 and (order == 2 or set(two) == set(raw))
+
+    def contexts(counts, d):
+        total, spare = Counter(), Counter()
+        for k, c in counts.items():
+            total[k[:-1]] += c
+            spare[k[:-1]] += d[min(c, 3) - 1]
+        return total, spare
+
+    total, spare = contexts(two, d2)
+    total3, spare3 = contexts(three, d3)
     rest = sum(d1[min(c, 3) - 1] for c in types.values()) / len(two)
     cut = lambda c, d: c - d[min(c, 3) - 1] if c else 0.0
 
-    def p(x, y):
-        low = cut(types.get(y, 0), d1) / len(two) + rest / (v + 1)
-        return cut(two.get((x, y), 0), d2) / total[x] + spare[x] / total[x] * low if total.get(x) else low
+    def p(x, y, z):
+        low = cut(types.get(z, 0), d1) / len(two) + rest / (v + 1)
+        low = cut(two.get((y, z), 0), d2) / total[y,] + spare[y,] / total[y,] * low if total.get((y,)) else low
+        if order == 2 or not total3.get((x, y)):
+            return low
+        return cut(three.get((x, y, z), 0), d3) / total3[x, y] + spare3[x, y] / total3[x, y] * low
 
-    for x in (0, b"one", rows[5][1][0], b"unseen"):
-        assert math.isclose(sum(p(x, y) for y in one) + p(x, b"never seen"), 1, rel_tol=1e-9)
+    long = max((t for i, t in rows if not held(i)), key=len)
+    for x, y in ((1, 0), (0, b"one"), (0, long[0]), (long[0], long[1]), (long[7], long[8]), (b"unseen", long[8]), (long[8], b"unseen")):
+        assert math.isclose(sum(p(x, y, z) for z in one) + p(x, y, b"never seen"), 1, rel_tol=1e-9)
     want = Counter()
     for i, t in rows:
-        want[i, held(i), len(t), sum(y in one for y in t), n, round(sum(math.log10((one.get(y, 0) + 1) / (n + v + 1)) for y in t), 4), round(sum(math.log10(p(x, y)) for x, y in zip([0, *t], t)), 2)] += 1
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 2)) for r in language_model.lm_report(docs).collect())
+        want[i, held(i), len(t), sum(y in one for y in t), n, round(sum(math.log10((one.get(y, 0) + 1) / (n + v + 1)) for y in t), 4), round(sum(math.log10(p(*k)) for k in zip([1, 0, *t], [0, *t], t)), 2)] += 1
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 2)) for r in language_model.lm_report(docs, order=order).collect())
     assert {k[:5] for k in got} == {k[:5] for k in want} and len(got) == len(want)
     for a, b in zip(sorted(got, key=str), sorted(want, key=str)):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-3 and abs(a[6] - b[6]) < 0.02
-    assert language_model.lm_report(empty).count() == 0
-    assert language_model.lm_report(docs.where("doc_id = 1")).count() == 1  # held in or out, the model may be nearly empty
+    assert language_model.lm_report(empty, order=order).count() == 0
+    assert language_model.lm_report(docs.where("doc_id = 1"), order=order).count() == 1  # held in or out, the model may be nearly empty
 
 
 def test_arrays(tmp_path):
