@@ -69,6 +69,16 @@ def _least(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, sorted, the place of one of each, the place of every value among them)."""
+    order = np.argsort(h)
+    new = np.append(True, np.diff(h[order]) != 0) if len(h) else np.zeros(0, bool)
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    at = order[new]
+    return h[at], at, back
+
+
 def _packed_by(bucket: np.ndarray, columns: list[np.ndarray], raw: tuple[int, ...] = ()) -> list[tuple]:
     """(bucket, packed columns) for rows that are in order of their buckets."""
     if not len(bucket):
@@ -187,7 +197,7 @@ class Deal:
 
 def _grams(h: np.ndarray, of: np.ndarray, lookup: Lookup, start: int, order: int):
     """(ids, counts, y, x) of tokens, y and x the ids before: start before a text's first token, start + 1 for none."""
-    distinct, back = np.unique(h, return_inverse=True)
+    distinct, _, back = _distinct(h)
     ids, counts = lookup(distinct)
     ids, counts = ids[back], counts[back]
     y, x = np.empty_like(ids), np.full(len(ids), start + 1, np.int64)
@@ -213,7 +223,7 @@ def _sums(h: np.ndarray, same: list[np.ndarray], counts: list[np.ndarray]) -> tu
 def _gram_blocks(lookup: Lookup, deal: Deal, start: int, order: int):
     def flush(parts):
         h, (x, y, z), (c,) = _sums(np.concatenate([p[0] for p in parts]), [np.concatenate([p[1][k] for p in parts]) for k in range(3)], [np.concatenate([p[2][0] for p in parts])])
-        bucket = deal(y, h)
+        bucket = _least(deal(y, h))
         by = np.argsort(y.astype(np.uint64) << np.uint64(32) | x.astype(np.uint64)) if start + 1 < 1 << 32 else np.lexsort((x, y))
         by = by[np.argsort(bucket[by], kind="stable")]
         x, y, z, c, bucket = x[by], y[by], z[by], c[by], bucket[by]
@@ -394,7 +404,7 @@ class Model:
     def _counts(self, name: str, usual: tuple[int, ...], word: np.ndarray, salt: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Rows of counts of distinct n-grams, from the tables of a name."""
         out, full = np.zeros((len(usual), len(h)), np.int64), self.grams if name == "gram" else self.pairs
-        bucket = self.deal(word, salt)
+        bucket = _least(self.deal(word, salt))
         order = np.argsort(bucket, kind="stable")
         own = bucket[order]
         at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -418,14 +428,14 @@ class Model:
         contexts, back = np.unique(y, return_inverse=True)
         total, weight = self._by_id("context-total", contexts, 0.0)[back], self._by_id("context-weight", contexts, 1.0)[back]
         known = np.flatnonzero((ids >= 0) & (y >= 0) & (total > 0))
-        pair, at, back = np.unique(gram_hash(y[known], ids[known]), return_index=True, return_inverse=True)
+        pair, at, back = _distinct(gram_hash(y[known], ids[known]))
         own = known[at]
         (c,) = self._counts("pair", ONCE, y[own], gram_hash(ids[own]), pair)
         p *= weight
         p[known] += self._cut(c, self.d[1])[back] / total[known]
         if self.order > 2:
             known = np.flatnonzero((x >= 0) & (y >= 0) & (x <= self.types))
-            pair, at, back = np.unique(gram_hash(x[known], y[known]), return_index=True, return_inverse=True)
+            pair, at, back = _distinct(gram_hash(x[known], y[known]))
             own = known[at]
             total, *n = self._counts("context", ONE_TYPE, y[own], gram_hash(x[own]), pair)
             weight = sum(d * c for d, c in zip(self.d[0], n)) / np.maximum(total, 1)
@@ -434,7 +444,7 @@ class Model:
             p[known] *= weight
             some = ids[known] >= 0
             known, total = known[some], total[some]
-            gram, at, back = np.unique(gram_hash(x[known], y[known], ids[known]), return_index=True, return_inverse=True)
+            gram, at, back = _distinct(gram_hash(x[known], y[known], ids[known]))
             (c,) = self._counts("gram", ONCE, y[known[at]], gram, gram)
             p[known] += self._cut(c, self.d[0])[back] / total
         return counts, np.log10(p)
