@@ -5,7 +5,9 @@ pyarrow reads, it fetches the file into a nameless temporary file and maps that.
 """
 
 import io
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -14,6 +16,10 @@ import numpy as np
 
 #: Files that a worker keeps mapped.
 MAPPED = 4096
+#: Where a map keeps its file open (before Python 3.13), files that a worker may hold open.
+_NO_FILE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+if not _NO_FILE:
+    MAPPED = 256
 _maps: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
@@ -44,25 +50,39 @@ def save(folder: str, name: str, values: np.ndarray) -> None:
     store.move(part, at)
 
 
+def _map(path: str) -> np.ndarray:
+    """The array in a file, mapped; the file itself isn't held open where Python can do so."""
+    if os.path.getsize(path) <= 4096:
+        return np.load(path)
+    with open(path, "rb") as f:
+        np.lib.format.read_magic(f)
+        shape, _, kind = np.lib.format.read_array_header_1_0(f)
+        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_NO_FILE)
+        return np.frombuffer(raw, kind, int(np.prod(shape)), f.tell()).reshape(shape)
+
+
+def opened(folder: str, name: str) -> np.ndarray:
+    """The array, memory-mapped anew."""
+    uri = f"{folder}/{name}.npy"
+    if path := _local(uri):
+        return _map(path)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    with tempfile.TemporaryDirectory() as d, store.open_input_stream(at) as f:
+        with open(f"{d}/x.npy", "wb") as g:
+            while block := f.read(1 << 22):
+                g.write(block)
+        return _map(f"{d}/x.npy")
+
+
 def mapped(folder: str, name: str) -> np.ndarray:
     """The array, memory-mapped, from the worker's map of recent files."""
     uri = f"{folder}/{name}.npy"
     if uri in _maps:
         _maps.move_to_end(uri)
         return _maps[uri]
-    path = _local(uri)
-    if path:
-        values = np.load(path, mmap_mode="r") if os.path.getsize(path) > 4096 else np.load(path)
-    else:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(uri)
-        with tempfile.TemporaryDirectory() as d, store.open_input_stream(at) as f:
-            with open(f"{d}/x.npy", "wb") as g:
-                while block := f.read(1 << 22):
-                    g.write(block)
-            values = np.load(f"{d}/x.npy", mmap_mode="r")
-    _maps[uri] = values
+    values = _maps[uri] = opened(folder, name)
     if len(_maps) > MAPPED:
         _maps.popitem(last=False)
     return values

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, tables
-from .blocks import Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, shared_path, text_buffers, unpack
+from .blocks import BATCH_BYTES, PIECE_BYTES, Words, arrow_map, block_size, int_array, materialize, mix, n_buckets, pack, pieces, shared_path, text_buffers, unpack
 
 #: The model's order.
 ORDER = 3
@@ -493,7 +493,7 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
 
     def run(batches):
         m = shared.value
-        for p in pieces(batches, 1):
+        for p in pieces(batches, 1, min(BATCH_BYTES, max(PIECE_BYTES, m.deal.buckets << 10))):  # many tables, longer pieces
             h, of = token_hashes(p.column(1))
             counts, logs = m.log_probabilities(h, of)
             base = np.log10((counts + 1.0) / (m.tokens + m.types + 1.0))

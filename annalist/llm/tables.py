@@ -51,7 +51,7 @@ class Table:
     """A table in place; values() looks hashes up by binary search within their cells."""
 
     def __init__(self, folder: str, name: str, usual: tuple[int, ...]):
-        raw, self.usual = arrays.mapped(folder, name), usual
+        raw, self.usual = arrays.opened(folder, name), usual
         n = int(raw[:8].view(np.int64)[0])
         sizes = raw[8 : 8 + 16 * n].view(np.int64).reshape(n, 2).tolist()
         kinds = [np.int64, np.int64, np.uint16, np.uint32] * 2 + [np.uint8, np.int64, np.int64] * len(usual)
@@ -97,6 +97,6 @@ class Table:
         return out
 
 
-@functools.lru_cache(arrays.MAPPED)
+@functools.lru_cache(8 * arrays.MAPPED)
 def table(folder: str, name: str, usual: tuple[int, ...]) -> Table:
     return Table(folder, name, usual)

@@ -677,6 +677,19 @@ def test_language_model(docs, empty, texts, monkeypatch, order):
     assert language_model.lm_report(docs.where("doc_id = 1"), order=order).count() == 1  # held in or out, the model may be nearly empty
 
 
+def test_maps_hold_no_files_open(tmp_path):
+    import resource
+
+    for k in range(400):
+        arrays.save(str(tmp_path), f"a{k}", np.arange(1000) + k)
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 270, limits[1]))
+    try:
+        assert all(arrays.mapped(str(tmp_path), f"a{k}")[7] == k + 7 for k in range(400))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+
+
 def test_arrays(tmp_path):
     x = np.arange(5000)
     arrays.save(f"file://{tmp_path}/a", "x", x)
