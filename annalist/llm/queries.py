@@ -40,7 +40,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_tokens(spark, sf_dir):
-    return token_counts(_read(spark, sf_dir, "documents"), _vocabulary()).drop("cut_chars")
+    return token_counts(_read(spark, sf_dir, "documents"), _vocabulary(), inside=True, longest=None).drop("cut_chars")
 
 
 def op6_decontaminate(spark, sf_dir):

@@ -2,12 +2,14 @@
 
 The library's tokenizer drops white space and never merges across it, so the count of a prefix that ends inside word j
 is the count of the prefix before the word plus that of the word's part: T[i] = T[end of word j-1] + tokens(part of j).
-The counts of all parts of a word come from the library, once per distinct part and worker; words share their parts.
+The counts of all parts of a word come from one pass over its bytes (prefixes.py), in time linear in its length; for a
+vocabulary of another build the library encodes every distinct part, which is quadratic in a stretch's length.
 The table T has one entry for each code point of the text. Questions about the whole text, truncation and budgets are
 answered from it without encoding a text again.
 
-Inside a stretch of more than LONG code points without white space and ASCII digits, entries after the first LONG are
-null but for its end (all its parts would take quadratic time); a digit is a token of its own, so a stretch ends there.
+With longest=None every entry is counted. With a number, as the operator has by default, entries after so many code points
+of a stretch without white space and ASCII digits are null but for its end; a digit is a token of its own, so a stretch
+ends there.
 
 Rows: a null or empty text has no tokens and an empty table, one of white space alone has no tokens. Repeated rows give
 repeated results, an empty table none. Other columns of the input are ignored. A null id stays null.
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, arrow_map, byte_sums, mix, pieces, runs_of, text_buffers
+from .prefixes import prefix_counter
 
 #: Distinct parts of words whose counts a worker remembers; beyond it the memory starts anew (about 100 MB).
 REMEMBERED = 1_000_000
@@ -70,7 +73,32 @@ def _counted(keys: np.ndarray, spans, data: np.ndarray, path: str) -> np.ndarray
     return counts
 
 
-def prefix_counts(words: Words, path: str, inside: bool = True) -> np.ndarray:
+def _inside(words: Words, a, m, at, begin, longest: int | None, sums, up, path: str) -> np.ndarray:
+    """The counts of distinct stretches (at a, of m bytes) at each byte that ends a code point; -1: not counted."""
+    data = words.data
+    counter = prefix_counter(path)
+    if counter and longest is None:
+        return counter.counts(data[at], begin)
+    last = np.ones(len(data) + 1, bool)  # a code point ends with this byte
+    last[: max(len(data) - 1, 0)] = (data[1:] & 0xC0) != 0x80
+    of = np.repeat(np.arange(len(a)), m)
+    place = at - a[of]
+    wanted = last[at]
+    if longest is not None:  # up to so many of them, and the end
+        points = np.concatenate([[0], np.cumsum(wanted)])
+        wanted = wanted & ((points[1:] - points[begin][of] <= longest) | (place == m[of] - 1))
+    if counter:
+        return np.where(wanted, counter.counts(data[at], begin), -1)
+    # Another vocabulary: every part by the library.
+    part = np.flatnonzero(wanted)
+    h = mix((sums[at[part] + 1] - sums[a[of[part]]]) * up[a[of[part]]] + (place[part] + 1).astype(np.uint64))
+    keys, one, which = np.unique(h, return_index=True, return_inverse=True)
+    table = np.full(len(at), -1, np.int64)
+    table[part] = _counted(keys, lambda new: (a[of[part[one[new]]]], at[part[one[new]]] + 1), data, path)[which]
+    return table
+
+
+def prefix_counts(words: Words, path: str, inside: bool = True, longest: int | None = LONG) -> np.ndarray:
     """For every byte of a piece: the tokens of its document up to and with the code point that this byte ends; -1: not counted."""
     data = words.data
     n = len(data)
@@ -79,20 +107,10 @@ def prefix_counts(words: Words, path: str, inside: bool = True) -> np.ndarray:
     size = end - start
     whole = mix((sums[end] - sums[start]) * up[start] + size.astype(np.uint64))
     distinct, first, back = np.unique(whole, return_index=True, return_inverse=True)
-    if inside:  # the parts of distinct stretches: every end of a code point, up to LONG of them, and the end
-        last = np.ones(n + 1, bool)  # a code point ends with this byte
-        last[: max(n - 1, 0)] = (data[1:] & 0xC0) != 0x80
+    if inside:  # distinct stretches at every end of a code point
         a, m = start[first], size[first]
-        at = runs_of(a, m)
-        of = np.repeat(np.arange(len(first)), m)
-        place = at - a[of]
-        begin = np.cumsum(m) - m
-        points = np.concatenate([[0], np.cumsum(last[at])])
-        part = np.flatnonzero(last[at] & ((points[1:] - points[begin][of] <= LONG) | (place == m[of] - 1)))
-        h = mix((sums[at[part] + 1] - sums[a[of[part]]]) * up[a[of[part]]] + (place[part] + 1).astype(np.uint64))
-        keys, one, which = np.unique(h, return_index=True, return_inverse=True)
-        table = np.full(len(at), -1, np.int64)
-        table[part] = _counted(keys, lambda new: (a[of[part[one[new]]]], at[part[one[new]]] + 1), data, path)[which]
+        at, begin = runs_of(a, m), np.cumsum(m) - m
+        table = _inside(words, a, m, at, begin, longest, sums, up, path)
         begin = begin[back]
         total = table[begin + size - 1] if len(size) else size
     else:
@@ -115,16 +133,16 @@ def prefix_counts(words: Words, path: str, inside: bool = True) -> np.ndarray:
     return out
 
 
-def token_prefixes(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", inside: bool = True) -> DataFrame:
+def token_prefixes(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", inside: bool = True, longest: int | None = LONG) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and counts: the tokens of the text's first 1, 2, ... code points.
 
-    Without inside, entries that end within a word are null (all of them cost about four times the CPU time).
+    Without inside, entries that end within a word are null; longest=None leaves no others null.
     """
 
     def table(batches):
         for p in pieces(batches, 1):
             data, offsets = text_buffers(p.column(1))
-            counts = prefix_counts(Words(data, offsets), tokenizer, inside)
+            counts = prefix_counts(Words(data, offsets), tokenizer, inside, longest)
             last = np.ones(len(data), bool)
             last[: max(len(data) - 1, 0)] = (data[1:] & 0xC0) != 0x80
             points = np.concatenate([[0], np.cumsum(last)])[offsets].astype(np.int32)
@@ -153,11 +171,11 @@ def chars_within(counts: Column, budget: Column) -> Column:
     return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col="doc_id", text_col="text", inside: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col="doc_id", text_col="text", inside: bool = False, longest: int | None = LONG) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and cut_chars: the longest prefix, in code points, within limit tokens.
 
     Without inside, the cut is not within a word.
     """
-    t = token_prefixes(docs, tokenizer, id_col, text_col, inside).withColumn("n_tokens", n_tokens(F.col("counts")))
+    t = token_prefixes(docs, tokenizer, id_col, text_col, inside, longest).withColumn("n_tokens", n_tokens(F.col("counts")))
     cut = F.when(F.col("n_tokens") > limit, chars_within(F.col("counts"), F.lit(limit))).otherwise(F.size("counts").cast("long"))
     return t.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), cut.alias("cut_chars"))

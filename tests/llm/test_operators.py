@@ -493,6 +493,56 @@ def test_tokens(docs, empty, texts):
     assert rows[0]["counts"][255] == count("a" * 256) and rows[0]["counts"][256] is None and rows[1]["counts"] == list(range(1, 100_001))
 
 
+def test_tokens_at_every_prefix(spark, tmp_path, monkeypatch):
+    """The query's table lacks no position: inside words, after 256 code points, in text that NFC changes, around special strings."""
+    from tokenizers import Tokenizer
+
+    path = queries._vocabulary()
+    tok = Tokenizer.from_file(path)
+    made = random.Random(3)
+    texts = [
+        "Don't THEY'RE they'r 's's'rex '''ll <|endoftext|>'ll x<|startoftext<|endoftext|>\u0338y İstanbul'lar \u1e9e\u212a ٣٤½²",
+        "".join(made.choice("aeinorst") for _ in range(700)) + " " + "=" * 300 + "'s" + "漢字かな" * 90,
+        "e\u0301\u0323" * 150 + "か\u3099" * 150 + "\u1100\u1161\u11a8" * 100 + " \u0915\u093c\u0958 \u0301a",
+        "".join(made.choice("abr'’.!é\u0301\u0307İ\u00a0 09ل🙂") for _ in range(600)),
+        "don't xe" + "\u0301\u0323" * 90 + "'re" + "\u0323\u0301" * 70 + "'s\u0307" + "\u0301" * 80 + "tail " + "\u0301" * 70,
+        "\u00a0a\u2003b\x1cc  \t\nx\x85y",
+        " ",
+        "",
+        None,
+    ]
+    want = [[len(e.ids) for e in tok.encode_batch_fast([(t or "")[: k + 1] for k in range(len(t or ""))], add_special_tokens=False)] for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tables, make = [], tokens.token_prefixes
+    monkeypatch.setattr(tokens, "token_prefixes", lambda *a, **k: tables.append(make(*a, **k)) or tables[-1])
+    rows = by_id(queries.op5_tokens(spark, str(tmp_path)))
+    got = by_id(tables[0])
+    for i, w in enumerate(want):
+        assert got[i]["counts"] == w, i
+        assert rows[i]["n_tokens"] == (w or [0])[-1]
+    # What the library says of every part, as for other vocabularies, is the same.
+    data, offsets = blocks.text_buffers(pa.array(texts, pa.string()))
+    words = blocks.Words(data, offsets)
+    for longest in (None, 20):
+        own = tokens.prefix_counts(words, path, True, longest)
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "prefix_counter", lambda path: None)
+            assert own.tolist() == tokens.prefix_counts(words, path, True, longest).tolist()
+
+
+def test_token_prefixes_take_linear_time():
+    path = queries._vocabulary()
+    took = {}
+    for text in ("a" * 12_000, "xq" * 6_000, "e\u0301" * 1_500):
+        for times in (1, 4):
+            data, offsets = blocks.text_buffers(pa.array([text * times]))
+            began = time.process_time()
+            counts = tokens.prefix_counts(blocks.Words(data, offsets), path, True, None)
+            took[times] = time.process_time() - began
+            assert counts[-1] > 0
+        assert took[4] < 9 * took[1] + 1
+
+
 def alnum_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))
 
